@@ -12,8 +12,8 @@ def units_total(amount: Column) -> Column:
     return F.coalesce(F.sum(amount), F.lit(0.0))
 
 
-def money_sum(amount: Column) -> Column:
-    """Sum of money that does not depend on the order rows arrive in; null when all are null.
+def exact_sum(amount: Column) -> Column:
+    """Sum of money or balances that does not depend on row order; null when all are null.
 
     Whole and millionth parts are added as two bigints, so partial sums combine exactly, a
     retried task gives the same bits, and the hash aggregate keeps fixed-width buffers (decimal
@@ -27,8 +27,9 @@ def money_sum(amount: Column) -> Column:
     return F.when(F.abs(wholes) < F.lit(_EXACT_WHOLE), small).otherwise(large) / F.lit(float(_MICRO))
 
 
-def money_total(amount: Column) -> Column:
-    return F.coalesce(money_sum(amount), F.lit(0.0))
+def exact_total(amount: Column) -> Column:
+    """As exact_sum; nothing to add gives 0."""
+    return F.coalesce(exact_sum(amount), F.lit(0.0))
 
 
 def plain_text(number: Column, digits: int) -> Column:

@@ -1 +1,4 @@
-"""Lazy DataFrame-to-DataFrame operators; none of them runs a job or calls Python per row."""
+"""DataFrame-to-DataFrame operators without Python per row.
+
+All are lazy but the robust statistics, which write their frequency table once before they plan on.
+"""

@@ -10,6 +10,7 @@ from ..config import LedgerRules
 from ..functions.numbers import plain_text
 from ..functions.vocabulary import KEY
 from ..sources.canonical import Moment, at
+from ..sources.scratch import written_once
 
 FINDING_COLUMNS = ("kind", "item_code", "warehouse", "detail", "value")
 
@@ -119,24 +120,27 @@ def quantity_frequencies(movements: DataFrame) -> DataFrame:
 
 
 def robust_values(movements: DataFrame, split_above: int = SPLIT_ABOVE) -> DataFrame:
-    """(key, x, median, scale, movements) for every distinct quantity of every key.
+    """(key, x, weight, median, scale, movements) for every distinct quantity of every key.
 
-    Two paths, both exact. Keys with up to `split_above` distinct quantities are ranked by windows
-    that share one exchange. The few wider keys (at most distinct values / split_above of them, so
-    their list can be broadcast) are ranked in slices that spread over tasks.
+    The frequency table is written once: it is far smaller than the ledger, and every later step
+    reads it. Keys with up to `split_above` distinct quantities are ranked by windows that share
+    one exchange. Only if there are wider keys (a check on the written table) does the plan also
+    rank those, in slices that spread over tasks; at most distinct values / split_above keys can
+    be that wide, which bounds their list. Both ways are exact.
     """
-    frequencies = quantity_frequencies(movements)
-    # Implied by the first test, the second keeps `weight` in this branch, so that all three
-    # branches ask for the same table and Spark computes it once.
+    frequencies = written_once(quantity_frequencies(movements))
     wide = (
         frequencies.groupBy(*KEY)
-        .agg(F.count(F.lit(1)).alias("distinct"), F.sum("weight").alias("entries"))
-        .where((F.col("distinct") > split_above) & (F.col("entries") > split_above))
+        .agg(F.count(F.lit(1)).alias("distinct"))
+        .where(F.col("distinct") > split_above)
         .select(*KEY)
     )
-    narrow_values = frequencies.join(F.broadcast(wide), list(KEY), "left_anti")
-    wide_values = frequencies.join(F.broadcast(wide), list(KEY), "left_semi")
-    return _narrow_stats(narrow_values).unionByName(_wide_stats(wide_values))
+    if wide.isEmpty():
+        return _narrow_stats(frequencies)
+    listed = F.broadcast(wide)
+    return _narrow_stats(frequencies.join(listed, list(KEY), "left_anti")).unionByName(
+        _wide_stats(frequencies.join(listed, list(KEY), "left_semi"))
+    )
 
 
 def _narrow_stats(values: DataFrame) -> DataFrame:

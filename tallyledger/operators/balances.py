@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.cells import non_blank
-from ..functions.numbers import money_sum, money_total, units_total
+from ..functions.numbers import exact_sum, exact_total
 from ..functions.vocabulary import KEY, STORES
 from ..sources.canonical import Moment, at
 
@@ -14,9 +14,9 @@ _STORE_COLUMNS = ("dataset", "label", "unit", "ledger")
 
 
 def _lot_totals(balances: DataFrame) -> list[Column]:
-    totals = [units_total(F.col("quantity")).alias("quantity")]
+    totals = [exact_total(F.col("quantity")).alias("quantity")]
     if "value" in balances.columns:
-        totals.append(money_total(F.col("value")).alias("value"))
+        totals.append(exact_total(F.col("value")).alias("value"))
     return totals
 
 
@@ -100,8 +100,8 @@ def balance_points(history: DataFrame, live: DataFrame, end: Moment) -> DataFram
     """Total quantity and value of every stored snapshot, plus the live balance dated `end`."""
 
     def totals(df: DataFrame, *keys: str) -> DataFrame:
-        value = money_sum(F.col("value")) if "value" in df.columns else F.lit(None).cast("double")
-        return df.groupBy(*keys).agg(units_total(F.col("quantity")).alias("quantity"), value.alias("value"))
+        value = exact_sum(F.col("value")) if "value" in df.columns else F.lit(None).cast("double")
+        return df.groupBy(*keys).agg(exact_total(F.col("quantity")).alias("quantity"), value.alias("value"))
 
     stored = totals(history, "dataset", "snapshot_date").withColumn("live", F.lit(False))
     today = (
@@ -128,14 +128,14 @@ def stock_balances_report(history: DataFrame, current: DataFrame, date_from: Mom
         history.join(F.broadcast(chosen.drop("as_of")), ["dataset", "snapshot_date"])  # one row per store
         .groupBy("dataset", "snapshot_date")
         .agg(
-            units_total(F.col("quantity")).alias("opening_qty"),
-            (money_sum(F.col("value")) if value else F.lit(None).cast("double")).alias("opening_value"),
+            exact_total(F.col("quantity")).alias("opening_qty"),
+            (exact_sum(F.col("value")) if value else F.lit(None).cast("double")).alias("opening_value"),
         )
         .withColumnRenamed("snapshot_date", "opening_source")
     )
-    closing_value = money_sum(F.col("value")) if "value" in current.columns else F.lit(None).cast("double")
+    closing_value = exact_sum(F.col("value")) if "value" in current.columns else F.lit(None).cast("double")
     closing = current.groupBy("dataset").agg(
-        units_total(F.col("quantity")).alias("closing_qty"), closing_value.alias("closing_value")
+        exact_total(F.col("quantity")).alias("closing_qty"), closing_value.alias("closing_value")
     )
     return (
         stores.join(closing, "dataset", "left")

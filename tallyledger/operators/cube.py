@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import LedgerRules
-from ..functions.numbers import money_total, rounded, units_total
+from ..functions.numbers import exact_total, rounded, units_total
 from ..functions.vocabulary import OTHER, OUTSIDE_COVERAGE, SAME_BASELINE, TOP_CATEGORIES
 from ..sources.canonical import at
 from .balances import store_frame
@@ -40,7 +40,7 @@ def category_rank_topn(movements: DataFrame, rules: LedgerRules, top: int = TOP_
         _categorized(movements, rules)
         .groupBy("category")
         .agg(
-            money_total(F.abs("signed_val")).alias("gross_value"),
+            exact_total(F.abs("signed_val")).alias("gross_value"),
             units_total(F.abs("signed_qty")).alias("gross_units"),
         )
     )
@@ -76,12 +76,12 @@ def category_day_cube(movements: DataFrame, rules: LedgerRules, top: int = TOP_C
     directions = (
         _categorized(movements, rules)
         .groupBy(F.to_date("movement_date").alias("day"), "category", "direction")
-        .agg(units_total(F.col("signed_qty")).alias("units"), money_total(F.col("signed_val")).alias("value"))
+        .agg(units_total(F.col("signed_qty")).alias("units"), exact_total(F.col("signed_val")).alias("value"))
     )
     folded = (
         fold_categories(directions, category_rank_topn(movements, rules, top))
         .groupBy("day", "category", "direction")
-        .agg(units_total(F.col("units")).alias("units"), money_total(F.col("value")).alias("value"))
+        .agg(units_total(F.col("units")).alias("units"), exact_total(F.col("value")).alias("value"))
         .withColumn("units", rounded(F.col("units"), 1))
         .withColumn("value", rounded(F.col("value"), 2))
     )
@@ -122,7 +122,7 @@ def window_category_net(
     totals = (
         cube.where(inside)
         .groupBy("category")
-        .agg(*[money_total(F.col(name)).alias(name) for name in CUBE_MEASURES])
+        .agg(*[exact_total(F.col(name)).alias(name) for name in CUBE_MEASURES])
         .withColumn("net", cube_net(measure))
         .where(F.abs("net") > MIN_NET)
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import LedgerRules
-from ..functions.numbers import money_total, rounded, units_total
+from ..functions.numbers import exact_total, rounded, units_total
 from ..functions.vocabulary import (
     CUSTOMERS,
     DIRECT_SALES,
@@ -69,11 +69,17 @@ def route() -> Column:
 
 
 def flow_route(movements: DataFrame, rules: LedgerRules) -> DataFrame:
-    """Movements with `source`, `target` and `sign`; all three are null outside the graph."""
+    """Movements with `source`, `target` and `sign`; outside the graph no ends and sign 0."""
     return (
         classify_direction(movements, rules)
         .withColumn("edge", route())
-        .select(*movements.columns, "direction", "edge.source", "edge.target", "edge.sign")
+        .select(
+            *movements.columns,
+            "direction",
+            "edge.source",
+            "edge.target",
+            F.coalesce("edge.sign", F.lit(0)).alias("sign"),
+        )
     )
 
 
@@ -96,14 +102,14 @@ def flow_contributions(movements: DataFrame, rules: LedgerRules, measure: str =
     One scan adds up both measures; unrouted movements stay as an edge without ends until the
     choice is made. Edges number a handful per store, which bounds the window that makes it.
     """
-    sign = F.coalesce(F.col("sign"), F.lit(0))
+    sign = F.col("sign")
     edges = (
         flow_route(_weights(movements, measure), rules)
         .groupBy("source", "target")
         .agg(
-            money_total(F.col("money") * sign).alias("money"),
+            exact_total(F.col("money") * sign).alias("money"),
             units_total(F.col("units") * sign).alias("units"),
-            money_total(F.col("money")).alias("gross_money"),
+            exact_total(F.col("money")).alias("gross_money"),
         )
         .withColumn("by_money", _by_money())
     )
@@ -123,8 +129,8 @@ def flow_links(contributions: DataFrame) -> DataFrame:
     pairs = contributions.groupBy(
         F.least("source", "target").alias("low"), F.greatest("source", "target").alias("high"), "measure"
     ).agg(
-        F.sum(F.col("weight") * sign).alias("weight"),
-        F.sum(F.col("units") * sign).alias("units"),
+        exact_total(F.col("weight") * sign).alias("weight"),
+        exact_total(F.col("units") * sign).alias("units"),
     )
     ahead = F.col("weight") > 0
     return pairs.where(F.abs("weight") > MIN_WEIGHT).select(
@@ -173,7 +179,7 @@ def flow_node_totals(links: DataFrame) -> DataFrame:
     )
     return (
         ends.groupBy("name")
-        .agg(F.sum("inward").alias("inward"), F.sum("outward").alias("outward"))
+        .agg(exact_total(F.col("inward")).alias("inward"), exact_total(F.col("outward")).alias("outward"))
         .withColumn("total", F.greatest("inward", "outward"))
     )
 
@@ -186,7 +192,7 @@ def flow_components(movements: DataFrame, measure: str = "value", ordered: bool
         .agg(
             F.count(F.lit(1)).alias("rows"),
             units_total(F.col("quantity")).alias("units"),
-            money_total(F.col("money")).alias("gross_money"),
+            exact_total(F.col("money")).alias("gross_money"),
             units_total(F.col("units")).alias("gross_units"),
         )
         .withColumn("by_money", _by_money())

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import LedgerRules
 from ..functions.cells import strip
-from ..functions.numbers import money_total, units_total
+from ..functions.numbers import exact_total, units_total
 from ..functions.vocabulary import DIRECTIONS, KEY, UNSPECIFIED
 from .movements import signed_quantity
 
@@ -75,7 +75,7 @@ def category_summary(
         raise KeyError(f"movements have no {by!r} column; map it in the dataset")
     totals = [F.count(F.lit(1)).alias("movements"), *direction_totals(F.col("signed_qty"))]
     if "value" in movements.columns:
-        totals.append(money_total(F.col("value")).alias("net_value"))
+        totals.append(exact_total(F.col("value")).alias("net_value"))
     summary = (
         signed_quantity(movements, rules)
         .withColumn(by, labelled(F.col(by)))

@@ -17,7 +17,7 @@ from ..functions.cells import (
     tighten_separator,
     type_of,
 )
-from ..functions.numbers import units_total
+from ..functions.numbers import exact_total
 from ..functions.vocabulary import EXPORT_SHEETS, KEY
 from .canonical import Moment, at
 
@@ -45,11 +45,11 @@ def baseline_import(export: DataFrame, ds: Dataset, as_of: Moment) -> DataFrame:
     # Totals per text first (a hash aggregate), then one text per key from those few rows.
     baseline = (
         rows.groupBy(*KEY, *texts)
-        .agg(units_total(F.col("quantity")).alias("quantity"))
+        .agg(exact_total(F.col("quantity")).alias("quantity"))
         .groupBy(*KEY)
         .agg(
             *[F.coalesce(F.min(non_blank(F.col(name))), F.lit("")).alias(name) for name in texts],
-            units_total(F.col("quantity")).alias("quantity"),
+            exact_total(F.col("quantity")).alias("quantity"),
         )
     )
     order = [*KEY, "balance_date", "item_description", "quantity", *texts[1:]]

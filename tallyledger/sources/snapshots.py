@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.cells import number_or_zero, strip, type_of
-from ..functions.numbers import money_sum, units_total
+from ..functions.numbers import exact_sum, exact_total
 from ..functions.vocabulary import CP1252_AS_LATIN1, CP1252_MEANT, CP1252_UNDEFINED
 from ..operators.balances import snapshot_current
 from .canonical import Moment, at
@@ -56,9 +56,9 @@ def snapshot_table(
 
 def snapshot_write_summary(table: DataFrame) -> DataFrame:
     """Rows, quantity and value captured per store and date."""
-    value = money_sum(F.col("value")) if "value" in table.columns else F.lit(None).cast("double")
+    value = exact_sum(F.col("value")) if "value" in table.columns else F.lit(None).cast("double")
     return table.groupBy("dataset", "snapshot_date").agg(
-        F.count(F.lit(1)).alias("rows"), units_total(F.col("quantity")).alias("quantity"), value.alias("value")
+        F.count(F.lit(1)).alias("rows"), exact_total(F.col("quantity")).alias("quantity"), value.alias("value")
     )
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -22,6 +22,7 @@ from tallyledger.operators import (
     summaries,
 )
 from tallyledger.sources import baseline, canonical, physical, snapshots
+from tallyledger.sources.scratch import checkpoint_folder
 
 from . import tables
 from .tables import RULES
@@ -74,12 +75,8 @@ def capture(spark: SparkSession, sf_dir: str, day: str, name: str = "fg_movement
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder in the shared place the cluster names; a temporary one only where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        return tempfile.mkdtemp(prefix="tallyledger-")
-    name = spark.range(1).select(F.expr("uuid()").alias("name")).first().name
-    return f"{shared.rstrip('/')}/tallyledger-{name}"
+    """A new folder inside the checkpoint folder."""
+    return f"{checkpoint_folder(spark).rstrip('/')}/{uuid.uuid4()}"
 
 
 def plain(df: DataFrame) -> DataFrame:

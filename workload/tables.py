@@ -58,30 +58,38 @@ SNAPSHOT_DATES = ("1998-01-01", "1998-07-01", "1999-01-01", "1999-07-01")
 # When the current-state tables count as read.
 READ_AT = "2001-12-01 08:30:15"
 
-_FG_TYPES = {
-    ("A", None, None): "RECEIVED",
-    ("N", "F", None): "INVOICED",
-    ("N", "O", None): "PICKED",
-    ("R", "F", 1): "RETURNED",
-    ("R", "F", 2): "TRANSFERRED IN",
-    ("R", "F", 3): "TRANSFERRED OUT",
-    ("R", "F", 4): "DESPATCH CANCELLED",
-    ("R", "O", 1): "STOCK ADJ IN - STOCK TAKE IN",
-    ("R", "O", 2): "STOCK ADJ OUT - STOCK TAKE OUT",
-    ("R", "O", 3): "ASN",
-    ("R", "O", 4): "STOCK ADJ IN - STOCK ADJUST- IN",
+# Movement type of a line, by its flag, status and number.
+_FG_TYPE = """
+CASE WHEN l_returnflag = 'A' THEN 'RECEIVED'
+     WHEN l_returnflag = 'N' AND l_linestatus = 'F' THEN 'INVOICED'
+     WHEN l_returnflag = 'N' AND l_linestatus = 'O' THEN 'PICKED'
+     WHEN l_linestatus = 'F' THEN CASE l_linenumber
+       WHEN 1 THEN 'RETURNED' WHEN 2 THEN 'TRANSFERRED IN' WHEN 3 THEN 'TRANSFERRED OUT' ELSE 'DESPATCH CANCELLED' END
+     ELSE CASE l_linenumber
+       WHEN 1 THEN 'STOCK ADJ IN - STOCK TAKE IN' WHEN 2 THEN 'STOCK ADJ OUT - STOCK TAKE OUT' WHEN 3 THEN 'ASN'
+       ELSE 'STOCK ADJ IN - STOCK ADJUST- IN' END END"""
+_RM_TYPE = """
+CASE WHEN l_returnflag = 'A' THEN 'RECEIPT'
+     WHEN l_returnflag = 'N' THEN 'DESPATCH'
+     WHEN l_linestatus = 'F' THEN CASE l_linenumber WHEN 5 THEN 'RETURN' WHEN 6 THEN 'SALE STOCK' ELSE 'RTV' END
+     ELSE CASE l_linenumber WHEN 5 THEN 'STOCK ADJ IN' WHEN 6 THEN 'STOCK ADJ OUT' ELSE 'CANCELLED DESPATCH' END END"""
+# Whether a line leaves its store.
+_FG_OUTWARD = "l_returnflag = 'N' OR (l_returnflag = 'R' AND ((l_linestatus = 'F' AND l_linenumber = 3) OR (l_linestatus = 'O' AND l_linenumber = 2)))"
+_RM_OUTWARD = "l_returnflag = 'N' OR (l_returnflag = 'R' AND ((l_linestatus = 'F' AND l_linenumber >= 6) OR (l_linestatus = 'O' AND l_linenumber = 6)))"
+
+# Columns of the driver tables used here.
+_SCHEMAS = {
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
 }
-_RM_TYPES = {
-    ("A", None, None): "RECEIPT",
-    ("N", None, None): "DESPATCH",
-    ("R", "F", 5): "RETURN",
-    ("R", "F", 6): "SALE STOCK",
-    ("R", "F", 7): "RTV",
-    ("R", "O", 5): "STOCK ADJ IN",
-    ("R", "O", 6): "STOCK ADJ OUT",
-    ("R", "O", 7): "CANCELLED DESPATCH",
-}
-_OUTWARD = ("INVOICED", "PICKED", "TRANSFERRED OUT", "DESPATCH", "SALE STOCK", "RTV")
 
 FG_LEDGER = Dataset(
     "fg_movements",
@@ -159,7 +167,7 @@ DATASETS = {ds.name: ds for ds in (FG_LEDGER, RM_LEDGER, FG_STOCK, RM_STOCK, WIP
 
 
 def driver_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _lines(spark: SparkSession, sf_dir: str, first: int, last: int) -> DataFrame:
@@ -176,63 +184,42 @@ def _lines(spark: SparkSession, sf_dir: str, first: int, last: int) -> DataFrame
     )
 
 
-def _type(types: dict) -> Column:
-    def matches(flag: str, status: str | None, number: int | None) -> Column:
-        condition = F.col("l_returnflag") == flag
-        if status is not None:
-            condition &= F.col("l_linestatus") == status
-        if number is not None:
-            condition &= F.col("l_linenumber") == number
-        return condition
-
-    return reduce(
-        lambda chain, entry: chain.when(matches(*entry[0]), entry[1]), types.items(), F.when(F.lit(False), "")
-    )
-
-
-def _moved(lines: DataFrame, types: dict) -> DataFrame:
-    kind = F.col("Move Type")
-    outward = kind.isin(*_OUTWARD) | kind.startswith("STOCK ADJ OUT")
-    sign = F.when(outward, -1.0).otherwise(1.0)
-    keying_error = F.when(F.col("l_orderkey") % 499 == 0, 40.0).otherwise(1.0)
-    return (
-        lines.withColumn("Move Type", _type(types))
-        .withColumn("Units", sign * F.col("l_quantity") * keying_error)
-        .withColumn("Move Value", sign * F.col("l_extendedprice"))
-        .withColumn("Moved On", F.col("l_shipdate"))
-        .withColumn("Doc", F.concat(F.lit("D"), F.col("l_orderkey").cast("string")))
-        .withColumn("Job", F.col("l_orderkey"))
+def _moved(lines: DataFrame, kind: str, outward: str, *rest: str) -> DataFrame:
+    """Lines as movements; every 499th order was keyed with forty times the quantity."""
+    sign = f"IF({outward}, -1.0D, 1.0D)"
+    return lines.selectExpr(
+        f"{kind} AS `Move Type`",
+        f"{sign} * l_quantity * IF(l_orderkey % 499 = 0, 40.0D, 1.0D) AS Units",
+        f"{sign} * l_extendedprice AS `Move Value`",
+        "l_shipdate AS `Moved On`",
+        "'D' || l_orderkey AS Doc",
+        "l_orderkey AS Job",
+        *rest,
     )
 
 
 def fg_ledger_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _moved(_lines(spark, sf_dir, 1, 4), _FG_TYPES).select(
-        F.col("l_partkey").alias("Style #"),
-        F.col("p_size").alias("Size"),
-        F.col("p_name").alias("Product Desc"),
-        F.col("r_name").alias("Warehouse"),
-        "Moved On",
-        "Move Type",
-        "Units",
-        "Doc",
-        "Job",
-        "Move Value",
-        F.col("p_brand").alias("Product"),
+    return _moved(
+        _lines(spark, sf_dir, 1, 4),
+        _FG_TYPE,
+        _FG_OUTWARD,
+        "l_partkey AS `Style #`",
+        "p_size AS Size",
+        "p_name AS `Product Desc`",
+        "r_name AS Warehouse",
+        "p_brand AS Product",
     )
 
 
 def rm_ledger_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _moved(_lines(spark, sf_dir, 5, 7), _RM_TYPES).select(
-        F.concat(F.lit("RM"), F.col("l_partkey").cast("string")).alias("Stock No"),
-        F.col("p_name").alias("Stock Desc"),
-        F.col("r_name").alias("Location"),
-        "Moved On",
-        "Move Type",
-        "Units",
-        "Doc",
-        "Job",
-        "Move Value",
-        F.col("p_type").alias("Cost Type"),
+    return _moved(
+        _lines(spark, sf_dir, 5, 7),
+        _RM_TYPE,
+        _RM_OUTWARD,
+        "'RM' || l_partkey AS `Stock No`",
+        "p_name AS `Stock Desc`",
+        "r_name AS Location",
+        "p_type AS `Cost Type`",
     )
 
 
@@ -304,45 +291,36 @@ def snapshots(spark: SparkSession, sf_dir: str, ledger: str) -> DataFrame:
 
     Parts divisible by 11 drift steadily, by 13 once and back, by 17 partly back.
     """
-    first, last, types = (1, 4, _FG_TYPES) if ledger == "fg_movements" else (5, 7, _RM_TYPES)
-    item = (
-        F.concat_ws("|", "l_partkey", "p_size")
-        if ledger == "fg_movements"
-        else F.concat(F.lit("RM"), F.col("l_partkey").cast("string"))
-    )
-    category = "p_brand" if ledger == "fg_movements" else "p_type"
-    before = [
-        F.sum(F.when(F.col("l_shipdate") < F.lit(day).cast("timestamp_ntz"), F.col("Units")).otherwise(0.0)).alias(f"moved_{i}")
+    finished = ledger == "fg_movements"
+    lines = _lines(spark, sf_dir, 1, 4) if finished else _lines(spark, sf_dir, 5, 7)
+    item = "concat_ws('|', l_partkey, p_size)" if finished else "'RM' || l_partkey"
+    category = "p_brand" if finished else "p_type"
+    captures = ", ".join(
+        f"struct(DATE'{day}' AS snapshot_date, TIMESTAMP_NTZ'{day} 00:00:00' AS balance_date, "
+        f"200.0D + moved_{i} + IF(l_partkey % 11 = 0, {-7.0 * i}D, 0.0D) "
+        f"+ IF(l_partkey % 13 = 0, {320.0 if i == 1 else 0.0}D, 0.0D) "
+        f"+ IF(l_partkey % 17 = 0, {(100.0 if i >= 1 else 0.0) - (30.0 if i >= 2 else 0.0)}D, 0.0D) AS quantity)"
         for i, day in enumerate(SNAPSHOT_DATES)
-    ]
-    part = F.col("l_partkey")
-    drift = [
-        F.when(part % 11 == 0, -7.0 * i).otherwise(0.0)
-        + F.when(part % 13 == 0, 320.0 if i == 1 else 0.0).otherwise(0.0)
-        + F.when(part % 17 == 0, (100.0 if i >= 1 else 0.0) - (30.0 if i >= 2 else 0.0)).otherwise(0.0)
-        for i in range(len(SNAPSHOT_DATES))
-    ]
-    captures = [
-        F.struct(
-            F.lit(day).cast("date").alias("snapshot_date"),
-            F.lit(day).cast("timestamp_ntz").alias("balance_date"),
-            (F.lit(200.0) + F.col(f"moved_{i}") + drift[i]).alias("quantity"),
-        )
-        for i, day in enumerate(SNAPSHOT_DATES)
-    ]
+    )
+    place = ("l_partkey", "p_size", "p_name", "p_retailprice", "r_name", category)
     return (
-        _moved(_lines(spark, sf_dir, first, last), types)
-        .groupBy("l_partkey", "p_size", "p_name", category, "p_retailprice", "r_name")
-        .agg(*before)
-        .select(
-            F.lit(ledger.replace("movements", "balance")).alias("dataset"),
-            item.alias("item_code"),
-            F.col("p_name").alias("item_description"),
-            F.col("r_name").alias("warehouse"),
-            F.col(category).alias("category"),
+        _moved(lines, _FG_TYPE if finished else _RM_TYPE, _FG_OUTWARD if finished else _RM_OUTWARD, *place)
+        .groupBy(*place)
+        .agg(
+            *[
+                F.expr(f"sum(IF(`Moved On` < TIMESTAMP_NTZ'{day} 00:00:00', Units, 0.0D)) AS moved_{i}")
+                for i, day in enumerate(SNAPSHOT_DATES)
+            ]
+        )
+        .selectExpr(
+            f"'{ledger.replace('movements', 'balance')}' AS dataset",
+            f"{item} AS item_code",
+            "p_name AS item_description",
+            "r_name AS warehouse",
+            f"{category} AS category",
             "l_partkey",
             "p_retailprice",
-            F.inline(F.array(*captures)),
+            f"inline(array({captures}))",
         )
         .withColumn("value", F.col("quantity") * F.col("p_retailprice"))
         .drop("p_retailprice")
