@@ -20,17 +20,25 @@ def strip(text: Column) -> Column:
 
 
 def tighten_separator(text: Column) -> Column:
-    """'M/OLIVE |30' and 'M/OLIVE|30' are the same composite key."""
-    return F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]*\|[\s\x1c-\x1f]*", "|")
+    """'M/OLIVE |30' and 'M/OLIVE|30' are the same composite key; the pattern runs only where it can match."""
+    tight = F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]*\|[\s\x1c-\x1f]*", "|")
+    return F.when(text.contains("|"), tight).otherwise(text)
 
 
-def key_text(cell: Column) -> Column:
+def is_tidy(dtype: T.DataType) -> bool:
+    """Values of this type turn into text without white space or separators."""
+    return isinstance(dtype, (T.NumericType, T.BooleanType, T.DateType))
+
+
+def key_text(cell: Column, tidy: bool = False) -> Column:
     """A key is never null: missing becomes '-', everything else is trimmed text."""
-    return strip(F.coalesce(cell.cast("string"), F.lit("-")))
+    text = F.coalesce(cell.cast("string"), F.lit("-"))
+    return text if tidy else strip(text)
 
 
-def free_text(cell: Column) -> Column:
-    return strip(F.coalesce(cell.cast("string"), F.lit("")))
+def free_text(cell: Column, tidy: bool = False) -> Column:
+    text = F.coalesce(cell.cast("string"), F.lit(""))
+    return text if tidy else strip(text)
 
 
 def type_code(cell: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Collection
 from functools import reduce
 from operator import and_, mul
 
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..config import Dataset, Mapping
 from ..functions.cells import (
     free_text,
+    is_tidy,
     key_text,
     moment,
     number_or_zero,
@@ -94,11 +96,12 @@ def canonical_scan(
     rows = without_excluded(table, ds)
     if ds.has_date:
         rows = in_window(rows, mapped(ds.columns[ds.date_column]), date_from, date_to)
+    tidy = tidy_columns(table, ds)
     rows = project(rows, ds)
     if ds.kind == "movement":
-        rows = normalize_movements(rows)
+        rows = normalize_movements(rows, tidy)
     else:
-        rows = normalize_balances(rows, as_of=None if ds.has_date else as_of, dated=ds.has_date)
+        rows = normalize_balances(rows, None if ds.has_date else as_of, ds.has_date, tidy)
     if item_code:
         rows = rows.where(F.col("item_code") == item_code)
     if warehouse:
@@ -106,10 +109,21 @@ def canonical_scan(
     return rows
 
 
-def _normalize(rows: DataFrame, date_column: str, stamp: Column | None) -> DataFrame:
+def tidy_columns(table: DataFrame, ds: Dataset) -> set[str]:
+    """Canonical columns whose physical types leave nothing to trim, such as a key of two numbers."""
+    tidy = set()
+    for name, mapping in ds.columns.items():
+        parts = mapping if isinstance(mapping, list) else [mapping]
+        if all(isinstance(part, str) and is_tidy(type_of(table, part)) for part in parts):
+            tidy.add(name)
+    return tidy
+
+
+def _normalize(rows: DataFrame, date_column: str, stamp: Column | None, tidy: Collection[str]) -> DataFrame:
+    item = key_text(F.col("item_code"), "item_code" in tidy)
     clean = {
-        "item_code": tighten_separator(key_text(F.col("item_code"))),
-        "warehouse": key_text(F.col("warehouse")),
+        "item_code": item if "item_code" in tidy else tighten_separator(item),
+        "warehouse": key_text(F.col("warehouse"), "warehouse" in tidy),
         "quantity": number_or_zero(F.col("quantity"), type_of(rows, "quantity")),
         date_column: stamp if stamp is not None else moment(F.col(date_column), type_of(rows, date_column)),
     }
@@ -117,22 +131,27 @@ def _normalize(rows: DataFrame, date_column: str, stamp: Column | None) -> DataF
         clean["value"] = number_or_zero(F.col("value"), type_of(rows, "value"))
     if "movement_type" in rows.columns:
         clean["movement_type"] = type_code(F.col("movement_type"))
-    clean |= {name: free_text(F.col(name)) for name in _TEXT_COLUMNS if name in rows.columns}
+    clean |= {name: free_text(F.col(name), name in tidy) for name in _TEXT_COLUMNS if name in rows.columns}
     return rows.select(*[clean.get(name, F.col(name)).alias(name) for name in rows.columns])
 
 
-def normalize_movements(rows: DataFrame) -> DataFrame:
-    """Clean keys, texts, type codes and numbers of canonical movements."""
-    return _normalize(rows, "movement_date", None)
+def normalize_movements(rows: DataFrame, tidy: Collection[str] = ()) -> DataFrame:
+    """Clean keys, texts, type codes and numbers of canonical movements.
 
+    Columns named in `tidy` are known to need no trimming.
+    """
+    return _normalize(rows, "movement_date", None, tidy)
 
-def normalize_balances(rows: DataFrame, as_of: Moment | None = None, dated: bool = True) -> DataFrame:
+
+def normalize_balances(
+    rows: DataFrame, as_of: Moment | None = None, dated: bool = True, tidy: Collection[str] = ()
+) -> DataFrame:
     """Clean canonical balances; a current-state balance gets `as_of`, whole seconds, as its date."""
     if dated:
-        return _normalize(rows, "balance_date", None)
+        return _normalize(rows, "balance_date", None, tidy)
     if as_of is None:
         raise ValueError("a current-state balance needs as_of, the time it was read")
-    return _normalize(rows, "balance_date", F.date_trunc("second", at(as_of)).cast("timestamp_ntz"))
+    return _normalize(rows, "balance_date", F.date_trunc("second", at(as_of)).cast("timestamp_ntz"), tidy)
 
 
 def ledger_union(ledgers: dict[str, DataFrame], scope: str = "all") -> DataFrame:

@@ -171,16 +171,14 @@ def driver_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, sf_dir: str, first: int, last: int) -> DataFrame:
+    """Lines with their part and region. Joined table by table, so that each is judged by its own size;
+    nation and region are of fixed size."""
     line = driver_table(spark, sf_dir, "lineitem").where(F.col("l_linenumber").between(first, last))
-    part = driver_table(spark, sf_dir, "part")
-    place = (
-        driver_table(spark, sf_dir, "supplier")
-        .join(driver_table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-        .join(driver_table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        .select("s_suppkey", "r_name")
-    )
-    return line.join(part, F.col("l_partkey") == F.col("p_partkey")).join(
-        place, F.col("l_suppkey") == F.col("s_suppkey")
+    return (
+        line.join(driver_table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+        .join(driver_table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(F.broadcast(driver_table(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+        .join(F.broadcast(driver_table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
     )
 
 
