@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.cells import non_blank
@@ -116,16 +119,22 @@ def stock_balances_report(history: DataFrame, current: DataFrame, date_from: Mom
     """Opening, closing and change per store in quantity and value.
 
     Opening is the newest snapshot on or before `date_from` (null if none), closing the current
-    balance. Only the chosen snapshots are read in full: their dates prune the partitions.
+    balance. The date of each opening is a scalar subquery over partition values, so that only the
+    chosen partitions of the history are read.
     """
-    stores = store_frame(history)
     day = F.to_date(at(date_from))
-    chosen = baseline_asof(
-        history.select("dataset", "snapshot_date"), stores.select("dataset", day.alias("as_of"))
-    ).where(F.col("snapshot_date").isNotNull())
+
+    def newest(dataset: str) -> Column:
+        dates = history.where((F.col("dataset") == dataset) & (F.col("snapshot_date") <= day))
+        return dates.select(F.max("snapshot_date")).scalar()
+
+    chosen = [
+        (F.col("dataset") == dataset) & (F.col("snapshot_date") == newest(dataset)) for dataset, *_ in STORES
+    ]
+    stores = store_frame(history)
     value = "value" in history.columns
     opening = (
-        history.join(F.broadcast(chosen.drop("as_of")), ["dataset", "snapshot_date"])  # one row per store
+        history.where(reduce(or_, chosen))
         .groupBy("dataset", "snapshot_date")
         .agg(
             exact_total(F.col("quantity")).alias("opening_qty"),

@@ -32,7 +32,7 @@ def at(value: Moment) -> Column:
     """A point in time as a zone-free timestamp; a Column (for instance a scalar subquery) passes through."""
     if isinstance(value, Column):
         return value
-    return F.lit(value.isoformat(" ") if isinstance(value, dt.date) else value).cast("timestamp_ntz")
+    return F.lit(str(value)).cast("timestamp_ntz")
 
 
 def mapped(mapping: Mapping) -> Column:
