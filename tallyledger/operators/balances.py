@@ -23,8 +23,12 @@ def _lot_totals(balances: DataFrame) -> list[Column]:
     return totals
 
 
-def _texts(balances: DataFrame) -> list[str]:
-    return [name for name in ("item_description", "category") if name in balances.columns]
+def _picked_texts(balances: DataFrame) -> list[Column]:
+    return [
+        F.coalesce(F.min(non_blank(F.col(name))), F.lit("")).alias(name)
+        for name in ("item_description", "category")
+        if name in balances.columns
+    ]
 
 
 def _arranged(df: DataFrame) -> DataFrame:
@@ -35,17 +39,11 @@ def _arranged(df: DataFrame) -> DataFrame:
 def snapshot_current(balances: DataFrame, ordered: bool = False) -> DataFrame:
     """One row per item and warehouse: totals of its lots, newest date, a description, a category.
 
-    Lots are first added up per key and text, which hashes and combines before the shuffle; the
-    text itself (smallest that is not blank) is then picked from those few rows.
+    Of several texts the smallest that is not blank counts. Lots combine before the one shuffle.
     """
-    texts = _texts(balances)
-    lots = balances.groupBy(*KEY, *texts).agg(
-        F.max("balance_date").alias("balance_date"), *_lot_totals(balances)
-    )
-    picked = [F.coalesce(F.min(non_blank(F.col(name))), F.lit("")).alias(name) for name in texts]
     snapshot = _arranged(
-        lots.groupBy(*KEY).agg(
-            F.max("balance_date").alias("balance_date"), *_lot_totals(lots), *picked
+        balances.groupBy(*KEY).agg(
+            F.max("balance_date").alias("balance_date"), *_lot_totals(balances), *_picked_texts(balances)
         )
     )
     return snapshot.orderBy(F.col("quantity").desc(), *KEY) if ordered else snapshot
@@ -54,35 +52,17 @@ def snapshot_current(balances: DataFrame, ordered: bool = False) -> DataFrame:
 def snapshot_asof(balances: DataFrame, as_of: Moment, ordered: bool = False) -> DataFrame:
     """Balances as of a moment: each key at its own latest date on or before it.
 
-    Lots add up per key, date and text before any key is gathered, so a key with very many lots
-    never meets in one task; what is gathered is a few rows per date of the key, and one
-    exchange on the key serves both remaining aggregates.
+    Lots first add up per key and date, then each key keeps its latest date. Both are aggregates
+    that combine before their shuffle, so no key has to fit a window in one task.
     """
-    texts = _texts(balances)
-    lots = (
+    dated = (
         balances.where(F.col("balance_date") <= at(as_of))
-        .groupBy(*KEY, "balance_date", *texts)
-        .agg(*_lot_totals(balances))
-        .repartition(*KEY)
-    )
-    dated = lots.groupBy(*KEY, "balance_date").agg(
-        *_lot_totals(lots), *[F.min(non_blank(F.col(name))).alias(name) for name in texts]
-    )
-    carried = [name for name in ("quantity", "value", *texts) if name in dated.columns]
-    latest = dated.groupBy(*KEY).agg(
-        F.max("balance_date").alias("balance_date"),
-        F.max_by(F.struct(*carried), "balance_date").alias("latest"),
-    )
-    snapshot = _arranged(
-        latest.select(
-            *KEY,
-            "balance_date",
-            *[
-                (F.coalesce(F.col(f"latest.{name}"), F.lit("")) if name in texts else F.col(f"latest.{name}")).alias(name)
-                for name in carried
-            ],
-        )
+        .groupBy(*KEY, "balance_date")
+        .agg(*_lot_totals(balances), *_picked_texts(balances))
     )
+    carried = [name for name in dated.columns if name not in KEY]
+    latest = dated.groupBy(*KEY).agg(F.max_by(F.struct(*carried), "balance_date").alias("latest"))
+    snapshot = _arranged(latest.select(*KEY, "latest.*"))
     return snapshot.orderBy(F.col("quantity").desc(), *KEY) if ordered else snapshot
 
 

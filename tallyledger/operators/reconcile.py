@@ -36,23 +36,20 @@ def balance_legs(legs: list[DataFrame], rules: LedgerRules, *extra: str) -> Data
     """Add up the legs per key (and `extra`, the period of a chain) and work out the variance.
 
     A full outer join of opening, net movement and closing is the same as one aggregate over
-    their union. Rows first collapse per key and description, which hashes and combines before
-    the shuffle whatever a single key weighs. One exchange on the item then serves everything
-    after it: the totals per key, the description per item, and any later total per key. What an
-    item brings there is bounded by its warehouses, periods and description variants.
+    their union: amounts and the preferred description of a key combine before the shuffle,
+    whatever a single key weighs and however many texts it carries. One row per key (and
+    period) then moves to its item, and that exchange serves the description per item and any
+    later total per key; an item brings at most its warehouses times the periods.
     """
-    collapsed = (
-        reduce(DataFrame.unionByName, legs)
-        .where(F.col("item_code").isNotNull() & F.col("warehouse").isNotNull())
-        .groupBy(*KEY, *extra, "item_description", "source")
-        .agg(*[units_total(F.col(name)).alias(name) for name in _AMOUNTS])
-        .repartition("item_code")
-    )
     named = F.when(
         F.col("item_description").isNotNull(), F.struct("source", "item_description")
     )
-    totals = collapsed.groupBy(*KEY, *extra).agg(
-        *[units_total(F.col(name)).alias(name) for name in _AMOUNTS], F.min(named).alias("named")
+    totals = (
+        reduce(DataFrame.unionByName, legs)
+        .where(F.col("item_code").isNotNull() & F.col("warehouse").isNotNull())
+        .groupBy(*KEY, *extra)
+        .agg(*[units_total(F.col(name)).alias(name) for name in _AMOUNTS], F.min(named).alias("named"))
+        .repartition("item_code")
     )
     per_item = Window.partitionBy("item_code", *extra)
     expected = F.col("opening_qty") + F.col("net_movement")
@@ -93,18 +90,12 @@ def item_description_lookup(opening: DataFrame, closing: DataFrame, movements: D
         leg(rows, amount, F.lit(0.0)).select("item_code", "item_description", "source")
         for rows, amount in ((opening, "opening_qty"), (closing, "closing_qty"), (movements, "net_movement"))
     ]
-    # Distinct texts hash and combine before the shuffle; the pick then sees a few rows per item.
+    named = F.when(F.col("item_description").isNotNull(), F.struct("source", "item_description"))
     return (
         reduce(DataFrame.unionByName, legs)
         .where(F.col("item_code").isNotNull())
-        .groupBy("item_code", "item_description")
-        .agg(F.min("source").alias("source"))
         .groupBy("item_code")
-        .agg(
-            F.min(
-                F.when(F.col("item_description").isNotNull(), F.struct("source", "item_description"))
-            ).alias("named")
-        )
+        .agg(F.min(named).alias("named"))
         .select("item_code", F.coalesce("named.item_description", F.lit("")).alias("item_description"))
     )
 

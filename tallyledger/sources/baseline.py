@@ -42,15 +42,9 @@ def baseline_import(export: DataFrame, ds: Dataset, as_of: Moment) -> DataFrame:
         _number(export, ds, "quantity").alias("quantity"),
     ).where(strip(F.replace("item_code", F.lit("|"), F.lit(""))) != "")
 
-    # Totals per text first (a hash aggregate), then one text per key from those few rows.
-    baseline = (
-        rows.groupBy(*KEY, *texts)
-        .agg(exact_total(F.col("quantity")).alias("quantity"))
-        .groupBy(*KEY)
-        .agg(
-            *[F.coalesce(F.min(non_blank(F.col(name))), F.lit("")).alias(name) for name in texts],
-            exact_total(F.col("quantity")).alias("quantity"),
-        )
+    baseline = rows.groupBy(*KEY).agg(
+        *[F.coalesce(F.min(non_blank(F.col(name))), F.lit("")).alias(name) for name in texts],
+        exact_total(F.col("quantity")).alias("quantity"),
     )
     order = [*KEY, "balance_date", "item_description", "quantity", *texts[1:]]
     return baseline.withColumn("balance_date", at(as_of)).select(*order)

@@ -7,11 +7,13 @@ second reading, lots in stock; open orders are work in progress.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyledger import Dataset, LedgerRules
+from tallyledger.sources.scratch import checkpoint_folder
 
 # The movement types of each direction.
 RULES = LedgerRules(
@@ -284,7 +286,7 @@ def wip_job_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def snapshots(spark: SparkSession, sf_dir: str, ledger: str) -> DataFrame:
+def _captures(spark: SparkSession, sf_dir: str, ledger: str) -> DataFrame:
     """Four captures of a ledger's stock: 200 plus everything moved before the capture, plus drift.
 
     Parts divisible by 11 drift steadily, by 13 once and back, by 17 partly back.
@@ -325,32 +327,64 @@ def snapshots(spark: SparkSession, sf_dir: str, ledger: str) -> DataFrame:
     )
 
 
-def dated_balances(spark: SparkSession, sf_dir: str, ledger: str) -> DataFrame:
-    """All captures as one dated balance table, where parts divisible by 5 miss the third capture."""
-    third = F.col("snapshot_date") == F.lit(SNAPSHOT_DATES[2]).cast("date")
-    return snapshots(spark, sf_dir, ledger).where(~(third & (F.col("l_partkey") % 5 == 0))).drop("snapshot_date")
-
-
-def history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The captures of all three stores; work in progress holds the jobs opened before a capture."""
+def _job_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Work in progress at each capture: the jobs opened before it."""
     jobs = wip_job_table(spark, sf_dir).select(
         F.lit("wip_balance").alias("dataset"),
         F.col("Job No").alias("item_code"),
         F.lit("").alias("item_description"),
         F.col("Customer").alias("warehouse"),
         F.col("Priority").alias("category"),
+        F.lit(None).cast("bigint").alias("l_partkey"),
         "Opened",
         F.explode(F.array(*[F.lit(day).cast("date") for day in SNAPSHOT_DATES])).alias("snapshot_date"),
         (F.col("Job Value") * F.col("Ratio") * 0.01).alias("quantity"),
         F.col("Job Value").alias("value"),
     )
-    opened = jobs.where(F.col("Opened") < F.col("snapshot_date").cast("timestamp_ntz")).drop("Opened")
-    parts = [
-        snapshots(spark, sf_dir, "rm_movements").drop("l_partkey"),
-        snapshots(spark, sf_dir, "fg_movements").drop("l_partkey"),
-        opened.withColumn("balance_date", F.col("snapshot_date").cast("timestamp_ntz")),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    return (
+        jobs.withColumn("balance_date", F.col("snapshot_date").cast("timestamp_ntz"))
+        .where(F.col("Opened") < F.col("balance_date"))
+        .drop("Opened")
+    )
+
+
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The snapshot table of all three stores.
+
+    A history is a stored table by nature, so it is derived and written once per application, into
+    the checkpoint folder, partitioned as the engine's own snapshots are.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        path = f"{checkpoint_folder(spark).rstrip('/')}/{uuid.uuid4()}"
+        parts = [
+            _captures(spark, sf_dir, "rm_movements"),
+            _captures(spark, sf_dir, "fg_movements"),
+            _job_captures(spark, sf_dir),
+        ]
+        reduce(DataFrame.unionByName, parts).write.partitionBy("dataset", "snapshot_date").parquet(path)
+        _STORED[key] = path
+    return spark.read.schema(_HISTORY_SCHEMA).parquet(_STORED[key])
+
+
+_HISTORY_SCHEMA = (
+    "item_code string, item_description string, warehouse string, category string, l_partkey bigint, "
+    "balance_date timestamp_ntz, quantity double, value double, dataset string, snapshot_date date"
+)
+
+
+def snapshots(spark: SparkSession, sf_dir: str, ledger: str) -> DataFrame:
+    """The stored captures of one ledger's stock."""
+    return history(spark, sf_dir).where(F.col("dataset") == ledger.replace("movements", "balance"))
+
+
+def dated_balances(spark: SparkSession, sf_dir: str, ledger: str) -> DataFrame:
+    """All captures as one dated balance table, where parts divisible by 5 miss the third capture."""
+    third = F.col("snapshot_date") == F.lit(SNAPSHOT_DATES[2]).cast("date")
+    return snapshots(spark, sf_dir, ledger).where(~(third & (F.col("l_partkey") % 5 == 0))).drop("snapshot_date")
 
 
 def export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
