@@ -20,7 +20,7 @@ MEAN_DEVIATION_SCALE = 1.2533
 MIN_MOVEMENTS = 5
 
 # A key with more distinct quantities than this is ranked in parallel slices.
-SPLIT_ABOVE = 1_000_000
+SPLIT_ABOVE = 100_000
 
 
 def negative_balance(balances: DataFrame) -> DataFrame:
@@ -35,8 +35,8 @@ def negative_balance(balances: DataFrame) -> DataFrame:
 
 # ---- exact medians per key ---------------------------------------------------------------------
 # A frequency table (key, x, weight) stands for the rows: it is built by a plain count, so a key
-# with a third of all rows combines before the shuffle, and a median needs only running weights
-# over its distinct values.
+# with a third of all rows combines before the shuffle, and a median needs only the weights of its
+# distinct values.
 
 
 def _at_or_before(position: Column, reached: Column, weight: Column) -> Column:
@@ -46,22 +46,7 @@ def _at_or_before(position: Column, reached: Column, weight: Column) -> Column:
 
 def _middle(total: Column) -> tuple[Column, Column]:
     """0-based positions of the two middle entries (the same one for an odd number)."""
-    return F.floor((total - 1) / 2), F.floor(total / 2)
-
-
-def _median_in_order(values: DataFrame) -> DataFrame:
-    """Add `median` by one window per key over its distinct values."""
-    ordered = Window.partitionBy(*KEY).orderBy("x")
-    whole = Window.partitionBy(*KEY)
-    low, high = _middle(F.col("total"))
-    reached, weight = F.col("reached"), F.col("weight")
-    ranked = values.withColumn("total", F.sum("weight").over(whole)).withColumn(
-        "reached", F.sum("weight").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
-    )
-    middle = F.max(F.when(_at_or_before(low, reached, weight), F.col("x"))).over(whole) + F.max(
-        F.when(_at_or_before(high, reached, weight), F.col("x"))
-    ).over(whole)
-    return ranked.withColumn("median", middle / 2).drop("reached", "total")
+    return F.shiftright(total - 1, 1), F.shiftright(total, 1)
 
 
 def _slice_of(x: Column) -> Column:
@@ -123,8 +108,7 @@ def robust_values(movements: DataFrame, split_above: int = SPLIT_ABOVE) -> DataF
     """(key, x, weight, median, scale, movements) for every distinct quantity of every key.
 
     The frequency table is written once: it is far smaller than the ledger, and every later step
-    reads it. Keys with up to `split_above` distinct quantities are ranked by windows that share
-    one exchange. Only if there are wider keys (a check on the written table) does the plan also
+    reads it. Keys with up to `split_above` distinct quantities are ranked in one task each. Only if there are wider keys (a check on the written table) does the plan also
     rank those, in slices that spread over tasks; at most distinct values / split_above keys can
     be that wide, which bounds their list. Both ways are exact.
     """
@@ -144,23 +128,19 @@ def robust_values(movements: DataFrame, split_above: int = SPLIT_ABOVE) -> DataF
 
 
 def _narrow_stats(values: DataFrame) -> DataFrame:
-    whole = Window.partitionBy(*KEY)
-    centred = _median_in_order(values).select(
+    """Exact weighted medians over the distinct values of a key; both windows share one exchange."""
+    key = Window.partitionBy(*KEY)
+    deviation, total = F.abs(F.col("x") - F.col("median")), F.sum("weight").over(key)
+    return values.withColumn("median", F.percentile("x", 0.5, F.col("weight")).over(key)).select(
         *KEY,
-        F.col("x").alias("quantity"),
-        F.abs(F.col("x") - F.col("median")).alias("x"),
-        "weight",
-        F.col("median").alias("centre"),
-    )
-    spread = _median_in_order(centred)
-    mean = F.sum(F.col("x") * F.col("weight")).over(whole) / F.sum("weight").over(whole)
-    return spread.select(
-        *KEY,
-        F.col("quantity").alias("x"),
+        "x",
         "weight",
-        F.col("centre").alias("median"),
-        _scale(F.col("median"), mean).alias("scale"),
-        F.sum("weight").over(whole).alias("movements"),
+        "median",
+        _scale(
+            F.percentile(deviation, 0.5, F.col("weight")).over(key),
+            F.sum(deviation * F.col("weight")).over(key) / total,
+        ).alias("scale"),
+        total.alias("movements"),
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +19,10 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def written_once(df: DataFrame) -> DataFrame:
-    """Compute a result now and keep it in the checkpoint folder, safe from lost executors."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute a result now and keep it as a table in the checkpoint folder, safe from lost executors.
+
+    Unlike a checkpointed plan it is computed once, read by column, and joined by its true size.
+    """
+    path = f"{checkpoint_folder(df.sparkSession).rstrip('/')}/{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
