@@ -151,7 +151,8 @@ def normalize_balances(
         return _normalize(rows, "balance_date", None, tidy)
     if as_of is None:
         raise ValueError("a current-state balance needs as_of, the time it was read")
-    return _normalize(rows, "balance_date", F.date_trunc("second", at(as_of)).cast("timestamp_ntz"), tidy)
+    seconds = F.left(at(as_of).cast("string"), F.lit(len("2026-01-01 00:00:00")))  # free of the session zone
+    return _normalize(rows, "balance_date", seconds.cast("timestamp_ntz"), tidy)
 
 
 def ledger_union(ledgers: dict[str, DataFrame], scope: str = "all") -> DataFrame:

@@ -225,20 +225,20 @@ def test_newest_snapshot_file_on_or_before(spark):
 
 def test_import_repairs_keys_and_drops_blank_rows(spark):
     sheet = spark.createDataFrame(
-        [(None, None, None, None, None), ("BOB02D", 58.0, "Choc Conti", "Finished Goods", 4.0), ("BOB02D ", 58.0, "Choc Conti", "Finished Goods", 6.0), ("BOB02D", 54.0, "Choc Conti", None, 39.0)],
+        [(None, None, None, None, None), ("SUIT02", 58.0, "Choc Conti", "Finished Goods", 4.0), ("SUIT02 ", 58.0, "Choc Conti", "Finished Goods", 6.0), ("SUIT02", 54.0, "Choc Conti", None, 39.0)],
         "`Style #` string, Size double, `Product Desc` string, Warehouse string, Units double",
     )
     rows = baseline.baseline_import(sheet, balance(BALANCE), "2026-07-07").collect()
-    assert {(r.item_code, r.warehouse, r.quantity) for r in rows} == {("BOB02D|58", "Finished Goods", 10), ("BOB02D|54", "-", 39)}
+    assert {(r.item_code, r.warehouse, r.quantity) for r in rows} == {("SUIT02|58", "Finished Goods", 10), ("SUIT02|54", "-", 39)}
     assert {r.balance_date for r in rows} == {day("2026-07-07")}
-    dated = spark.createDataFrame([("KIDS01", dt.datetime(2026, 5, 6), "Kids", "Quattro", "12")], "`Style #` string, Size timestamp, `Product Desc` string, Warehouse string, Units string")
+    dated = spark.createDataFrame([("KIDS01", dt.datetime(2026, 5, 6), "Kids", "South Store", "12")], "`Style #` string, Size timestamp, `Product Desc` string, Warehouse string, Units string")
     row = one(baseline.baseline_import(dated, balance(BALANCE), "2026-07-07"))
     assert (row.item_code, row.quantity) == ("KIDS01|5/6", 12)
 
 
 def test_import_of_product_quantity(spark):
     sheet = spark.createDataFrame(
-        [("DO-1", "Army jacket", "Armscor", 29795.52, 34.97), ("DO-1", "Army jacket", "Armscor", 600.0, 34.97)],
+        [("DO-1", "Army jacket", "Acme", 29795.52, 34.97), ("DO-1", "Army jacket", "Acme", 600.0, 34.97)],
         "DONumber string, JobDescription string, Customer string, Value double, Ratio double",
     )
     ds = balance(BALANCE, item_code="DONumber", item_description="JobDescription", warehouse="Customer", quantity={"product": ["Value", "Ratio", 0.01]})
