@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyledger.llm import bpe, chat, decontamination, oracles, quality, warc
+from tallyledger.llm import bpe, chat, decontamination, extraction, langid, oracles, quality, suffix_dedup, warc
 
 _QUERIES = (
     decontamination.op2_benchmark_decontamination,
+    langid.op4_language_id,
     bpe.op5_bpe,
+    suffix_dedup.op6_suffix_dedup,
+    extraction.op7_html_extraction,
     quality.op8_quality_rules,
     warc.op9_warc,
     chat.op10_chat_formatting,
