@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyledger.llm import bpe, chat, decontamination, extraction, langid, oracles, quality, suffix_dedup, warc
+from tallyledger.llm import bpe, chat, decontamination, extraction, langid, lm_scoring, near_duplicates, oracles, quality, suffix_dedup, warc
 
 _QUERIES = (
+    lm_scoring.op1_lm_scoring,
     decontamination.op2_benchmark_decontamination,
+    near_duplicates.op3_jaccard_join,
     langid.op4_language_id,
     bpe.op5_bpe,
     suffix_dedup.op6_suffix_dedup,
