@@ -227,29 +227,49 @@ def _groups(column: pa.Array) -> Iterator[list[str]]:
         yield group
 
 
-def encode_documents(documents: DataFrame, vocabulary: str, key: str = "doc_id", digests: bool = False) -> DataFrame:
-    """key, ids (array) and decoded text; or with digests their number and SHA-256 instead, which stay small."""
+_OUTPUTS = {
+    "n_tokens": ("bigint", pa.int64()),
+    "ids": ("array<int>", pa.list_(pa.int32())),
+    "decoded": ("string", pa.string()),
+    "ids_sha256": ("string", pa.string()),
+    "decoded_sha256": ("string", pa.string()),
+}
+
+
+def encode_documents(
+    documents: DataFrame, vocabulary: str, key: str = "doc_id", outputs: tuple[str, ...] = ("ids", "decoded")
+) -> DataFrame:
+    """key and the outputs asked for: ids and the text decoded from them, their SHA-256 digests, n_tokens."""
     ready_workers(documents.sparkSession)
     key_type = documents.schema[key].dataType.simpleString()
-    columns = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digests else "ids array<bigint>, decoded string"
+    unknown = set(outputs) - set(_OUTPUTS)
+    if unknown:
+        raise ValueError(f"unknown outputs: {sorted(unknown)}")
+    decode = any(o.startswith("decoded") for o in outputs)
+
+    def row(bpe: RankArrayBPE, packed: bytes) -> list:
+        text = bpe.decode_packed(packed) if decode else b""
+        made = {
+            "n_tokens": lambda: len(packed) // 4,
+            "ids": lambda: np.frombuffer(packed, "<i4"),
+            "decoded": lambda: text.decode(),
+            "ids_sha256": lambda: hashlib.sha256(packed).hexdigest(),
+            "decoded_sha256": lambda: hashlib.sha256(text).hexdigest(),
+        }
+        return [made[o]() for o in outputs]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(vocabulary)
         for batch in batches:
-            made = []
-            coded = (packed for group in _groups(batch.column("text")) for packed in bpe.encode_many(group))
-            for packed in coded:
-                decoded = bpe.decode_packed(packed)
-                if digests:
-                    made.append((len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(decoded).hexdigest()))
-                else:
-                    made.append((np.frombuffer(packed, "<u4").astype("i8"), decoded.decode()))
-            kinds = [pa.int64(), pa.string(), pa.string()] if digests else [pa.list_(pa.int64()), pa.string()]
-            names = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"]
-            arrays = [pa.array([m[k] for m in made], kind) for k, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(key), *arrays], [key, *names])
-
-    return documents.select(key, "text").mapInArrow(run, f"`{key}` {key_type}, {columns}")
+            begin = 0
+            for group in _groups(batch.column("text")):
+                rows = [row(bpe, packed) for packed in bpe.encode_many(group)]
+                arrays = [pa.array([r[k] for r in rows], _OUTPUTS[o][1]) for k, o in enumerate(outputs)]
+                yield pa.RecordBatch.from_arrays([batch.column(key).slice(begin, len(group)), *arrays], [key, *outputs])
+                begin += len(group)
+
+    schema = ", ".join([f"`{key}` {key_type}", *(f"{o} {_OUTPUTS[o][0]}" for o in outputs)])
+    return documents.select(key, "text").mapInArrow(run, schema)
 
 
 def public_vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -259,4 +279,4 @@ def public_vocabulary(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op5_bpe(spark, sf_dir: str) -> DataFrame:
-    return encode_documents(table(spark, sf_dir, "documents"), public_vocabulary(), digests=True)
+    return encode_documents(table(spark, sf_dir, "documents"), public_vocabulary(), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))

@@ -138,12 +138,12 @@ def identify(documents: DataFrame, model: CentroidModel, keep: tuple[str, ...] =
     ready_workers(spark)
     shared = spark.sparkContext.broadcast(model)
     kept = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in keep)
-    columns = documents.select(*(F.col(c) for c in keep), F.col("text").alias("_text"))
+    columns = documents.select(*dict.fromkeys((*keep, "text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            made = [model.predict(x.as_py()) for x in batch.column("_text")]
+            made = [model.predict(x.as_py()) for x in batch.column("text")]
             kinds = ((0, pa.string()), (1, pa.float64()), (2, pa.bool_()))
             arrays = [pa.array([m[k] for m in made], kind) for k, kind in kinds]
             yield pa.RecordBatch.from_arrays(

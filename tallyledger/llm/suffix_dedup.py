@@ -312,8 +312,11 @@ def repeated_runs(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     return sent.groupBy("shard").applyInArrow(repeats, "doc bigint, key bigint, at bigint, run int")
 
 
-def remove_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The documents' columns with n_bytes, n_removed, spans (removed: at, length; maximal) and kept (the bytes that stay)."""
+def remove_repeats(documents: DataFrame, length: int = LENGTH, in_place: bool = False) -> DataFrame:
+    """The documents' columns with n_bytes, n_removed, spans (removed: at, length; maximal) and kept (the bytes that stay).
+
+    in_place puts what stays into text instead of kept; of a character cut in two, nothing stays.
+    """
     runs = repeated_runs(documents, length).groupBy("doc", "key")
     runs = runs.agg(F.collect_list(F.struct("at", "run")).alias("_dedup_runs"))
     runs = runs.select(F.col("doc").alias("_dedup_doc"), F.col("key").alias("_dedup_key"), "_dedup_runs")
@@ -322,6 +325,9 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     joined = documents.join(runs, (doc == F.col("_dedup_doc")) & (F.xxhash64(text) == F.col("_dedup_key")), "left")
     columns = documents.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)
+    added = {"n_bytes": "bigint", "n_removed": "bigint", "spans": "array<struct<at: bigint, length: bigint>>"}
+    if not in_place:
+        added["kept"] = "binary"
     span = pa.list_(pa.struct([("at", pa.int64()), ("length", pa.int64())]))
 
     def one(raw: bytes, runs: list[dict] | None) -> tuple[list[dict], bytes]:
@@ -348,16 +354,17 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
                 all_spans.append(spans)
                 all_kept.append(kept)
             removed = [n - len(k) for n, k in zip(sizes, all_kept, strict=True)]
-            made = [pa.array(sizes), pa.array(removed), pa.array(all_spans, span), pa.array(all_kept, pa.binary())]
-            made[0], made[1] = made[0].cast(pa.int64()), made[1].cast(pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in columns), *made], [*columns, "n_bytes", "n_removed", "spans", "kept"]
-            )
-
-    return joined.select(*columns, "_dedup_runs").mapInArrow(
-        cut,
-        f"{schema}, n_bytes bigint, n_removed bigint, spans array<struct<at: bigint, length: bigint>>, kept binary",
-    )
+            made = [pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(all_spans, span)]
+            made.append(pa.array(all_kept, pa.binary()))
+            own = {c: batch.column(c) for c in columns}
+            if in_place:
+                was = batch.column("text").is_null().to_pylist()
+                texts = [None if null else k.decode("utf-8", "ignore") for null, k in zip(was, all_kept, strict=True)]
+                own["text"] = pa.array(texts, pa.string())
+                made.pop()
+            yield pa.RecordBatch.from_arrays([*own.values(), *made], [*own, *added])
+
+    return joined.select(*columns, "_dedup_runs").mapInArrow(cut, f"{schema}, {', '.join(f'{k} {v}' for k, v in added.items())}")
 
 
 def op6_suffix_dedup(spark, sf_dir: str) -> DataFrame:
