@@ -113,9 +113,10 @@ def clean_documents(documents: DataFrame, benchmark: DataFrame, action: str = "d
         return documents.join(hits, same, "left_anti")
     if action != "cut":
         raise ValueError(f"unknown action: {action!r}")
-    word = NOT_ALNUM.replace("[", "[^", 1)
-    pieces = F.regexp_extract_all(F.col("text"), F.lit(f"(?s)({word})({NOT_ALNUM.removesuffix('+')}*)"), F.lit(0))
-    lead = F.regexp_extract("text", f"^{NOT_ALNUM.removesuffix('+')}*", 0)
+    # The text is not lower-cased here: A-Z belong to words too.
+    between = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+    pieces = F.regexp_extract_all(F.col("text"), F.lit(f"{between.replace('[', '[^')}+{between}*"), F.lit(0))
+    lead = F.regexp_extract("text", f"^{between}*", 0)
     kept = F.array_join(F.filter(pieces, lambda _, i: ~F.array_contains("_hits", i)), "")
     joined = documents.join(hits, same, "left")
     return joined.withColumn(

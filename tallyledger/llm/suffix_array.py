@@ -66,6 +66,8 @@ def common_prefixes(text: np.ndarray, order: np.ndarray) -> np.ndarray:
     before[order[1:]] = order[:-1]
     chained = np.zeros(n, bool)
     chained[1:] = (before[1:] == before[:-1] + 1) & (before[:-1] >= 0)
+    # Two suffixes that share nothing say nothing about the next two.
+    chained[1:] &= text[:-1] == text[np.maximum(before[:-1], 0)]
     heads = np.flatnonzero(~chained & (before >= 0))
     shared = np.zeros(n, np.int64)
     words = words_of(text, "<")
@@ -83,7 +85,7 @@ def common_prefixes(text: np.ndarray, order: np.ndarray) -> np.ndarray:
         a, b, live = a[go] + 8, b[go] + 8, live[go]
     shared[heads] = heads + found
     # A chain carries place + shared bytes on unchanged.
-    reach = np.maximum.accumulate(np.where(chained, 0, np.arange(n) + 1) )
+    reach = np.maximum.accumulate(np.where(chained, 0, np.arange(n) + 1))
     head_of = reach - 1
     shared = np.where(before >= 0, shared[head_of] - np.arange(n), 0)
     return np.maximum(shared, 0)[order]
