@@ -3,28 +3,31 @@
 from pyspark.sql import Column, functions as F
 
 _MICRO = 1_000_000
-# Whole parts below this leave the micro count exact in a double.
-_EXACT_WHOLE = 9_000_000_000
+# What is left below a millionth of an amount is a digit only beyond the noise of its last few bits.
+_NOISE = 2.0**-49
 
 
-def units_total(amount: Column) -> Column:
-    """Sum of quantities; nothing to add gives 0."""
-    return F.coalesce(F.sum(amount), F.lit(0.0))
+def _limbs(amount: Column) -> tuple[Column, Column, Column]:
+    """Whole part and millionths as bigints, and the rest as a double."""
+    whole = amount.cast("bigint")
+    millionths = F.rint((amount - whole) * F.lit(float(_MICRO))).cast("bigint")
+    below = amount - whole - millionths / F.lit(float(_MICRO))
+    return whole, millionths, F.when(F.abs(below) > F.abs(amount) * F.lit(_NOISE), below).otherwise(F.lit(0.0))
+
+
+def _joined(wholes: Column, millionths: Column, below: Column) -> Column:
+    counted = wholes.cast("decimal(38,0)") * F.lit(_MICRO) + millionths
+    return counted.cast("double") / F.lit(float(_MICRO)) + below
 
 
 def exact_sum(amount: Column) -> Column:
-    """Sum of money or balances that does not depend on row order; null when all are null.
+    """Sum of money or quantities; null when all are null.
 
-    Whole and millionth parts are added as two bigints, so partial sums combine exactly, a
-    retried task gives the same bits, and the hash aggregate keeps fixed-width buffers (decimal
-    sums cost several times more).
+    Whole and millionth parts are added as two bigints, so partial sums combine exactly and a retried task gives the
+    same bits; what is smaller is added beside them, so no digit is cut. The hash aggregate keeps fixed-width
+    buffers (decimal sums cost several times more).
     """
-    whole = amount.cast("bigint")
-    millionths = F.rint((amount - whole) * F.lit(float(_MICRO))).cast("bigint")
-    wholes, parts = F.sum(whole), F.sum(millionths)
-    small = (wholes * F.lit(_MICRO) + parts).cast("double")
-    large = (wholes.cast("decimal(38,0)") * F.lit(_MICRO) + parts).cast("double")
-    return F.when(F.abs(wholes) < F.lit(_EXACT_WHOLE), small).otherwise(large) / F.lit(float(_MICRO))
+    return _joined(*(F.sum(limb) for limb in _limbs(amount)))
 
 
 def exact_total(amount: Column) -> Column:
@@ -32,6 +35,20 @@ def exact_total(amount: Column) -> Column:
     return F.coalesce(exact_sum(amount), F.lit(0.0))
 
 
+def part_sums(name: str) -> list[Column]:
+    """The three sums of a column, for totals that are added up in two steps (see total_of_parts)."""
+    return [F.sum(limb).alias(f"{name}_{k}") for k, limb in enumerate(_limbs(F.col(name)))]
+
+
+def sum_of_parts(name: str) -> Column:
+    """exact_sum of a column from the part sums of its groups."""
+    return _joined(*(F.sum(f"{name}_{k}") for k in range(3)))
+
+
+def total_of_parts(name: str) -> Column:
+    return F.coalesce(sum_of_parts(name), F.lit(0.0))
+
+
 def plain_text(number: Column, digits: int) -> Column:
     """'-1234.5': rounded half-even on the exact binary value."""
     return F.replace(F.format_number(number, digits), F.lit(","), F.lit(""))

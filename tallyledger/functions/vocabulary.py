@@ -105,9 +105,11 @@ COLUMN_WORDS = {
     ),
 }
 
-# Source types accepted for a date and for a quantity.
+# Source types accepted for a date and for a quantity; Spark's own names follow.
 DATE_TYPES = ("date", "datetime", "datetime2", "smalldatetime", "datetimeoffset")
 NUMERIC_TYPES = ("int", "bigint", "smallint", "decimal", "numeric", "float", "real", "money")
+SPARK_DATE_TYPES = ("timestamp", "timestamp_ntz", "timestamp_ltz")
+SPARK_NUMERIC_TYPES = ("byte", "tinyint", "short", "integer", "long", "double", "dec")
 
 # Windows-1252 bytes 0x80-0x9F as Latin-1 reads them and as they are meant;
 # 0x81 0x8D 0x8F 0x90 0x9D have no meaning there.

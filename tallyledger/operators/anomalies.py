@@ -10,7 +10,6 @@ from ..config import LedgerRules
 from ..functions.numbers import plain_text
 from ..functions.vocabulary import KEY
 from ..sources.canonical import Moment, at
-from ..sources.scratch import written_once
 
 FINDING_COLUMNS = ("kind", "item_code", "warehouse", "detail", "value")
 
@@ -19,24 +18,20 @@ MEDIAN_DEVIATION_SCALE = 1.4826
 MEAN_DEVIATION_SCALE = 1.2533
 MIN_MOVEMENTS = 5
 
-# A key with more distinct quantities than this is ranked in parallel slices.
-SPLIT_ABOVE = 100_000
-
-
 def negative_balance(balances: DataFrame) -> DataFrame:
     """Keys whose latest balance is below zero; of several rows on that date the lowest counts."""
-    latest = balances.groupBy(*KEY).agg(
-        F.max(F.struct(F.col("balance_date"), (-F.col("quantity")).alias("below"))).alias("latest")
-    )
-    return latest.select(
-        *KEY, F.col("latest.balance_date").alias("balance_date"), (-F.col("latest.below")).alias("quantity")
-    ).where(F.col("quantity") < 0)
+    dated = balances.groupBy(*KEY, "balance_date").agg(F.min("quantity").alias("quantity"))
+    # A missing date is older than any.
+    when = F.coalesce("balance_date", F.lit("0001-01-01").cast("timestamp_ntz"))
+    latest = dated.groupBy(*KEY).agg(F.max("balance_date").alias("balance_date"), F.max_by("quantity", when).alias("quantity"))
+    return latest.where(F.col("quantity") < 0)
 
 
 # ---- exact medians per key ---------------------------------------------------------------------
 # A frequency table (key, x, weight) stands for the rows: it is built by a plain count, so a key
 # with a third of all rows combines before the shuffle, and a median needs only the weights of its
-# distinct values.
+# distinct values. Those are ranked in slices of the value range, which spread over tasks, so a
+# key of any width takes the same path.
 
 
 def _at_or_before(position: Column, reached: Column, weight: Column) -> Column:
@@ -50,12 +45,14 @@ def _middle(total: Column) -> tuple[Column, Column]:
 
 
 def _slice_of(x: Column) -> Column:
-    """A coarse value that never decreases as x grows: about 1% wide, at most some 150,000 of them."""
-    return (F.signum(x) * F.floor(F.log2(F.abs(x) + 1) * 64)).cast("bigint")
+    """A coarse value that never decreases as x grows: about 1% of x wide at every magnitude, also below one."""
+    # log2 of the smallest double is -1074; the shift keeps slices of small numbers next to that of zero.
+    wide = F.floor((F.log2(F.abs(x)) + 1075) * 64) + 1
+    return F.when(x == 0, F.lit(0)).otherwise(F.signum(x) * wide).cast("bigint")
 
 
-def _median_in_slices(values: DataFrame) -> DataFrame:
-    """Median per key for keys too wide for one task, as (key, median).
+def _medians(values: DataFrame) -> DataFrame:
+    """Median and total weight per key, as (key, median, total).
 
     Weights are first added up per slice of the value range; the slices that hold the middle
     positions are found from those sums, and only their values are put in order.
@@ -77,83 +74,39 @@ def _median_in_slices(values: DataFrame) -> DataFrame:
     )
     within = Window.partitionBy(*KEY, "slice").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
     reached, weight, x = F.col("reached"), F.col("weight"), F.col("x")
+    middles = [F.max(F.when(_at_or_before(place, reached, weight), x)) for place in (low, high)]
     return (
         sliced.join(slices, [*KEY, "slice"])
         .withColumn("reached", F.col("before") + F.sum("weight").over(within))
-        .groupBy(*KEY)
-        .agg(
-            (
-                (
-                    F.max(F.when(_at_or_before(low, reached, weight), x))
-                    + F.max(F.when(_at_or_before(high, reached, weight), x))
-                )
-                / 2
-            ).alias("median")
-        )
+        .groupBy(*KEY, "total")
+        .agg(((middles[0] + middles[1]) / 2).alias("median"))
     )
 
 
 def quantity_frequencies(movements: DataFrame) -> DataFrame:
-    """(key, x, weight): how often each quantity occurs."""
-    return (
-        movements.where(
-            F.col("item_code").isNotNull() & F.col("warehouse").isNotNull() & F.col("quantity").isNotNull()
-        )
-        .groupBy(*KEY, F.col("quantity").alias("x"))
-        .agg(F.count(F.lit(1)).alias("weight"))
-    )
-
-
-def robust_values(movements: DataFrame, split_above: int = SPLIT_ABOVE) -> DataFrame:
-    """(key, x, weight, median, scale, movements) for every distinct quantity of every key.
-
-    The frequency table is written once: it is far smaller than the ledger, and every later step
-    reads it. Keys with up to `split_above` distinct quantities are ranked in one task each. Only if there are wider keys (a check on the written table) does the plan also
-    rank those, in slices that spread over tasks; at most distinct values / split_above keys can
-    be that wide, which bounds their list. Both ways are exact.
-    """
-    frequencies = written_once(quantity_frequencies(movements))
-    wide = (
-        frequencies.groupBy(*KEY)
-        .agg(F.count(F.lit(1)).alias("distinct"))
-        .where(F.col("distinct") > split_above)
-        .select(*KEY)
-    )
-    if wide.isEmpty():
-        return _narrow_stats(frequencies)
-    listed = F.broadcast(wide)
-    return _narrow_stats(frequencies.join(listed, list(KEY), "left_anti")).unionByName(
-        _wide_stats(frequencies.join(listed, list(KEY), "left_semi"))
+    """(key, x, weight, last_move): how often each quantity occurs, and when it did last."""
+    counted = movements.groupBy(*KEY, F.col("quantity").alias("x")).agg(
+        F.count(F.lit(1)).alias("weight"), F.max("movement_date").alias("last_move")
     )
+    # Always true: it makes every reader ask for all columns, so that all share one exchange.
+    return counted.where((F.col("weight") > 0) | F.col("last_move").isNotNull())
 
 
-def _narrow_stats(values: DataFrame) -> DataFrame:
-    """Exact weighted medians over the distinct values of a key; both windows share one exchange."""
-    key = Window.partitionBy(*KEY)
-    deviation, total = F.abs(F.col("x") - F.col("median")), F.sum("weight").over(key)
-    return values.withColumn("median", F.percentile("x", 0.5, F.col("weight")).over(key)).select(
-        *KEY,
-        "x",
-        "weight",
-        "median",
-        _scale(
-            F.percentile(deviation, 0.5, F.col("weight")).over(key),
-            F.sum(deviation * F.col("weight")).over(key) / total,
-        ).alias("scale"),
-        total.alias("movements"),
+def robust_values(movements: DataFrame) -> DataFrame:
+    """(key, x, weight, median, scale, movements) for every distinct quantity of every key."""
+    values = (
+        quantity_frequencies(movements)
+        .where(F.col("item_code").isNotNull() & F.col("warehouse").isNotNull() & F.col("x").isNotNull())
+        .select(*KEY, "x", "weight")
     )
-
-
-def _wide_stats(values: DataFrame) -> DataFrame:
-    centre = _median_in_slices(values).withColumnRenamed("median", "centre")
+    centre = _medians(values).select(*KEY, F.col("median").alias("centre"), F.col("total").alias("movements"))
     deviations = values.join(centre, list(KEY)).select(
-        *KEY, F.abs(F.col("x") - F.col("centre")).alias("x"), "weight", "centre"
+        *KEY, F.abs(F.col("x") - F.col("centre")).alias("x"), "weight", "centre", "movements"
     )
-    means = deviations.groupBy(*KEY, "centre").agg(
-        (F.sum(F.col("x") * F.col("weight")) / F.sum("weight")).alias("mean"),
-        F.sum("weight").alias("movements"),
+    means = deviations.groupBy(*KEY, "centre", "movements").agg(
+        (F.sum(F.col("x") * F.col("weight")) / F.sum("weight")).alias("mean")
     )
-    stats = means.join(_median_in_slices(deviations.select(*KEY, "x", "weight")), list(KEY))
+    stats = means.join(_medians(deviations.select(*KEY, "x", "weight")), list(KEY))
     return values.join(stats, list(KEY)).select(
         *KEY,
         "x",
@@ -168,10 +121,10 @@ def _scale(mad: Column, mean: Column) -> Column:
     return F.when(mad > 0, F.lit(MEDIAN_DEVIATION_SCALE) * mad).otherwise(F.lit(MEAN_DEVIATION_SCALE) * mean)
 
 
-def robust_stats(movements: DataFrame, split_above: int = SPLIT_ABOVE) -> DataFrame:
+def robust_stats(movements: DataFrame) -> DataFrame:
     """Median, robust scale and number of movements per item and warehouse, on raw quantities."""
     return (
-        robust_values(movements, split_above)
+        robust_values(movements)
         .groupBy(*KEY)
         .agg(
             F.max("median").alias("median"),
@@ -181,9 +134,7 @@ def robust_stats(movements: DataFrame, split_above: int = SPLIT_ABOVE) -> DataFr
     )
 
 
-def outlier_movements(
-    movements: DataFrame, rules: LedgerRules, split_above: int = SPLIT_ABOVE
-) -> DataFrame:
+def outlier_movements(movements: DataFrame, rules: LedgerRules) -> DataFrame:
     """Movements far from what is typical for their item and warehouse.
 
     Whether a movement is an outlier depends only on its key and quantity, so the verdict is made
@@ -191,7 +142,7 @@ def outlier_movements(
     """
     far = F.abs(F.col("x") - F.col("median")) / F.col("scale") > rules.outlier_zscore
     flagged = (
-        robust_values(movements, split_above)
+        robust_values(movements)
         .where((F.col("movements") >= MIN_MOVEMENTS) & (F.col("scale") > 0))
         .where(far)
         .select(*KEY, F.col("x").alias("quantity"), "median", "scale")
@@ -206,10 +157,11 @@ def dormant_items(
 
     `as_of` defaults to the date of the newest movement.
     """
-    now = at(as_of) if as_of is not None else movements.select(F.max("movement_date")).scalar()
+    moved = quantity_frequencies(movements)  # the exchange that the outliers use
+    now = at(as_of) if as_of is not None else moved.select(F.max("last_move")).scalar()
     return (
-        movements.groupBy(*KEY)
-        .agg(F.max("movement_date").alias("last_move"))
+        moved.groupBy(*KEY)
+        .agg(F.max("last_move").alias("last_move"))
         .withColumn("as_of", now)
         .withColumn("idle_days", F.extract(F.lit("DAY"), F.col("as_of") - F.col("last_move")))
         .where(F.col("idle_days") > rules.dormant_days)
@@ -225,7 +177,6 @@ def anomalies(
     balances: DataFrame | None,
     rules: LedgerRules,
     as_of: Moment | None = None,
-    split_above: int = SPLIT_ABOVE,
 ) -> DataFrame:
     """All findings, one row each: kind, item, warehouse, detail text and value."""
     findings = []
@@ -241,7 +192,7 @@ def anomalies(
             )
         )
     findings.append(
-        outlier_movements(movements, rules, split_above).select(
+        outlier_movements(movements, rules).select(
             F.lit("outlier_movement").alias("kind"),
             *KEY,
             F.concat(

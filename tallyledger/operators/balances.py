@@ -8,7 +8,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.cells import non_blank
-from ..functions.numbers import exact_sum, exact_total
+from ..functions.numbers import exact_sum, exact_total, part_sums, total_of_parts
 from ..functions.vocabulary import KEY, STORES
 from ..sources.canonical import Moment, at
 
@@ -16,18 +16,29 @@ from ..sources.canonical import Moment, at
 _STORE_COLUMNS = ("dataset", "label", "unit", "ledger")
 
 
-def _lot_totals(balances: DataFrame) -> list[Column]:
-    totals = [exact_total(F.col("quantity")).alias("quantity")]
-    if "value" in balances.columns:
-        totals.append(exact_total(F.col("value")).alias("value"))
-    return totals
+def _combined(balances: DataFrame, *dates: Column) -> DataFrame:
+    """Lots added up per key, date and texts: numbers alone, so rows combine by hash before the shuffle.
+
+    What is left, a row per different text, can afford the sort that picking a text takes.
+    """
+    texts = [
+        non_blank(F.col(name)).alias(name) for name in ("item_description", "category") if name in balances.columns
+    ]
+    amounts = [name for name in ("quantity", "value") if name in balances.columns]
+    newest = [F.max("balance_date").alias("balance_date")] if not dates else []
+    sums = [part for name in amounts for part in part_sums(name)]
+    return balances.groupBy(*KEY, *dates, *texts).agg(*newest, *sums)
 
 
-def _picked_texts(balances: DataFrame) -> list[Column]:
+def _totals(combined: DataFrame) -> list[Column]:
+    return [total_of_parts(name).alias(name) for name in ("quantity", "value") if f"{name}_0" in combined.columns]
+
+
+def _picked_texts(combined: DataFrame) -> list[Column]:
     return [
-        F.coalesce(F.min(non_blank(F.col(name))), F.lit("")).alias(name)
+        F.coalesce(F.min(name), F.lit("")).alias(name)
         for name in ("item_description", "category")
-        if name in balances.columns
+        if name in combined.columns
     ]
 
 
@@ -39,11 +50,12 @@ def _arranged(df: DataFrame) -> DataFrame:
 def snapshot_current(balances: DataFrame, ordered: bool = False) -> DataFrame:
     """One row per item and warehouse: totals of its lots, newest date, a description, a category.
 
-    Of several texts the smallest that is not blank counts. Lots combine before the one shuffle.
+    Of several texts the smallest that is not blank counts.
     """
+    combined = _combined(balances)
     snapshot = _arranged(
-        balances.groupBy(*KEY).agg(
-            F.max("balance_date").alias("balance_date"), *_lot_totals(balances), *_picked_texts(balances)
+        combined.groupBy(*KEY).agg(
+            F.max("balance_date").alias("balance_date"), *_totals(combined), *_picked_texts(combined)
         )
     )
     return snapshot.orderBy(F.col("quantity").desc(), *KEY) if ordered else snapshot
@@ -52,14 +64,11 @@ def snapshot_current(balances: DataFrame, ordered: bool = False) -> DataFrame:
 def snapshot_asof(balances: DataFrame, as_of: Moment, ordered: bool = False) -> DataFrame:
     """Balances as of a moment: each key at its own latest date on or before it.
 
-    Lots first add up per key and date, then each key keeps its latest date. Both are aggregates
-    that combine before their shuffle, so no key has to fit a window in one task.
+    Lots first add up per key, date and texts, then per key and date, then each key keeps its latest date. All are
+    aggregates that combine before their shuffle, so no key has to fit a window in one task.
     """
-    dated = (
-        balances.where(F.col("balance_date") <= at(as_of))
-        .groupBy(*KEY, "balance_date")
-        .agg(*_lot_totals(balances), *_picked_texts(balances))
-    )
+    combined = _combined(balances.where(F.col("balance_date") <= at(as_of)), F.col("balance_date"))
+    dated = combined.groupBy(*KEY, "balance_date").agg(*_totals(combined), *_picked_texts(combined))
     carried = [name for name in dated.columns if name not in KEY]
     latest = dated.groupBy(*KEY).agg(F.max_by(F.struct(*carried), "balance_date").alias("latest"))
     snapshot = _arranged(latest.select(*KEY, "latest.*"))

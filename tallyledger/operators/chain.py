@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..config import LedgerRules
 from ..functions.cells import non_blank
-from ..functions.numbers import units_total
+from ..functions.numbers import exact_total
 from ..functions.vocabulary import KEY
 from .movements import is_excluded, signed_quantity
 from .reconcile import balance_legs, leg
@@ -133,12 +133,12 @@ def chain_classify(
     """
     variance = F.col("variance")
     per_period = [
-        units_total(F.when(F.col("period") == label, variance)).alias(label) for label in labels
+        exact_total(F.when(F.col("period") == label, variance)).alias(label) for label in labels
     ]
     totals = periods.groupBy(*KEY).agg(
         F.coalesce(F.min(non_blank(F.col("item_description"))), F.lit("")).alias("item_description"),
-        units_total(F.abs(variance)).alias("gross_variance"),
-        units_total(variance).alias("net_variance"),
+        exact_total(F.abs(variance)).alias("gross_variance"),
+        exact_total(variance).alias("net_variance"),
         F.count_if(F.abs(variance) > tolerance).alias("periods_flagged"),
         *per_period,
     )
@@ -175,7 +175,7 @@ def chain_wide(periods: DataFrame, labels: Sequence[str]) -> DataFrame:
 def chain_class_counts(classified: DataFrame) -> DataFrame:
     """Keys and net variance per class."""
     return classified.groupBy("classification").agg(
-        F.count(F.lit(1)).alias("items"), units_total(F.col("net_variance")).alias("net_variance")
+        F.count(F.lit(1)).alias("items"), exact_total(F.col("net_variance")).alias("net_variance")
     )
 
 

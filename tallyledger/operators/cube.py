@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import LedgerRules
-from ..functions.numbers import exact_total, rounded, units_total
+from ..functions.numbers import exact_total, rounded
 from ..functions.vocabulary import OTHER, OUTSIDE_COVERAGE, SAME_BASELINE, TOP_CATEGORIES
 from ..sources.canonical import at
 from .balances import store_frame
@@ -41,7 +41,7 @@ def category_rank_topn(movements: DataFrame, rules: LedgerRules, top: int = TOP_
         .groupBy("category")
         .agg(
             exact_total(F.abs("signed_val")).alias("gross_value"),
-            units_total(F.abs("signed_qty")).alias("gross_units"),
+            exact_total(F.abs("signed_qty")).alias("gross_units"),
         )
     )
     return gross.orderBy(F.col("gross_value").desc(), F.col("gross_units").desc(), "category").limit(top)
@@ -76,12 +76,12 @@ def category_day_cube(movements: DataFrame, rules: LedgerRules, top: int = TOP_C
     directions = (
         _categorized(movements, rules)
         .groupBy(F.to_date("movement_date").alias("day"), "category", "direction")
-        .agg(units_total(F.col("signed_qty")).alias("units"), exact_total(F.col("signed_val")).alias("value"))
+        .agg(exact_total(F.col("signed_qty")).alias("units"), exact_total(F.col("signed_val")).alias("value"))
     )
     folded = (
         fold_categories(directions, category_rank_topn(movements, rules, top))
         .groupBy("day", "category", "direction")
-        .agg(units_total(F.col("units")).alias("units"), exact_total(F.col("value")).alias("value"))
+        .agg(exact_total(F.col("units")).alias("units"), exact_total(F.col("value")).alias("value"))
         .withColumn("units", rounded(F.col("units"), 1))
         .withColumn("value", rounded(F.col("value"), 2))
     )
@@ -173,7 +173,7 @@ def store_reconciliation(
         cube.join(spans, "ledger")
         .where((F.col("day") >= opened) & (F.col("day") < closed))
         .groupBy("ledger")
-        .agg(units_total(cube_net("units")).alias("net"))
+        .agg(exact_total(cube_net("units")).alias("net"))
     )
     net = F.when(anchored, F.coalesce("net", F.lit(0.0)))
     expected = F.col("opening_qty") + net

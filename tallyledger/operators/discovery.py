@@ -14,6 +14,8 @@ from ..functions.vocabulary import (
     DATE_TYPES,
     MOVEMENT_COLUMNS,
     NUMERIC_TYPES,
+    SPARK_DATE_TYPES,
+    SPARK_NUMERIC_TYPES,
 )
 
 _TABLE = ("table_schema", "table_name")
@@ -64,11 +66,11 @@ def _preference(canonical: str) -> Column:
     for position, word in enumerate(COLUMN_WORDS[canonical]):
         hit = name.contains(word)
         place = F.when(hit, position) if place is None else place.when(hit, position)
-    dtype = F.lower("data_type")
+    dtype = F.regexp_replace(F.lower(F.trim("data_type")), r"\s*\(.*", "")  # decimal(18,2) is a decimal
     if canonical in ("movement_date", "balance_date"):
-        place = F.when(dtype.isin(*DATE_TYPES), place)
+        place = F.when(dtype.isin(*DATE_TYPES, *SPARK_DATE_TYPES), place)
     elif canonical == "quantity":
-        place = F.when(dtype.isin(*NUMERIC_TYPES), place)
+        place = F.when(dtype.isin(*NUMERIC_TYPES, *SPARK_NUMERIC_TYPES), place)
     return place
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import LedgerRules
-from ..functions.numbers import exact_total, rounded, units_total
+from ..functions.numbers import exact_total, rounded
 from ..functions.vocabulary import (
     CUSTOMERS,
     DIRECT_SALES,
@@ -108,7 +108,7 @@ def flow_contributions(movements: DataFrame, rules: LedgerRules, measure: str =
         .groupBy("source", "target")
         .agg(
             exact_total(F.col("money") * sign).alias("money"),
-            units_total(F.col("units") * sign).alias("units"),
+            exact_total(F.col("units") * sign).alias("units"),
             exact_total(F.col("money")).alias("gross_money"),
         )
         .withColumn("by_money", _by_money())
@@ -191,9 +191,9 @@ def flow_components(movements: DataFrame, measure: str = "value", ordered: bool
         .groupBy("dataset", "movement_type")
         .agg(
             F.count(F.lit(1)).alias("rows"),
-            units_total(F.col("quantity")).alias("units"),
+            exact_total(F.col("quantity")).alias("units"),
             exact_total(F.col("money")).alias("gross_money"),
-            units_total(F.col("units")).alias("gross_units"),
+            exact_total(F.col("units")).alias("gross_units"),
         )
         .withColumn("by_money", _by_money())
         .select(

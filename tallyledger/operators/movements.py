@@ -8,7 +8,7 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import LedgerRules
-from ..functions.numbers import units_total
+from ..functions.numbers import exact_total
 
 DRILLDOWN_COLUMNS = (
     "movement_date",
@@ -93,7 +93,7 @@ def exclusion_totals(movements: DataFrame, rules: LedgerRules) -> DataFrame:
     return (
         tag_exclusions(movements, rules)
         .groupBy("excluded")
-        .agg(F.count(F.lit(1)).alias("movements"), units_total(F.col("quantity")).alias("quantity"))
+        .agg(F.count(F.lit(1)).alias("movements"), exact_total(F.col("quantity")).alias("quantity"))
     )
 
 
@@ -108,5 +108,5 @@ def movement_drilldown(movements: DataFrame, ordered: bool = True) -> DataFrame:
 def drilldown_totals(movements: DataFrame) -> DataFrame:
     """Net quantity and number of transactions of a drill-down."""
     return movements.agg(
-        units_total(F.col("quantity")).alias("net_quantity"), F.count(F.lit(1)).alias("movements")
+        exact_total(F.col("quantity")).alias("net_quantity"), F.count(F.lit(1)).alias("movements")
     )

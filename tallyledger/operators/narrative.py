@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import vocabulary as words
 from ..functions.cells import strip
-from ..functions.numbers import grouped_text, signed_text, units_total
+from ..functions.numbers import exact_total, grouped_text, signed_text
 from ..functions.vocabulary import KEY
 
 
@@ -42,7 +42,7 @@ def explain_summary_numbers(summary: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("rows"),
         F.count_distinct("item_code").alias("items"),
         F.count_distinct("warehouse").alias("warehouses"),
-        *[units_total(F.col(name)).alias(name) for name in ("receipt", "issue", "adjustment", "net")],
+        *[exact_total(F.col(name)).alias(name) for name in ("receipt", "issue", "adjustment", "net")],
     )
 
 
@@ -50,7 +50,7 @@ def top_movers(summary: DataFrame, top_n: int = 10) -> DataFrame:
     """Items and warehouses with the largest net change over all periods."""
     return (
         summary.groupBy(*KEY)
-        .agg(units_total(F.col("net")).alias("net"))
+        .agg(exact_total(F.col("net")).alias("net"))
         .orderBy(F.abs("net").desc(), *KEY)
         .limit(top_n)
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import LedgerRules
 from ..functions.cells import non_blank
-from ..functions.numbers import units_total
+from ..functions.numbers import part_sums, total_of_parts
 from ..functions.vocabulary import KEY
 from ..sources.canonical import Moment, at, in_window
 from .balances import snapshot_asof
@@ -36,10 +36,10 @@ def balance_legs(legs: list[DataFrame], rules: LedgerRules, *extra: str) -> Data
     """Add up the legs per key (and `extra`, the period of a chain) and work out the variance.
 
     A full outer join of opening, net movement and closing is the same as one aggregate over
-    their union: amounts and the preferred description of a key combine before the shuffle,
-    whatever a single key weighs and however many texts it carries. One row per key (and
-    period) then moves to its item, and that exchange serves the description per item and any
-    later total per key; an item brings at most its warehouses times the periods.
+    their union: amounts of a key and text combine by hash before the shuffle, whatever a single
+    key weighs. One row per key, period and text then moves to its item, and that exchange serves
+    the totals per key, the description per item and any later total per key; an item brings at
+    most its warehouses times the periods times its texts.
     """
     named = F.when(
         F.col("item_description").isNotNull(), F.struct("source", "item_description")
@@ -47,9 +47,11 @@ def balance_legs(legs: list[DataFrame], rules: LedgerRules, *extra: str) -> Data
     totals = (
         reduce(DataFrame.unionByName, legs)
         .where(F.col("item_code").isNotNull() & F.col("warehouse").isNotNull())
-        .groupBy(*KEY, *extra)
-        .agg(*[units_total(F.col(name)).alias(name) for name in _AMOUNTS], F.min(named).alias("named"))
+        .groupBy(*KEY, *extra, "source", "item_description")
+        .agg(*[part for name in _AMOUNTS for part in part_sums(name)])
         .repartition("item_code")
+        .groupBy(*KEY, *extra)
+        .agg(*[total_of_parts(name).alias(name) for name in _AMOUNTS], F.min(named).alias("named"))
     )
     per_item = Window.partitionBy("item_code", *extra)
     expected = F.col("opening_qty") + F.col("net_movement")
@@ -94,6 +96,8 @@ def item_description_lookup(opening: DataFrame, closing: DataFrame, movements: D
     return (
         reduce(DataFrame.unionByName, legs)
         .where(F.col("item_code").isNotNull())
+        .groupBy("item_code", "source", "item_description")  # by hash, before the sort that picking takes
+        .agg(F.count(F.lit(1)))
         .groupBy("item_code")
         .agg(F.min(named).alias("named"))
         .select("item_code", F.coalesce("named.item_description", F.lit("")).alias("item_description"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import LedgerRules
 from ..functions.cells import strip
-from ..functions.numbers import exact_total, units_total
+from ..functions.numbers import exact_total
 from ..functions.vocabulary import DIRECTIONS, KEY, UNSPECIFIED
 from .movements import signed_quantity
 
@@ -33,7 +33,7 @@ def period_start(moment: Column, freq: str) -> Column:
 def direction_totals(amount: Column, names: Sequence[str] = DIRECTIONS) -> list[Column]:
     """One conditional sum per direction: a pivot without a job to find its columns."""
     return [
-        units_total(F.when(F.col("direction") == name, amount)).alias(name) for name in names
+        exact_total(F.when(F.col("direction") == name, amount)).alias(name) for name in names
     ]
 
 
@@ -50,12 +50,14 @@ def movement_summary(
 ) -> DataFrame:
     """Receipts, issues, adjustments, other and net per item, warehouse and period.
 
-    Buckets outside the standard four show only if named in `extra_directions` and never enter net.
+    Buckets of the rules outside the standard four, and those named in `extra_directions`, show too but never enter net.
     """
+    buckets = [bucket.rstrip("s") for bucket in rules.movement_types]
+    shown = list(dict.fromkeys([*DIRECTIONS, *buckets, *extra_directions]))
     rows = signed_quantity(movements, rules).withColumn("period", period_start(F.col("movement_date"), freq))
     summary = (
         rows.groupBy(*KEY, "period")
-        .agg(*direction_totals(F.col("signed_qty"), [*DIRECTIONS, *extra_directions]))
+        .agg(*direction_totals(F.col("signed_qty"), shown))
         .withColumn("net", net_of_directions())
     )
     return summary.orderBy(*KEY, "period") if ordered else summary
@@ -93,7 +95,7 @@ def movement_types(movements: DataFrame, ordered: bool = True) -> DataFrame:
     keys = [name for name in ("dataset", "movement_type") if name in movements.columns]
     types = movements.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("rows"),
-        units_total(F.col("quantity")).alias("total_units"),
+        exact_total(F.col("quantity")).alias("total_units"),
         F.min("quantity").alias("min_qty"),
         F.max("quantity").alias("max_qty"),
     )
@@ -105,5 +107,5 @@ def movement_net(movements: DataFrame, rules: LedgerRules) -> DataFrame:
     return (
         signed_quantity(movements, rules)
         .groupBy(*KEY)
-        .agg(units_total(F.col("signed_qty")).alias("net_movement"))
+        .agg(exact_total(F.col("signed_qty")).alias("net_movement"))
     )

@@ -17,7 +17,7 @@ from ..functions.cells import (
     tighten_separator,
     type_of,
 )
-from ..functions.numbers import exact_total
+from ..functions.numbers import part_sums, total_of_parts
 from ..functions.vocabulary import EXPORT_SHEETS, KEY
 from .canonical import Moment, at
 
@@ -42,9 +42,10 @@ def baseline_import(export: DataFrame, ds: Dataset, as_of: Moment) -> DataFrame:
         _number(export, ds, "quantity").alias("quantity"),
     ).where(strip(F.replace("item_code", F.lit("|"), F.lit(""))) != "")
 
-    baseline = rows.groupBy(*KEY).agg(
-        *[F.coalesce(F.min(non_blank(F.col(name))), F.lit("")).alias(name) for name in texts],
-        exact_total(F.col("quantity")).alias("quantity"),
+    # Numbers combine by hash per key and texts; only what is left is sorted to pick a text.
+    combined = rows.groupBy(*KEY, *[non_blank(F.col(name)).alias(name) for name in texts]).agg(*part_sums("quantity"))
+    baseline = combined.groupBy(*KEY).agg(
+        *[F.coalesce(F.min(name), F.lit("")).alias(name) for name in texts], total_of_parts("quantity").alias("quantity")
     )
     order = [*KEY, "balance_date", "item_description", "quantity", *texts[1:]]
     return baseline.withColumn("balance_date", at(as_of)).select(*order)

@@ -130,7 +130,7 @@ history AS (
 
 
 def _money(expression: str) -> str:
-    return f"CAST(sum(CAST({expression} AS DECIMAL(28, 6))) AS DOUBLE)"
+    return f"CAST(sum(CAST({expression} AS DECIMAL(38, 9))) AS DOUBLE)"
 
 
 _TOTALS = ", ".join(
@@ -356,7 +356,7 @@ catalog AS (
            || ['Trans', 'StockBalance', 'MovementHistory', 'SOH', 'Codes', 'Names', 'List'][(t // 5) % 7 + 1] || t AS table_name,
          ['ItemCode', 'Descr', 'Whse', 'TransDate', 'TransType', 'Qty', 'DocRef', 'AsAtDate', 'Store', 'Quantity', 'Notes']
            [(p_partkey * 7 + t) % 11 + 1] || p_size AS column_name,
-         ['varchar', 'datetime', 'decimal', 'date', 'int'][p_size % 5 + 1] AS data_type,
+         ['varchar', 'datetime', 'decimal(18,2)', 'date', 'int', 'timestamp_ntz', 'double', 'string'][p_size % 8 + 1] AS data_type,
          (p_partkey % 8 + 1)::INTEGER AS ordinal
   FROM (SELECT *, p_partkey // 8 AS t FROM part)
 ),
@@ -399,8 +399,8 @@ guesses AS (
   LEFT JOIN (
     SELECT table_schema, table_name, canonical, column_name FROM catalog, patterns
     WHERE contains(lower(column_name), word)
-      AND (canonical NOT IN ('movement_date', 'balance_date') OR data_type IN ('date', 'datetime'))
-      AND (canonical <> 'quantity' OR data_type IN ('int', 'decimal'))
+      AND (canonical NOT IN ('movement_date', 'balance_date') OR data_type IN ('date', 'datetime', 'timestamp_ntz'))
+      AND (canonical <> 'quantity' OR data_type IN ('int', 'double') OR data_type LIKE 'decimal%')
     QUALIFY row_number() OVER (PARTITION BY table_schema, table_name, canonical ORDER BY place, ordinal) = 1
   ) g USING (table_schema, table_name, canonical)
 ),
@@ -525,6 +525,17 @@ def oracle_sql() -> dict[str, str]:
             _LEDGER, _FLOW, f"SELECT {_CANONICAL}, dataset, direction, source, target, coalesce(sign, 0)::INTEGER AS sign FROM routed"
         ),
         "movement_summary": _with(_LEDGER, _summary("mov", "month", "quantity")),
+        "movement_summary_buckets": _with(
+            _LEDGER,
+            """SELECT *, receipt + issue + adjustment + other AS net FROM (
+               SELECT item_code, warehouse, strftime(date_trunc('month', movement_date), '%Y-%m-%d %H:%M:%S') AS period,
+                      sum(CASE WHEN direction = 'receipt' AND movement_type NOT LIKE 'RETURN%' THEN quantity ELSE 0 END)::DOUBLE AS receipt,
+                      sum(CASE WHEN direction = 'issue' THEN quantity ELSE 0 END)::DOUBLE AS issue,
+                      sum(CASE WHEN direction = 'adjustment' THEN quantity ELSE 0 END)::DOUBLE AS adjustment,
+                      sum(CASE WHEN direction = 'other' THEN quantity ELSE 0 END)::DOUBLE AS other,
+                      sum(CASE WHEN direction = 'receipt' AND movement_type LIKE 'RETURN%' THEN quantity ELSE 0 END)::DOUBLE AS "return"
+               FROM mov GROUP BY 1, 2, 3)""",
+        ),
         "movement_summary_weekly": _with(_LEDGER, _summary("pos", "week", "signed_qty")),
         "movement_summary_daily": _with(
             _LEDGER, "rm_only AS (SELECT * FROM mov WHERE dataset = 'rm_movements')", _summary("rm_only", "day", "quantity")
@@ -668,7 +679,9 @@ def oracle_sql() -> dict[str, str]:
                 WHERE quantity < 0""",
         ),
         "robust_stats": _with(_LEDGER, _STATS, "SELECT item_code, warehouse, median, scale, n AS count FROM stats"),
-        "robust_stats_split": _with(_LEDGER, _STATS, "SELECT item_code, warehouse, median, scale, n AS count FROM stats"),
+        "robust_stats_split": _with(
+            _LEDGER, _STATS, "SELECT item_code, warehouse, median / 1024 AS median, scale / 1024 AS scale, n AS count FROM stats"
+        ),
         "outlier_movements": _with(_LEDGER, _STATS, f"SELECT {_CANONICAL}, dataset, median, scale FROM far"),
         "dormant_items": _with(
             _LEDGER,

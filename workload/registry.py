@@ -260,6 +260,13 @@ def movement_summary(spark, sf_dir):
     return summaries.movement_summary(ledger(spark, sf_dir), RULES)
 
 
+@query
+def movement_summary_buckets(spark, sf_dir):
+    """Rules with a bucket of their own show it without being asked."""
+    returns = dict(RULES.movement_types) | {"returns": ["RETURN", "RETURNED"]}
+    return summaries.movement_summary(ledger(spark, sf_dir), dataclasses.replace(RULES, movement_types=returns))
+
+
 @query
 def movement_summary_weekly(spark, sf_dir):
     return summaries.movement_summary(ledger(spark, sf_dir), POSITIVE_RULES, freq="W")
@@ -440,8 +447,9 @@ def robust_stats(spark, sf_dir):
 
 @query
 def robust_stats_split(spark, sf_dir):
-    """The same statistics with every key on the path for keys too wide for one task."""
-    return anomalies.robust_stats(ledger(spark, sf_dir), split_above=0)
+    """The same statistics over quantities below one, where slices of the value range must split too."""
+    rows = ledger(spark, sf_dir)
+    return anomalies.robust_stats(rows.withColumn("quantity", F.col("quantity") / 1024))
 
 
 @query

@@ -407,6 +407,9 @@ def export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 EXPORT = Dataset("fg_balance", "balance", FG_STOCK.columns | {"quantity": "Units"})
 
 
+CATALOG_TYPES = ("varchar", "datetime", "decimal(18,2)", "date", "int", "timestamp_ntz", "double", "string")
+
+
 def part_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part list read as a schema catalog: eight parts make a table, each part is a column."""
     key = F.col("p_partkey")
@@ -426,6 +429,6 @@ def part_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
             pick(key * 7 + table, "ItemCode", "Descr", "Whse", "TransDate", "TransType", "Qty", "DocRef", "AsAtDate", "Store", "Quantity", "Notes"),
             F.col("p_size").cast("string"),
         ).alias("column_name"),
-        pick(F.col("p_size"), "varchar", "datetime", "decimal", "date", "int").alias("data_type"),
+        pick(F.col("p_size"), *CATALOG_TYPES).alias("data_type"),
         (key % 8 + 1).cast("int").alias("ordinal"),
     )
