@@ -15,12 +15,14 @@ from .reconcile import balance_legs, leg
 
 
 def snapshot_cuts(snapshots: DataFrame) -> DataFrame:
-    """One row per snapshot: when it was taken and its position in the chain (0 = oldest).
+    """One row per snapshot: when it was taken and its position in the chain (0 = oldest); fewer than two are an error.
 
     Snapshots are told apart by `snapshot_date`; each was taken at its newest `balance_date`.
     """
     taken = snapshots.groupBy("snapshot_date").agg(F.max("balance_date").alias("taken"))
     chain = taken.agg(F.sort_array(F.collect_list(F.struct("taken", "snapshot_date"))).alias("chain"))
+    short = F.raise_error(F.lit("a chain needs at least two snapshots")).cast(chain.schema["chain"].dataType)
+    chain = chain.select(F.when(F.size("chain") < 2, short).otherwise(F.col("chain")).alias("chain"))
     return chain.select(F.size("chain").alias("snapshots"), F.posexplode("chain").alias("position", "cut")).select(
         "position",
         "snapshots",

@@ -63,18 +63,21 @@ def snapshot_write_summary(table: DataFrame) -> DataFrame:
 
 
 def snapshot_history(table: DataFrame, ordered: bool = True) -> DataFrame:
-    """Every capture of every dataset, oldest first. Reads partition values only."""
+    """Every capture of every dataset, oldest first."""
     days = table.select("dataset", "snapshot_date").distinct()
     return days.orderBy("dataset", "snapshot_date") if ordered else days
 
 
-def file_stamp(file_name: Column, dataset: str) -> Column:
-    """Date in a snapshot file name '<dataset>_YYYYMMDD*.csv'; null for any other name."""
-    token = F.regexp_extract(file_name, rf"^{dataset}_(.{{8}}).*\.csv$", 1)
+def _stamp(token: Column) -> Column:
     digits = F.when(F.rlike(token, F.lit(r"^[0-9]{8}$")), token)
     return F.to_date(F.try_to_timestamp(digits, F.lit("yyyyMMdd")))
 
 
+def file_stamp(file_name: Column, dataset: str) -> Column:
+    """Date in a snapshot file name '<dataset>_YYYYMMDD*.csv'; null for any other name."""
+    return _stamp(F.regexp_extract(file_name, rf"^\Q{dataset}\E_(.{{8}}).*\.csv$", 1))
+
+
 def snapshot_files(files: DataFrame, dataset: str, column: str = "file_name") -> DataFrame:
     """Dated snapshot files of a dataset from a listing of file names."""
     return (
@@ -83,11 +86,34 @@ def snapshot_files(files: DataFrame, dataset: str, column: str = "file_name") ->
     )
 
 
+def newest_snapshot_file(spark: SparkSession, folder: str, dataset: str, as_of: Moment) -> DataFrame:
+    """The newest snapshot file of a dataset on or before a date, as one row (dataset, snapshot_date, path), or none.
+
+    Lists the folder without opening a file.
+    """
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder)
+    names = listed.select("path", F.regexp_extract("path", "[^/]+$", 0).alias("file_name"))
+    dated = names.withColumn("snapshot_date", file_stamp(F.col("file_name"), dataset))
+    newest = dated.where(F.col("snapshot_date") <= F.to_date(at(as_of))).agg(
+        F.max(F.struct("snapshot_date", "path")).alias("newest")
+    )
+    return newest.where("newest IS NOT NULL").select(F.lit(dataset).alias("dataset"), "newest.*")
+
+
+def baseline_csv_load(spark: SparkSession, folder: str, dataset: str, as_of: Moment) -> DataFrame:
+    """The newest snapshot file of a dataset on or before a date, loaded; an error if there is none."""
+    newest = newest_snapshot_file(spark, folder, dataset, as_of).first()  # one row
+    if newest is None:
+        raise ValueError(f"{folder} has no {dataset} snapshot on or before {as_of}")
+    return snapshot_csv_load(spark, newest.path)
+
+
 def file_formats(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Header line and encoding of every CSV file, found in one distributed pass over its lines.
 
     A file is UTF-8 if all of it is; otherwise Windows-1252 unless it holds a byte that code page
-    leaves undefined, then Latin-1.
+    leaves undefined, then Latin-1. `broken` tells whether a quoted cell holds a line break: then some line has an
+    odd number of quotes.
     """
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
@@ -102,33 +128,33 @@ def file_formats(spark: SparkSession, path: str | list[str]) -> DataFrame:
             F.min_by("value", "position").alias("header"),
             F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
             F.bool_or(undefined).alias("undefined"),
+            F.bool_or(F.length(F.regexp_replace("value", '[^"]+', "")) % 2 == 1).alias("broken"),
         )
         .select(
             "file",
             "header",
             F.when(F.col("utf8"), "utf-8").when(~F.col("undefined"), "cp1252").otherwise("latin-1").alias("encoding"),
+            "broken",
         )
     )
 
 
-def snapshot_csv_load(
-    spark: SparkSession, path: str | list[str], multiline: bool = True
-) -> DataFrame:
+def snapshot_csv_load(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Load snapshot CSV files, whatever mix of encodings and column orders they come in.
 
     All columns are read as text, so codes keep their leading zeros. One small job finds each
-    file's header and encoding (one row per file); files alike are then read together. With
-    `multiline` a quoted cell may hold a line break and a file is one task; without it Spark
-    splits large files.
+    file's header and encoding (one row per file); files alike are then read together, and Spark
+    splits large ones unless a quoted cell holds a line break. `file_name` and, where the name ends in
+    _YYYYMMDD*.csv, `snapshot_date` tell the captures apart, so that the rows can go into a chain; a folder of part files
+    counts as a file of its own name.
     """
-    groups: dict[tuple[str, str], list[str]] = {}
+    groups: dict[tuple, list[str]] = {}
     for found in file_formats(spark, path).collect():  # one row per file
-        groups.setdefault((found.header, found.encoding), []).append(found.file)
+        groups.setdefault((found.header, found.encoding, found.broken), []).append(found.file)
     if not groups:
         raise ValueError(f"no snapshot rows under {path}")
     parts = [
-        _read_alike(spark, sorted(files), encoding, multiline)
-        for (_, encoding), files in sorted(groups.items())
+        _read_alike(spark, sorted(files), encoding, broken) for (_, encoding, broken), files in sorted(groups.items())
     ]
     return reduce(lambda left, right: left.unionByName(right, allowMissingColumns=True), parts)
 
@@ -146,9 +172,18 @@ def _read_alike(spark: SparkSession, files: list[str], encoding: str, multiline:
         raise ValueError(f"{files[0]} is missing columns {absent}")
     if encoding == "cp1252":
         rows = rows.select(
-            *[F.translate(F.col(f"`{name}`"), CP1252_AS_LATIN1, CP1252_MEANT).alias(name) for name in rows.columns]
+            "_metadata",
+            *[F.translate(F.col(f"`{name}`"), CP1252_AS_LATIN1, CP1252_MEANT).alias(name) for name in rows.columns],
         )
-    return normalize_snapshot(rows)
+    own = [f"`{name}`" for name in rows.columns if name not in ("_metadata", "file_name", "snapshot_date")]
+    source = F.col("_metadata.file_path")
+    name = F.regexp_extract(source, r"([^/]+\.csv)(?:/[^/]*)?$", 1)
+    named = rows.select(
+        *own,
+        F.when(name == "", F.regexp_extract(source, "[^/]+$", 0)).otherwise(name).alias("file_name"),
+        _stamp(F.regexp_extract(name, r"_([0-9]{8})[^_]*\.csv$", 1)).alias("snapshot_date"),
+    )
+    return normalize_snapshot(named)
 
 
 def normalize_snapshot(rows: DataFrame) -> DataFrame:

@@ -9,18 +9,18 @@ from tallyledger.sources import baseline, canonical, physical, snapshots
 from .conftest import day, one
 
 BALANCE = {
-    "item_code": ["Style #", "Size"],
-    "item_description": "Product Desc",
-    "warehouse": "Warehouse",
+    "item_code": ["Model", "Grade"],
+    "item_description": "Long Text",
+    "warehouse": "Depot",
     "balance_date": None,
-    "quantity": "Units",
+    "quantity": "Pieces",
 }
 STOCK = {
-    "item_code": "Stock No",
-    "item_description": "Stock Desc",
-    "warehouse": "Location",
+    "item_code": "Part Id",
+    "item_description": "Part Text",
+    "warehouse": "Bay",
     "balance_date": None,
-    "quantity": "SOH Units",
+    "quantity": "On Shelf",
 }
 
 
@@ -65,17 +65,16 @@ def test_bad_datasets_and_rules_are_rejected():
 
 def test_composite_key_null_mapping_and_ignored_window(spark):
     table = spark.createDataFrame(
-        [("STY1 ", " XL", "d", None, "12.5"), ("STY2", None, None, " W ", "x")],
-        "`Style #` string, Size string, `Product Desc` string, Warehouse string, Units string",
+        [(" pump", "B2 ", "small pump", None, "7.25"), ("hose", None, None, " Bay 9 ", "none")],
+        "Model string, Grade string, `Long Text` string, Depot string, Pieces string",
     )
     ds = balance(BALANCE)
-    rows = canonical.canonical_scan(table, ds, date_from="2030-01-01", as_of="2026-07-01 10:00:00.7").orderBy("item_code").collect()
-    assert [(r.item_code, r.item_description, r.warehouse, r.quantity) for r in rows] == [
-        ("STY1|XL", "d", "-", 12.5), ("STY2", "", "W", 0.0),
-    ]
-    assert {r.balance_date for r in rows} == {day("2026-07-01 10:00:00")}
-    assert one(canonical.canonical_scan(table, ds, item_code="STY1|XL", as_of="2026-07-01")).quantity == 12.5
-    assert canonical.canonical_scan(table, ds, item_code="", as_of="2026-07-01").count() == 2
+    scan = canonical.canonical_scan(table, ds, date_from="2031-05-01", as_of="2025-10-09 07:15:20.9").collect()
+    found = {r.item_code: (r.item_description, r.warehouse, r.quantity, r.balance_date) for r in scan}
+    read = day("2025-10-09 07:15:20")
+    assert found == {"pump|B2": ("small pump", "-", 7.25, read), "hose": ("", "Bay 9", 0.0, read)}
+    assert one(canonical.canonical_scan(table, ds, item_code="pump|B2", as_of="2025-10-09")).quantity == 7.25
+    assert canonical.canonical_scan(table, ds, item_code="", as_of="2025-10-09").count() == 2
     with pytest.raises(ValueError, match="as_of"):
         canonical.canonical_scan(table, ds)
 
@@ -91,12 +90,12 @@ def test_product_mapping_and_warehouse_without_column(spark):
 
 def test_exclusion_keeps_rows_without_a_value(spark):
     table = spark.createDataFrame(
-        [("A", "Missing"), ("B", None), ("C", "OK")], "`Stock No` string, ItemStatus string"
-    ).select("*", F.lit("d").alias("Stock Desc"), F.lit("L").alias("Location"), F.lit(1.0).alias("SOH Units"))
-    ds = Dataset("rm_balance", "balance", STOCK, exclude_where=({"column": "ItemStatus", "equals": "Missing"},))
+        [("seen", "here"), ("gone", "lost"), ("blank", None)], "`Part Id` string, Mark string"
+    ).select("*", F.lit("t").alias("Part Text"), F.lit("b").alias("Bay"), F.lit(2.0).alias("On Shelf"))
+    ds = Dataset("rm_balance", "balance", STOCK, exclude_where=({"column": "Mark", "equals": "lost"},))
     rows = canonical.canonical_scan(table, ds, as_of="2026-07-01")
-    assert {r.item_code for r in rows.collect()} == {"B", "C"}
-    assert "ItemStatus" not in rows.columns
+    assert {r.item_code for r in rows.collect()} == {"seen", "blank"}
+    assert "Mark" not in rows.columns
 
 
 @pytest.mark.parametrize(
@@ -188,66 +187,84 @@ def test_csv_without_required_column_is_an_error(spark, tmp_path):
         snapshots.snapshot_csv_load(spark, str(tmp_path))
 
 
-def test_snapshot_table_captures_all_stores_and_reruns(spark, held, tmp_path):
-    path = str(tmp_path / "snapshots")
-    stores = {
-        name: held([(f"{name}-A", "W1", "2026-07-13", 10), (f"{name}-B", "W1", "2026-07-13", 5)]).withColumn(
-            "value", F.when(F.col("quantity") == 10, 1000.0).otherwise(250.0)
-        )
-        for name in ("rm_balance", "fg_balance", "wip_balance")
-    }
-    snapshots.snapshot_write(stores, path, "2026-07-13")
-    snapshots.snapshot_write({"fg_balance": stores["fg_balance"]}, path, "2026-07-14")
-    snapshots.snapshot_write(stores, path, "2026-07-13")
-    summary = snapshots.snapshot_write_summary(snapshots.snapshot_table(spark, path)).collect()
-    assert {(r.dataset, str(r.snapshot_date), r.rows, r.quantity, r.value) for r in summary} == {
-        ("fg_balance", "2026-07-13", 2, 15, 1250), ("fg_balance", "2026-07-14", 2, 15, 1250),
-        ("rm_balance", "2026-07-13", 2, 15, 1250), ("wip_balance", "2026-07-13", 2, 15, 1250),
+def test_captures_replace_their_own_partition_and_prune(spark, held, tmp_path):
+    path = str(tmp_path / "table")
+
+    def store(scale):
+        lots = held([(f"lot{k}", "dock", "2025-11-02", scale * (k + 1)) for k in range(3)])
+        return lots.withColumn("value", F.col("quantity") * 1.5)
+
+    captured = {"rm_balance": store(1), "wip_balance": store(4)}
+    snapshots.snapshot_write(captured, path, "2025-11-02")
+    snapshots.snapshot_write({"wip_balance": store(9)}, path, "2025-11-05")
+    snapshots.snapshot_write(captured, path, "2025-11-02")  # a rerun
+    told = snapshots.snapshot_write_summary(snapshots.snapshot_table(spark, path)).collect()
+    assert {(r.dataset, str(r.snapshot_date)): (r.rows, r.quantity, r.value) for r in told} == {
+        ("rm_balance", "2025-11-02"): (3, 6, 9), ("wip_balance", "2025-11-02"): (3, 24, 36), ("wip_balance", "2025-11-05"): (3, 54, 81),
     }
     history = snapshots.snapshot_history(snapshots.snapshot_table(spark, path)).collect()
-    assert [str(r.snapshot_date) for r in history if r.dataset == "fg_balance"] == ["2026-07-13", "2026-07-14"]
-    early = snapshots.snapshot_table(spark, path, "fg_balance", "2026-07-13")
-    assert early.count() == 2
+    assert [str(r.snapshot_date) for r in history if r.dataset == "wip_balance"] == ["2025-11-02", "2025-11-05"]
+    early = snapshots.snapshot_table(spark, path, "wip_balance", "2025-11-04")
+    assert early.count() == 3
     assert "PartitionFilters: [isnotnull(dataset" in early._jdf.queryExecution().executedPlan().toString()
 
 
-def test_newest_snapshot_file_on_or_before(spark):
-    names = ["rm_balance_20260630.csv", "rm_balance_20260707.csv", "rm_balance_20260801.csv", "fg_balance_20260707.csv", "rm_balance_junk.csv", "rm_balance_20261399.csv"]
-    files = spark.createDataFrame([(n,) for n in names], "file_name string")
-    dated = snapshots.snapshot_files(files, "rm_balance")
-    newest = dated.where(F.col("snapshot_date") <= F.lit("2026-07-13").cast("date")).agg(F.max_by("file_name", "snapshot_date").alias("n"))
-    assert one(newest).n == "rm_balance_20260707.csv"
-    assert dated.count() == 3 and snapshots.snapshot_files(files, "wip_balance").count() == 0
+@pytest.fixture
+def dated_files(tmp_path):
+    for stamp, count in (("20250105", 3), ("20250219", 8), ("20250401", 5)):
+        (tmp_path / f"fg_balance_{stamp}.csv").write_text(f"item_code,warehouse,quantity,balance_date\ncup,hall,{count},2025-{stamp[4:6]}-{stamp[6:]} 09:00\n")
+    for other in ("wip_balance_20250219.csv", "fg_balance_2025.csv", "fg_balance_20251340.csv", "notes.csv"):
+        (tmp_path / other).write_text("item_code,warehouse,quantity\nother,hall,1\n")
+    return str(tmp_path)
+
+
+def test_the_newest_file_on_or_before_a_date(spark, dated_files):
+    found = one(snapshots.newest_snapshot_file(spark, dated_files, "fg_balance", "2025-03-31"))
+    assert found.path.endswith("fg_balance_20250219.csv") and str(found.snapshot_date) == "2025-02-19"
+    assert one(snapshots.baseline_csv_load(spark, dated_files, "fg_balance", "2025-02-19")).quantity == 8
+    with pytest.raises(ValueError, match="no fg_balance snapshot"):
+        snapshots.baseline_csv_load(spark, dated_files, "fg_balance", "2025-01-04")
+    names = spark.createDataFrame([("a.b_20250101.csv",), ("axb_20250101.csv",)], "file_name string")
+    assert [r.file_name for r in snapshots.snapshot_files(names, "a.b").collect()] == ["a.b_20250101.csv"]
+
+
+def test_files_feed_the_chain(spark, dated_files, moves, rules):
+    from tallyledger.operators import chain
+
+    files = [f"{dated_files}/fg_balance_{stamp}.csv" for stamp in ("20250105", "20250219", "20250401")]
+    loaded = snapshots.snapshot_csv_load(spark, files)
+    assert {(r.file_name, str(r.snapshot_date)) for r in loaded.collect()} == {(f.rpartition("/")[2], f"2025-{f[-8:-6]}-{f[-6:-4]}") for f in files}
+    moved = moves([("cup", "hall", "2025-02-01", "GRN", 4, ""), ("cup", "hall", "2025-03-01", "ISSUE", 3, "")])
+    assert {r.interval: r.variance for r in chain.reconcile_chain(moved, loaded, rules).collect()} == {1: 1, 2: 0}
+    with pytest.raises(Exception, match="at least two snapshots"):
+        chain.reconcile_chain(moved, snapshots.snapshot_csv_load(spark, files[0]), rules).collect()
 
 
 # ---- baseline import ----
 
 
 def test_import_repairs_keys_and_drops_blank_rows(spark):
+    cells = "Model string, Grade double, `Long Text` string, Depot string, Pieces double"
     sheet = spark.createDataFrame(
-        [(None, None, None, None, None), ("SUIT02", 58.0, "Choc Conti", "Finished Goods", 4.0), ("SUIT02 ", 58.0, "Choc Conti", "Finished Goods", 6.0), ("SUIT02", 54.0, "Choc Conti", None, 39.0)],
-        "`Style #` string, Size double, `Product Desc` string, Warehouse string, Units double",
+        [("pump ", 7.0, "grey", "Bay 1", 11.0), ("pump", 7.0, "blue", "Bay 1", 2.5), (None, None, "filler", "Bay 1", None), ("pump", 9.0, "grey", None, 1.0)],
+        cells,
     )
-    rows = baseline.baseline_import(sheet, balance(BALANCE), "2026-07-07").collect()
-    assert {(r.item_code, r.warehouse, r.quantity) for r in rows} == {("SUIT02|58", "Finished Goods", 10), ("SUIT02|54", "-", 39)}
-    assert {r.balance_date for r in rows} == {day("2026-07-07")}
-    dated = spark.createDataFrame([("KIDS01", dt.datetime(2026, 5, 6), "Kids", "South Store", "12")], "`Style #` string, Size timestamp, `Product Desc` string, Warehouse string, Units string")
-    row = one(baseline.baseline_import(dated, balance(BALANCE), "2026-07-07"))
-    assert (row.item_code, row.quantity) == ("KIDS01|5/6", 12)
+    rows = {(r.item_code, r.warehouse): (r.quantity, r.item_description, r.balance_date) for r in baseline.baseline_import(sheet, balance(BALANCE), "2025-10-01").collect()}
+    read = day("2025-10-01")
+    assert rows == {("pump|7", "Bay 1"): (13.5, "blue", read), ("pump|9", "-"): (1.0, "grey", read)}
+    mistaken = spark.createDataFrame([("cap", dt.datetime(2025, 9, 4), "", "Bay 2", 3.0)], cells.replace("Grade double", "Grade timestamp"))
+    assert one(baseline.baseline_import(mistaken, balance(BALANCE), "2025-10-01")).item_code == "cap|9/4"
 
 
-def test_import_of_product_quantity(spark):
-    sheet = spark.createDataFrame(
-        [("DO-1", "Army jacket", "Acme", 29795.52, 34.97), ("DO-1", "Army jacket", "Acme", 600.0, 34.97)],
-        "DONumber string, JobDescription string, Customer string, Value double, Ratio double",
-    )
-    ds = balance(BALANCE, item_code="DONumber", item_description="JobDescription", warehouse="Customer", quantity={"product": ["Value", "Ratio", 0.01]})
-    assert one(baseline.baseline_import(sheet, ds, "2026-07-07")).quantity == pytest.approx((29795.52 + 600) * 0.3497)
+def test_import_multiplies_factors(spark):
+    sheet = spark.createDataFrame([("job 8", "line", "dock", 640.0, 12.5), ("job 8", "line", "dock", 16.0, 12.5)], "Order string, What string, Site string, Worth double, Share double")
+    ds = balance(BALANCE, item_code="Order", item_description="What", warehouse="Site", quantity={"product": ["Worth", "Share", 0.01]})
+    assert one(baseline.baseline_import(sheet, ds, "2025-10-01")).quantity == pytest.approx(82.0)
 
 
 def test_import_names_the_missing_column_and_unknown_sheets(spark):
-    sheet = spark.createDataFrame([("A", "x", "L")], "`Stock No` string, `Stock Desc` string, Location string")
-    with pytest.raises(KeyError, match="SOH Units"):
+    sheet = spark.createDataFrame([("a", "b", "c")], "`Part Id` string, `Part Text` string, Bay string")
+    with pytest.raises(KeyError, match="On Shelf"):
         baseline.baseline_import(sheet, balance(STOCK), "2026-07-07")
     with pytest.raises(ValueError, match="no known sheets"):
         baseline.baseline_imports({"Sheet1": sheet}, {}, "2026-07-07")

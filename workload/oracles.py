@@ -660,6 +660,7 @@ def oracle_sql() -> dict[str, str]:
                      UNION ALL SELECT item_code, item_description, 2 FROM mov) GROUP BY 1""",
         ),
         "reconcile_chain": _with(_LEDGER, _SNAPSHOTS, chain_fg, f"SELECT {chain_columns} FROM periods"),
+        "chain_from_files": _with(_LEDGER, _SNAPSHOTS, chain_fg, f"SELECT {chain_columns} FROM periods"),
         "chain_classify": _with(_LEDGER, _SNAPSHOTS, chain_fg, _CLASSIFIED, "SELECT * FROM classified"),
         "chain_classify_rm": _with(_LEDGER, _SNAPSHOTS, chain_rm, _CLASSIFIED, "SELECT * FROM classified"),
         "chain_wide": _with(_LEDGER, _SNAPSHOTS, chain_fg, f"SELECT item_code, warehouse, {wide} FROM periods GROUP BY 1, 2"),

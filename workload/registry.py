@@ -410,6 +410,17 @@ def reconcile_chain(spark, sf_dir):
     return _chain(spark, sf_dir)
 
 
+@query
+def chain_from_files(spark, sf_dir):
+    """The same chain from dated CSV files: every capture is written as one and loaded back."""
+    folder = scratch(spark)
+    paths = []
+    for day in tables.SNAPSHOT_DATES:
+        paths.append(f"{folder}/fg_balance_{day.replace('-', '')}.csv")
+        physical.result_sink(capture(spark, sf_dir, day).drop("dataset", "snapshot_date", "l_partkey"), paths[-1])
+    return chain.reconcile_chain(fg(spark, sf_dir), snapshots.snapshot_csv_load(spark, paths), RULES)
+
+
 @query
 def chain_classify(spark, sf_dir):
     return chain.chain_classify(_chain(spark, sf_dir), RULES.variance_tolerance)
