@@ -10,8 +10,8 @@ than `length` stay whole; an empty table gives no rows; extra columns are ignore
    positives only cost time.
 2. Stretches of windows with one anchor that passes the filter go, as text, to the shard of their anchor's
    hash. Equal stretches of one task travel once, so a passage that a third of all documents share reaches its
-   shard once per task.
-3. A shard's stretches, in order of document and place, form texts of bounded size. Each gets a suffix array and
+   shard once per task, and is taken once there.
+3. A shard's different stretches, in order of document and place, form texts of bounded size. Each gets a suffix array and
    common prefixes; a window that repeats an earlier one goes, and the first of each class is looked up in the arrays before it
    by binary search.
 4. The places that go meet their documents again.
@@ -33,9 +33,10 @@ LENGTH = 100
 _GRAM = 32
 # The filter's size in bits whatever the input: 32 MB.
 FILTER_BITS = 28
-# Bytes of text that numpy works on at once; also the most that one suffix array covers.
+# Bytes of text that numpy works on at once, that one suffix array covers at most, and that make one more shard.
 SLICE = 1 << 20
-ARRAY_BYTES = 1 << 22
+ARRAY_BYTES = 1 << 21
+SHARD_BYTES = 1 << 22
 # A task sends on what it has gathered at this size.
 GATHERED_BYTES = 1 << 25
 GATHERED_ANCHORS = 1 << 21
@@ -175,27 +176,33 @@ def _repeated_filter(rows: DataFrame, length: int, total: int) -> bytes:
     return bytes(bits)
 
 
-def _sent(held: list[tuple[np.ndarray, list[bytes], np.ndarray]], shards: int) -> Iterator[tuple[int, bytes, bytes]]:
-    """What a task has gathered, by shard: stretches and their text. Of equal stretches only the earliest keeps its text; those
-    after it repeat it, and go without text to a negative shard, which only passes them on."""
-    rows = np.concatenate([h[0] for h in held])
-    texts = [t for h in held for t in h[1]]
-    shard = (np.concatenate([h[2] for h in held]) % np.uint64(shards)).astype(np.int64)
+def _whole_repeats(rows: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches in order of document and place: those to look at further, and those that equal an earlier one as a whole."""
     order = np.lexsort((rows["at"], rows["doc"]))
     first: dict[bytes, int] = {}
     repeat = np.zeros(len(rows), bool)
     for k in order.tolist():
         if (f := first.setdefault(texts[k], k)) != k:
+            # Rows that share doc_id and place are one place: not earlier than each other.
             repeat[k] = rows["doc"][f] != rows["doc"][k] or rows["at"][f] != rows["at"][k]
-    gone = order[repeat[order]]
+    return order[~repeat[order]], order[repeat[order]]
+
+
+def _sent(held: list[tuple[np.ndarray, list[bytes], np.ndarray]], shards: int) -> Iterator[tuple[int, bytes, bytes]]:
+    """What a task has gathered, by shard: stretches and their text, compressed. Of equal stretches only the earliest goes to the
+    shard; those after it repeat it, and go without text to a negative shard, which only passes them on."""
+    rows = np.concatenate([h[0] for h in held])
+    texts = [t for h in held for t in h[1]]
+    shard = (np.concatenate([h[2] for h in held]) % np.uint64(shards)).astype(np.int64)
+    rest, gone = _whole_repeats(rows, texts)
     if len(gone):
-        yield -1 - int(rows['key'][gone[0]]) % shards, rows[gone].tobytes(), b""
-    rest = order[~repeat[order]]
+        yield -1 - int(rows["key"][gone[0]]) % shards, rows[gone].tobytes(), b""
     rest = rest[np.argsort(shard[rest], kind="stable")]
     cuts = np.searchsorted(shard[rest], np.arange(shards + 1))
     for s in np.flatnonzero(np.diff(cuts)).tolist():
         part = rest[cuts[s] : cuts[s + 1]]
-        yield s, rows[part].tobytes(), b"".join(texts[k] for k in part.tolist())
+        data = pa.compress(b"".join(texts[k] for k in part.tolist()), "zstd", asbytes=True)
+        yield s, rows[part].tobytes(), data
 
 
 def _shard_repeats(rows: np.ndarray, texts: list[bytes], length: int) -> np.ndarray:
@@ -257,7 +264,7 @@ def repeated_runs(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     ready_workers(spark)
     rows = _rows(documents)
     total = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(total // ARRAY_BYTES, 1)
+    shards = max(total // SHARD_BYTES, 1)
     filter_ = spark.sparkContext.broadcast(_repeated_filter(rows, length, total))
 
     def passes(anchors: np.ndarray) -> np.ndarray:
@@ -301,12 +308,14 @@ def repeated_runs(documents: DataFrame, length: int = LENGTH) -> DataFrame:
             return _unpacked(rows)
         texts = []
         for stretches, data in zip(group.column("stretches"), group.column("texts"), strict=True):
-            raw, at = data.as_buffer().to_pybytes(), 0
-            for run in np.frombuffer(stretches.as_buffer(), _STRETCH)["run"].tolist():
-                texts.append(raw[at : at + run + length - 1])
-                at += run + length - 1
-        order = np.lexsort((rows["at"], rows["doc"]))
-        return _unpacked(_shard_repeats(rows[order], [texts[k] for k in order.tolist()], length))
+            sizes = (np.frombuffer(stretches.as_buffer(), _STRETCH)["run"].astype(np.int64) + length - 1).tolist()
+            raw, at = pa.decompress(data.as_buffer(), sum(sizes), "zstd", asbytes=True), 0
+            for size in sizes:
+                texts.append(raw[at : at + size])
+                at += size
+        rest, gone = _whole_repeats(rows, texts)
+        found = _shard_repeats(rows[rest], [texts[k] for k in rest.tolist()], length)
+        return _unpacked(np.concatenate((rows[gone], found)))
 
     sent = rows.mapInArrow(send, "shard bigint, stretches binary, texts binary")
     return sent.groupBy("shard").applyInArrow(repeats, "doc bigint, key bigint, at bigint, run int")
