@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import LedgerRules
 from ..functions.numbers import plain_text
+from ..functions.reuse import shared
 from ..functions.vocabulary import KEY
 from ..sources.canonical import Moment, at
 
@@ -88,8 +89,7 @@ def quantity_frequencies(movements: DataFrame) -> DataFrame:
     counted = movements.groupBy(*KEY, F.col("quantity").alias("x")).agg(
         F.count(F.lit(1)).alias("weight"), F.max("movement_date").alias("last_move")
     )
-    # Always true: it makes every reader ask for all columns, so that all share one exchange.
-    return counted.where((F.col("weight") > 0) | F.col("last_move").isNotNull())
+    return shared(counted)
 
 
 def robust_values(movements: DataFrame) -> DataFrame:

@@ -68,7 +68,8 @@ def snapshot_asof(balances: DataFrame, as_of: Moment, ordered: bool = False) ->
     aggregates that combine before their shuffle, so no key has to fit a window in one task.
     """
     combined = _combined(balances.where(F.col("balance_date") <= at(as_of)), F.col("balance_date"))
-    dated = combined.groupBy(*KEY, "balance_date").agg(*_totals(combined), *_picked_texts(combined))
+    # One exchange by key, of rows that are combined already, serves both steps.
+    dated = combined.repartition(*KEY).groupBy(*KEY, "balance_date").agg(*_totals(combined), *_picked_texts(combined))
     carried = [name for name in dated.columns if name not in KEY]
     latest = dated.groupBy(*KEY).agg(F.max_by(F.struct(*carried), "balance_date").alias("latest"))
     snapshot = _arranged(latest.select(*KEY, "latest.*"))

@@ -7,7 +7,8 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import LedgerRules
-from ..functions.numbers import exact_total, rounded
+from ..functions.numbers import exact_total, part_sums, rounded, total_of_parts
+from ..functions.reuse import shared
 from ..functions.vocabulary import OTHER, OUTSIDE_COVERAGE, SAME_BASELINE, TOP_CATEGORIES
 from ..sources.canonical import at
 from .balances import store_frame
@@ -36,13 +37,21 @@ def category_rank_topn(movements: DataFrame, rules: LedgerRules, top: int = TOP_
     Without any value every category ties at zero, so ordering by value and then by units makes
     that choice without a grand total.
     """
-    gross = (
-        _categorized(movements, rules)
-        .groupBy("category")
-        .agg(
-            exact_total(F.abs("signed_val")).alias("gross_value"),
-            exact_total(F.abs("signed_qty")).alias("gross_units"),
-        )
+    return _largest(_day_directions(movements, rules), top)
+
+
+def _day_directions(movements: DataFrame, rules: LedgerRules) -> DataFrame:
+    """Part sums of net and gross amounts per day, category and direction: the one pass over the ledger."""
+    rows = _categorized(movements, rules).withColumns(
+        {"gross_qty": F.abs("signed_qty"), "gross_val": F.abs("signed_val")}
+    )
+    sums = [part for name in ("signed_qty", "signed_val", "gross_qty", "gross_val") for part in part_sums(name)]
+    return shared(rows.groupBy(F.to_date("movement_date").alias("day"), "category", "direction").agg(*sums))
+
+
+def _largest(directions: DataFrame, top: int) -> DataFrame:
+    gross = directions.groupBy("category").agg(
+        total_of_parts("gross_val").alias("gross_value"), total_of_parts("gross_qty").alias("gross_units")
     )
     return gross.orderBy(F.col("gross_value").desc(), F.col("gross_units").desc(), "category").limit(top)
 
@@ -71,17 +80,13 @@ def fold_categories(rows: DataFrame, ranked: DataFrame) -> DataFrame:
 def category_day_cube(movements: DataFrame, rules: LedgerRules, top: int = TOP_CATEGORIES) -> DataFrame:
     """One row per day and category: receipts, issues, adjustments and other, in units and value.
 
-    Totals per day, category and direction form first; folding works on those.
+    Totals per day, category and direction form first; ranking and folding both work on those.
     """
-    directions = (
-        _categorized(movements, rules)
-        .groupBy(F.to_date("movement_date").alias("day"), "category", "direction")
-        .agg(exact_total(F.col("signed_qty")).alias("units"), exact_total(F.col("signed_val")).alias("value"))
-    )
+    directions = _day_directions(movements, rules)
     folded = (
-        fold_categories(directions, category_rank_topn(movements, rules, top))
+        fold_categories(directions, _largest(directions, top))
         .groupBy("day", "category", "direction")
-        .agg(exact_total(F.col("units")).alias("units"), exact_total(F.col("value")).alias("value"))
+        .agg(total_of_parts("signed_qty").alias("units"), total_of_parts("signed_val").alias("value"))
         .withColumn("units", rounded(F.col("units"), 1))
         .withColumn("value", rounded(F.col("value"), 2))
     )

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import vocabulary as words
 from ..functions.cells import strip
 from ..functions.numbers import exact_total, grouped_text, signed_text
+from ..functions.reuse import shared
 from ..functions.vocabulary import KEY
 
 
@@ -36,28 +37,39 @@ def _headline(totals: DataFrame, rows: str, sentence: Column, empty: str) -> Dat
     )
 
 
+_TOTALS = ("receipt", "issue", "adjustment", "net")
+
+
+def _per_key(summary: DataFrame) -> DataFrame:
+    return shared(summary.groupBy(*KEY).agg(*[exact_total(F.col(name)).alias(name) for name in _TOTALS]))
+
+
 def explain_summary_numbers(summary: DataFrame) -> DataFrame:
     """The totals behind the first sentence of a movement summary."""
-    return summary.agg(
+    return _summary_numbers(_per_key(summary))
+
+
+def _summary_numbers(per_key: DataFrame) -> DataFrame:
+    return per_key.agg(
         F.count(F.lit(1)).alias("rows"),
         F.count_distinct("item_code").alias("items"),
         F.count_distinct("warehouse").alias("warehouses"),
-        *[exact_total(F.col(name)).alias(name) for name in ("receipt", "issue", "adjustment", "net")],
+        *[exact_total(F.col(name)).alias(name) for name in _TOTALS],
     )
 
 
 def top_movers(summary: DataFrame, top_n: int = 10) -> DataFrame:
     """Items and warehouses with the largest net change over all periods."""
-    return (
-        summary.groupBy(*KEY)
-        .agg(exact_total(F.col("net")).alias("net"))
-        .orderBy(F.abs("net").desc(), *KEY)
-        .limit(top_n)
-    )
+    return _movers(_per_key(summary), top_n)
+
+
+def _movers(per_key: DataFrame, top_n: int) -> DataFrame:
+    return per_key.select(*KEY, "net").orderBy(F.abs("net").desc(), *KEY).limit(top_n)
 
 
 def explain_summary(summary: DataFrame, top_n: int = 10) -> DataFrame:
-    totals = explain_summary_numbers(summary)
+    per_key = _per_key(summary)
+    totals = _summary_numbers(per_key)
     headline = F.format_string(
         words.SUMMARY_TOTALS,
         F.col("items").cast("string"),
@@ -67,7 +79,7 @@ def explain_summary(summary: DataFrame, top_n: int = 10) -> DataFrame:
         signed_text(F.col("adjustment"), 0),
         signed_text(F.col("net"), 0),
     )
-    movers = top_movers(summary, top_n)
+    movers = _movers(per_key, top_n)
     # The reference label of a mover is its code, shown as item and as description.
     labelled = movers.withColumn("item_description", F.col("item_code"))
     line = F.format_string(
@@ -91,6 +103,7 @@ def explain_reconciliation_numbers(rec: DataFrame) -> DataFrame:
 
 
 def explain_reconciliation(rec: DataFrame, top_n: int = 10) -> DataFrame:
+    rec = shared(rec)
     totals = explain_reconciliation_numbers(rec)
     headline = F.format_string(
         words.RECONCILED_TOTALS, *[F.col(name).cast("string") for name in ("rows", "balanced", "unexplained")]
@@ -128,6 +141,7 @@ def top_findings(findings: DataFrame, top_n: int = 20) -> DataFrame:
 
 
 def explain_anomalies(findings: DataFrame, top_n: int = 20) -> DataFrame:
+    findings = shared(findings)
     first = top_findings(findings, top_n)
     item, detail = _item(first), F.col("detail")
     line = None

@@ -97,7 +97,8 @@ def item_description_lookup(opening: DataFrame, closing: DataFrame, movements: D
         reduce(DataFrame.unionByName, legs)
         .where(F.col("item_code").isNotNull())
         .groupBy("item_code", "source", "item_description")  # by hash, before the sort that picking takes
-        .agg(F.count(F.lit(1)))
+        .agg(F.count(F.lit(1)).alias("n"))
+        .where("n > 0")  # else the optimizer would merge both steps
         .groupBy("item_code")
         .agg(F.min(named).alias("named"))
         .select("item_code", F.coalesce("named.item_description", F.lit("")).alias("item_description"))

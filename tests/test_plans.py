@@ -6,9 +6,10 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tallyledger.operators import balances, chain, reconcile, summaries
+from tallyledger import Dataset
+from tallyledger.operators import anomalies, balances, chain, cube, narrative, reconcile, summaries
 from tallyledger.plans.inventory import Inventory
-from tallyledger.sources import canonical
+from tallyledger.sources import baseline, canonical
 from workload import registry, tables
 
 SF = "/root/testdata/sf0.001"
@@ -96,12 +97,58 @@ def test_opening_balance_prunes_partitions(stored):
 
 @needs_data
 def test_no_query_calls_python_or_crosses_tables(spark):
-    for name in ("movement_summary", "reconcile_chain", "flow_links", "category_day_cube", "item_description_lookup", "explain_summary", "discover_columns"):
-        text = plan(registry.queries()[name](spark, SF))
+    for name, query in registry.queries().items():
+        text = plan(query(spark, SF))
         for word in ("CartesianProduct", "ArrowEvalPython", "BatchEvalPython", "BroadcastNestedLoopJoin"):
             assert word not in text, (name, word)
 
 
+def scans(df):
+    """Scans of the plan that ran, those below a reused exchange counted once."""
+    df.collect()
+    text = plan(df)
+    return len(re.findall(r"FileScan parquet", text[: text.find("== Initial Plan ==")]))
+
+
+@needs_data
+def test_one_pass_serves_ranking_totals_and_sentences(stored):
+    rows = stored("ledger")
+    summary = summaries.movement_summary(rows, RULES)
+    one_day = lambda d: stored("snaps").where(F.col("snapshot_date") == F.lit(d).cast("date"))
+    rec = reconcile.reconcile(one_day("1998-01-01"), rows, one_day("1998-07-01"), RULES)
+    assert scans(cube.category_day_cube(rows, RULES)) == 1
+    assert scans(narrative.explain_summary(summary)) == 1
+    assert scans(narrative.explain_reconciliation(rec)) == 3  # two snapshots and the ledger
+    assert scans(anomalies.anomalies(rows, None, RULES)) <= 3  # counts; their join back; the newest date
+    assert scans(narrative.explain_anomalies(anomalies.anomalies(rows, None, RULES, "2001-12-01"))) <= 4
+
+
+@needs_data
+def test_numbers_combine_before_any_sort(stored):
+    snap, rows = stored("snaps"), stored("ledger")
+    sheet = snap.select("item_code", "item_description", "warehouse", "quantity")
+    ds = Dataset("fg_balance", "balance", {name: name for name in sheet.columns} | {"balance_date": None})
+    for df in (
+        balances.snapshot_current(snap),
+        balances.snapshot_asof(snap, "1999-01-01"),
+        baseline.baseline_import(sheet, ds, "1999-01-01"),
+        reconcile.reconcile(snap, rows, snap, RULES),
+        reconcile.item_description_lookup(snap, snap, rows),
+        chain.reconcile_chain(rows, snap, RULES),
+        anomalies.negative_balance(snap),
+    ):
+        text = plan(df)
+        text = text[text.find("== Initial Plan ==") :] if "== Initial Plan ==" in text else text
+        for scan in re.finditer(r"FileScan", text):
+            before = text[: scan.start()].splitlines()
+            below = []
+            for line in reversed(before):  # from the scan up to the first exchange above it
+                if "Exchange" in line:
+                    break
+                below.append(line)
+            assert not any("Sort" in line for line in below), text
+
+
 @pytest.fixture(scope="module")
 def inventory(spark):
     return Inventory(
