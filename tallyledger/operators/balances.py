@@ -77,20 +77,23 @@ def snapshot_asof(balances: DataFrame, as_of: Moment, ordered: bool = False) ->
 
 
 def baseline_asof(snapshots: DataFrame, requests: DataFrame) -> DataFrame:
-    """For each request (dataset, as_of) the newest snapshot date on or before it, or null.
+    """For each request (dataset, as_of) the newest snapshot date on or before it, or null; give the table of captures.
 
     The snapshots of a dataset shrink to one sorted array of dates (one entry per capture), so the
     as-of join is an equality join on the dataset and a lookup in that array.
     """
     dates = snapshots.groupBy("dataset").agg(F.collect_set("snapshot_date").alias("dates"))
-    return requests.join(dates, "dataset", "left").select(
+    return requests.join(F.broadcast(dates), "dataset", "left").select(  # one row per dataset
         *requests.columns,
         F.array_max(F.filter("dates", lambda day: day <= F.col("as_of"))).alias("snapshot_date"),
     )
 
 
 def balance_points(history: DataFrame, live: DataFrame, end: Moment) -> DataFrame:
-    """Total quantity and value of every stored snapshot, plus the live balance dated `end`."""
+    """Total quantity and value of every stored snapshot, plus the live balance dated `end`.
+
+    `history` is the table of captures, or snapshots themselves.
+    """
 
     def totals(df: DataFrame, *keys: str) -> DataFrame:
         value = exact_sum(F.col("value")) if "value" in df.columns else F.lit(None).cast("double")
@@ -109,8 +112,8 @@ def stock_balances_report(history: DataFrame, current: DataFrame, date_from: Mom
     """Opening, closing and change per store in quantity and value.
 
     Opening is the newest snapshot on or before `date_from` (null if none), closing the current
-    balance. The date of each opening is a scalar subquery over partition values, so that only the
-    chosen partitions of the history are read.
+    balance. `history` is the table of captures, or snapshots themselves: the date of each opening is a scalar subquery
+    over partition values, so that only the chosen partitions are read.
     """
     day = F.to_date(at(date_from))
 

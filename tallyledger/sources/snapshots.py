@@ -23,7 +23,7 @@ def snapshot_write(
 
     The table is partitioned by dataset and snapshot_date and only the partitions of this capture
     are replaced, so a rerun after a failure gives the same table. The stamp names the partition;
-    `balance_date` keeps the time the balance was read.
+    `balance_date` keeps the time the balance was read. A row per store goes to the table of captures beside it.
     """
     captured = [
         snapshot_current(balance)
@@ -40,6 +40,35 @@ def snapshot_write(
         .format(format)
         .save(path)
     )
+    spark = next(iter(balances.values())).sparkSession
+    written = spark.read.format(format).load(path)
+    captures_write(
+        written.where(F.col("dataset").isin(*balances) & (F.col("snapshot_date") == F.to_date(at(stamp)))), path
+    )
+
+
+def captures_write(table: DataFrame, path: str) -> None:
+    """Note the captures in a table (one row each: rows, quantity, value) beside the snapshot table at a path.
+
+    History, as-of dates, openings and points need no more than that, and so never read a balance.
+    """
+    (
+        snapshot_write_summary(table)
+        .coalesce(1)  # a row per capture
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("dataset", "snapshot_date")
+        .parquet(_captures_path(path))
+    )
+
+
+def snapshot_captures(spark: SparkSession, path: str) -> DataFrame:
+    """dataset, snapshot_date, rows, quantity, value of every capture of the snapshot table at a path."""
+    return spark.read.parquet(_captures_path(path))
+
+
+def _captures_path(path: str) -> str:
+    return f"{path.rstrip('/')}_captures"
 
 
 def snapshot_table(
@@ -63,7 +92,7 @@ def snapshot_write_summary(table: DataFrame) -> DataFrame:
 
 
 def snapshot_history(table: DataFrame, ordered: bool = True) -> DataFrame:
-    """Every capture of every dataset, oldest first."""
+    """Every capture of every dataset, oldest first; the table of captures is the cheap one to ask."""
     days = table.select("dataset", "snapshot_date").distinct()
     return days.orderBy("dataset", "snapshot_date") if ordered else days
 

@@ -110,6 +110,13 @@ def scans(df):
     return len(re.findall(r"FileScan parquet", text[: text.find("== Initial Plan ==")]))
 
 
+@needs_data
+def test_captures_answer_without_reading_balances(spark):
+    for name in ("snapshot_history", "baseline_asof", "baseline_asof_join"):
+        text = plan(registry.queries()[name](spark, SF))
+        assert "_captures" in text and "balance_date" not in text, name
+
+
 @needs_data
 def test_one_pass_serves_ranking_totals_and_sentences(stored):
     rows = stored("ledger")

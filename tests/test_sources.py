@@ -204,6 +204,8 @@ def test_captures_replace_their_own_partition_and_prune(spark, held, tmp_path):
     }
     history = snapshots.snapshot_history(snapshots.snapshot_table(spark, path)).collect()
     assert [str(r.snapshot_date) for r in history if r.dataset == "wip_balance"] == ["2025-11-02", "2025-11-05"]
+    noted = snapshots.snapshot_captures(spark, path).select(*told[0].__fields__)
+    assert sorted(noted.collect()) == sorted(told)
     early = snapshots.snapshot_table(spark, path, "wip_balance", "2025-11-04")
     assert early.count() == 3
     assert "PartitionFilters: [isnotnull(dataset" in early._jdf.queryExecution().executedPlan().toString()

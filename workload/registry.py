@@ -164,7 +164,7 @@ def snapshot_write(spark, sf_dir):
 
 @query
 def snapshot_history(spark, sf_dir):
-    return snapshots.snapshot_history(tables.history(spark, sf_dir))
+    return snapshots.snapshot_history(tables.captures(spark, sf_dir))
 
 
 @query
@@ -182,9 +182,9 @@ def snapshot_files(spark, sf_dir):
 
 @query
 def baseline_asof(spark, sf_dir):
-    history = tables.history(spark, sf_dir)
-    requests = balances.store_frame(history).select("dataset", F.lit("1998-09-01").cast("date").alias("as_of"))
-    return balances.baseline_asof(history, requests)
+    captures = tables.captures(spark, sf_dir)
+    requests = balances.store_frame(captures).select("dataset", F.lit("1998-09-01").cast("date").alias("as_of"))
+    return balances.baseline_asof(captures, requests)
 
 
 @query
@@ -195,7 +195,7 @@ def baseline_asof_join(spark, sf_dir):
         .select(F.replace("dataset", F.lit("movements"), F.lit("balance")).alias("dataset"), F.to_date("movement_date").alias("as_of"))
         .distinct()
     )
-    return balances.baseline_asof(tables.history(spark, sf_dir), days)
+    return balances.baseline_asof(tables.captures(spark, sf_dir), days)
 
 
 @query
@@ -304,12 +304,12 @@ def snapshot_asof(spark, sf_dir):
 
 @query
 def stock_balances_report(spark, sf_dir):
-    return balances.stock_balances_report(tables.history(spark, sf_dir), live(spark, sf_dir), "1998-09-01")
+    return balances.stock_balances_report(tables.captures(spark, sf_dir), live(spark, sf_dir), "1998-09-01")
 
 
 @query
 def balance_points(spark, sf_dir):
-    return balances.balance_points(tables.history(spark, sf_dir), live(spark, sf_dir), "2001-12-01")
+    return balances.balance_points(tables.captures(spark, sf_dir), live(spark, sf_dir), "2001-12-01")
 
 
 def _cube(spark, sf_dir, top=20):
@@ -347,7 +347,7 @@ def window_category_net(spark, sf_dir):
 
 @query
 def store_reconciliation(spark, sf_dir):
-    points = balances.balance_points(tables.history(spark, sf_dir), live(spark, sf_dir), "2001-12-01")
+    points = balances.balance_points(tables.captures(spark, sf_dir), live(spark, sf_dir), "2001-12-01")
     return cube.store_reconciliation(points, _cube(spark, sf_dir), "1998-02-01", "1999-02-01", ("1998-01-01", "2001-12-01"))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyledger import Dataset, LedgerRules
 from tallyledger.sources.scratch import checkpoint_folder
+from tallyledger.sources.snapshots import captures_write, snapshot_captures
 
 # The movement types of each direction.
 RULES = LedgerRules(
@@ -366,10 +367,17 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
             _job_captures(spark, sf_dir),
         ]
         reduce(DataFrame.unionByName, parts).write.partitionBy("dataset", "snapshot_date").parquet(path)
+        captures_write(spark.read.schema(_HISTORY_SCHEMA).parquet(path), path)
         _STORED[key] = path
     return spark.read.schema(_HISTORY_SCHEMA).parquet(_STORED[key])
 
 
+def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of captures beside the history."""
+    history(spark, sf_dir)
+    return snapshot_captures(spark, _STORED[spark.sparkContext.applicationId, sf_dir])
+
+
 _HISTORY_SCHEMA = (
     "item_code string, item_description string, warehouse string, category string, l_partkey bigint, "
     "balance_date timestamp_ntz, quantity double, value double, dataset string, snapshot_date date"
