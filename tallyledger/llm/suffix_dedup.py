@@ -11,7 +11,7 @@ than `length` stay whole; an empty table gives no rows; extra columns are ignore
 2. Stretches of windows with one anchor that passes the filter go, as text, to the shard of their anchor's
    hash. Equal stretches of one task travel once, so a passage that a third of all documents share reaches its
    shard once per task, and is taken once there.
-3. A shard's different stretches, in order of document and place, form texts of bounded size. Each gets a suffix array and
+3. A shard's different stretches whose anchor can be met again, in order of document and place, form texts of bounded size. Each gets a suffix array and
    common prefixes; a window that repeats an earlier one goes, and the first of each class is looked up in the arrays before it
    by binary search.
 4. The places that go meet their documents again.
@@ -41,7 +41,9 @@ SHARD_BYTES = 1 << 22
 GATHERED_BYTES = 1 << 25
 GATHERED_ANCHORS = 1 << 21
 _LAST = np.iinfo(np.int64).max
-_STRETCH = [("doc", "<i8"), ("key", "<i8"), ("at", "<i8"), ("run", "<i4")]
+_RUN = [("doc", "<i8"), ("key", "<i8"), ("at", "<i8"), ("run", "<i4")]
+# sign: 32 bits of the anchor's hash; alone: the anchor stands once in the stretch, which then cannot repeat itself.
+_STRETCH = [*_RUN, ("sign", "<u4"), ("alone", "?")]
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -83,15 +85,20 @@ class _Slice:
         self.width = length - _GRAM + 1
         self.anchor = _sliding(self.grams, self.width, np.minimum)
 
-    def anchors(self) -> np.ndarray:
-        """Hash of each place that is the anchor of some window: once per place."""
+    def _anchor_places(self) -> np.ndarray:
+        """The places that are the anchor of some window, each once."""
         padded = np.zeros(len(self.anchor) + 2 * (self.width - 1), np.uint64)
         padded[self.width - 1 : self.width - 1 + len(self.anchor)] = np.where(self.valid, self.anchor, 0)
         most = _sliding(padded, self.width, np.maximum)
-        return self.grams[(most == self.grams) & (most > 0)]
+        return np.flatnonzero((most == self.grams) & (most > 0))
+
+    def anchors(self) -> np.ndarray:
+        """Hash of each place that is the anchor of some window: once per place."""
+        return self.grams[self._anchor_places()]
 
-    def stretches(self, passes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First window and number of windows of the runs with one anchor that passes, and that anchor."""
+    def stretches(self, passes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """First window and number of windows of the runs with one anchor that passes, that anchor, and whether it stands there
+        once."""
         n = len(self.anchor)
         starts = np.zeros(n, bool)
         starts[1:] = self.anchor[1:] != self.anchor[:-1]
@@ -100,7 +107,16 @@ class _Slice:
         first = np.flatnonzero(starts)
         ends = np.flatnonzero(self.valid & np.append(starts[1:] | ~self.valid[1:], True))
         kept = passes(self.anchor[first])
-        return first[kept], ends[kept] - first[kept] + 1, self.anchor[first][kept]
+        first, run, anchor = first[kept], ends[kept] - first[kept] + 1, self.anchor[first][kept]
+        places = self._anchor_places()
+        low = np.searchsorted(places, first)
+        high = np.searchsorted(places, first + run - 1 + self.width)
+        # Other anchors in between are few; where they are many, the stretch is not taken for alone.
+        met = np.zeros(len(first), np.int64)
+        for k in range(4):
+            at = np.minimum(low + k, len(places) - 1)
+            met += (low + k < high) & (self.grams[places[at]] == anchor)
+        return first, run, anchor, (met == 1) & (high - low <= 4)
 
 
 def _slices(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[_Slice]:
@@ -188,6 +204,19 @@ def _whole_repeats(rows: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np
     return order[~repeat[order]], order[repeat[order]]
 
 
+def _runs_of(rows: np.ndarray) -> np.ndarray:
+    out = np.empty(len(rows), _RUN)
+    for name, _ in _RUN:
+        out[name] = rows[name]
+    return out
+
+
+def _can_repeat(rows: np.ndarray) -> np.ndarray:
+    """Of different stretches, those that share an anchor with another or hold theirs twice: equal windows have equal anchors."""
+    _, of, met = np.unique(rows["sign"], return_inverse=True, return_counts=True)
+    return (met[of] > 1) | ~rows["alone"]
+
+
 def _sent(held: list[tuple[np.ndarray, list[bytes], np.ndarray]], shards: int) -> Iterator[tuple[int, bytes, bytes]]:
     """What a task has gathered, by shard: stretches and their text, compressed. Of equal stretches only the earliest goes to the
     shard; those after it repeat it, and go without text to a negative shard, which only passes them on."""
@@ -196,7 +225,7 @@ def _sent(held: list[tuple[np.ndarray, list[bytes], np.ndarray]], shards: int) -
     shard = (np.concatenate([h[2] for h in held]) % np.uint64(shards)).astype(np.int64)
     rest, gone = _whole_repeats(rows, texts)
     if len(gone):
-        yield -1 - int(rows["key"][gone[0]]) % shards, rows[gone].tobytes(), b""
+        yield -1 - int(rows["key"][gone[0]]) % shards, _runs_of(rows[gone]).tobytes(), b""
     rest = rest[np.argsort(shard[rest], kind="stable")]
     cuts = np.searchsorted(shard[rest], np.arange(shards + 1))
     for s in np.flatnonzero(np.diff(cuts)).tolist():
@@ -234,17 +263,17 @@ def _shard_repeats(rows: np.ndarray, texts: list[bytes], length: int) -> np.ndar
         repeats = (origin[0, leftmost] != doc) | (origin[1, leftmost] != place)
         found.append(_runs(part, of, inside, repeats))
         at = end
-    return np.concatenate(found) if found else np.empty(0, _STRETCH)
+    return np.concatenate(found) if found else np.empty(0, _RUN)
 
 
 def _runs(part: np.ndarray, of: np.ndarray, inside: np.ndarray, repeats: np.ndarray) -> np.ndarray:
     where = np.flatnonzero(repeats)
     if not len(where):
-        return np.empty(0, _STRETCH)
+        return np.empty(0, _RUN)
     begins = np.ones(len(where), bool)
     begins[1:] = (where[1:] != where[:-1] + 1) | (of[where[1:]] != of[where[:-1]])
     first = where[begins]
-    out = np.empty(len(first), _STRETCH)
+    out = np.empty(len(first), _RUN)
     out["doc"], out["key"] = part["doc"][of[first]], part["key"][of[first]]
     out["at"] = part["at"][of[first]] + inside[first]
     out["run"] = np.diff(np.append(np.flatnonzero(begins), len(where)))
@@ -282,7 +311,7 @@ def repeated_runs(documents: DataFrame, length: int = LENGTH) -> DataFrame:
 
         held, size = [], 0
         for part in _slices(batches, length):
-            first, run, anchor = part.stretches(passes)
+            first, run, anchor, alone = part.stretches(passes)
             if not len(first):
                 continue
             of = np.searchsorted(part.begin, first, "right") - 1
@@ -291,7 +320,8 @@ def repeated_runs(documents: DataFrame, length: int = LENGTH) -> DataFrame:
             stretch["doc"] = np.array([p[0] for p in pieces], np.int64)[of]
             stretch["key"] = np.array([p[1] for p in pieces], np.int64)[of]
             stretch["at"] = np.array([p[2] for p in pieces], np.int64)[of] + first - part.begin[of]
-            stretch["run"] = run
+            stretch["run"], stretch["alone"] = run, alone
+            stretch["sign"] = anchor & np.uint64(0xFFFFFFFF)
             raw = part.data.tobytes()
             texts = [raw[a : a + r + length - 1] for a, r in zip(first.tolist(), run.tolist(), strict=True)]
             held.append((stretch, texts, anchor))
@@ -303,9 +333,9 @@ def repeated_runs(documents: DataFrame, length: int = LENGTH) -> DataFrame:
             yield packed(held)
 
     def repeats(group: pa.Table) -> pa.Table:
-        rows = np.concatenate([np.frombuffer(x.as_buffer(), _STRETCH) for x in group.column("stretches")])
         if group.column("shard")[0].as_py() < 0:
-            return _unpacked(rows)
+            return _unpacked(np.concatenate([np.frombuffer(x.as_buffer(), _RUN) for x in group.column("stretches")]))
+        rows = np.concatenate([np.frombuffer(x.as_buffer(), _STRETCH) for x in group.column("stretches")])
         texts = []
         for stretches, data in zip(group.column("stretches"), group.column("texts"), strict=True):
             sizes = (np.frombuffer(stretches.as_buffer(), _STRETCH)["run"].astype(np.int64) + length - 1).tolist()
@@ -314,8 +344,9 @@ def repeated_runs(documents: DataFrame, length: int = LENGTH) -> DataFrame:
                 texts.append(raw[at : at + size])
                 at += size
         rest, gone = _whole_repeats(rows, texts)
+        rest = rest[_can_repeat(rows[rest])]
         found = _shard_repeats(rows[rest], [texts[k] for k in rest.tolist()], length)
-        return _unpacked(np.concatenate((rows[gone], found)))
+        return _unpacked(np.concatenate((_runs_of(rows[gone]), found)))
 
     sent = rows.mapInArrow(send, "shard bigint, stretches binary, texts binary")
     return sent.groupBy("shard").applyInArrow(repeats, "doc bigint, key bigint, at bigint, run int")

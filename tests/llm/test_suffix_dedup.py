@@ -51,7 +51,7 @@ def test_pieces_and_many_arrays(corpus):
         for at in range(0, len(raw) - LENGTH + 1, 300):
             pieces.append((i, 0, at, raw[at : at + 300 + LENGTH - 1]))
     part = suffix_dedup._Slice(pieces, LENGTH)
-    first, run, _ = part.stretches(lambda a: np.ones(len(a), bool))
+    first, run, _, _ = part.stretches(lambda a: np.ones(len(a), bool))
     of = np.searchsorted(part.begin, first, "right") - 1
     rows = np.zeros(len(first), suffix_dedup._STRETCH)
     rows["doc"] = np.array([p[0] for p in pieces])[of]
