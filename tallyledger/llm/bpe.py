@@ -40,7 +40,7 @@ _NONE = 1 << 30
 WIDTHS = (8, 16, 32, 64)
 SHORT_WORD = 512
 # Words whose ids a worker remembers; emptied when full, so memory stays bounded.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 17
 # Characters of the texts that are encoded together.
 TOGETHER = 1 << 20
 

@@ -32,10 +32,17 @@ def fold_of(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % F.lit(folds)
 
 
+# Rows of an Arrow batch: whole texts can be long, and a batch is held by the executor and its Python worker alike.
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ready_workers(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it, where it is not installed."""
+    """Prepare the session for Python workers on texts: batches of at most 1,000 rows and 16 MB, unless the session has set
+    them, and this package importable from where the driver has it, where it is not installed."""
+    if spark.conf.get(_BATCH_ROWS) == "10000":
+        spark.conf.set(_BATCH_ROWS, "1000")
+        spark.conf.set(_BATCH_BYTES, str(16 << 20))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):
