@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -127,14 +128,17 @@ def _verified(ids: np.ndarray, weights: np.ndarray, side: np.ndarray, sets: list
     owner, column = owner[shared], np.cumsum(met > 1)[column[shared]] - 1
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    common = np.zeros((len(sets), len(sets)), np.float32)
+    common = np.zeros((len(sets), len(sets)), np.int64)
     total = int((met > 1).sum())
     for low in range(0, total, _COLUMNS):
         a, b = np.searchsorted(column, (low, low + _COLUMNS))
         member = np.zeros((len(sets), min(_COLUMNS, total - low)), np.float32)
         member[owner[a:b], column[a:b] - low] = 1
-        common += member @ member.T
-    linked = common * (1 + similarity) >= similarity * (sizes[:, None] + sizes[None, :]) - 1e-6
+        common += (member @ member.T).astype(np.int64)  # at most _COLUMNS: exact
+    # In integers, so that a pair exactly at the similarity p / q is linked: common / (a + b - common) >= p / q.
+    ratio = Fraction(similarity).limit_denominator(1_000_000)
+    p, q = ratio.numerator, ratio.denominator
+    linked = common * (p + q) >= p * (sizes[:, None] + sizes[None, :])
     np.fill_diagonal(linked, False)
     if side.any() and not side.all():
         linked &= side[:, None] != side[None, :]

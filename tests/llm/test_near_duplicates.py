@@ -34,6 +34,20 @@ def test_classes_and_links_equal_all_pairs(documents, corpus, block):
     assert max(n for _, n in got.values()) >= 12
 
 
+def test_pairs_exactly_at_the_similarity(spark):
+    """Of 12/15, 24/30 and 28/35 n-grams: 0.8 is linked, and one n-gram less in common is not."""
+    rows = []
+    for k, (words, more) in enumerate([(16, 3), (28, 6), (32, 7)]):
+        text = [f"w{k}x{j}" for j in range(words + more + 1)]
+        rows += [(10 * k, " ".join(text[:words])), (10 * k + 1, " ".join(text[: words + more]))]
+        rows += [(10 * k + 2, " ".join(f"v{w}" for w in text[:words])), (10 * k + 3, " ".join(f"v{w}" for w in text))]
+    classes = similarity_classes(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    got = {r.doc_id: (r.class_id, r.n_links) for r in classes.collect()}
+    assert got == brute(rows)
+    assert [got[10 * k + 1] for k in range(3)] == [(10 * k, 1) for k in range(3)]
+    assert [got[10 * k + 3][1] for k in range(3)] == [0, 0, 0]
+
+
 def test_nulls_repeats_clashes_and_empty(spark, no_documents):
     rows = [(1, "a b c", 1), (1, "a b c", 1), (2, "A  b\nc", 1), (3, None, 1), (4, "", 1), (None, "q r s t u v", 1), (6, "q", 1)]
     clash = spark.createDataFrame(rows, "doc_id bigint, text string, node int")
