@@ -87,10 +87,14 @@ class _Slice:
 
     def _anchor_places(self) -> np.ndarray:
         """The places that are the anchor of some window, each once."""
+        inner = slice(self.width - 1, self.width - 1 + len(self.anchor))
         padded = np.zeros(len(self.anchor) + 2 * (self.width - 1), np.uint64)
-        padded[self.width - 1 : self.width - 1 + len(self.anchor)] = np.where(self.valid, self.anchor, 0)
+        padded[inner] = np.where(self.valid, self.anchor, 0)
         most = _sliding(padded, self.width, np.maximum)
-        return np.flatnonzero((most == self.grams) & (most > 0))
+        # 0 is a hash like any other, that of 32 NULs: whether a valid window is there is told apart from it.
+        held = np.zeros(len(padded), bool)
+        held[inner] = self.valid
+        return np.flatnonzero((most == self.grams) & _sliding(held, self.width, np.maximum))
 
     def anchors(self) -> np.ndarray:
         """Hash of each place that is the anchor of some window: once per place."""

@@ -37,6 +37,13 @@ def test_equals_brute_force(documents, corpus):
     assert got(remove_repeats(documents)) == brute(corpus)
 
 
+def test_runs_of_nul_bytes(spark):
+    rng = random.Random(7)
+    text = "".join(rng.choices("abcdefgh", k=60)) + "\0" * 100 + "".join(rng.choices("abcdefgh", k=60))
+    rows = [(1, text), (2, f"other {text}"), (3, "x" * 40 + "\0" * 40 + "y" * 40), (4, "\0" * 150), (5, "x" * 40 + "\0" * 40 + "y" * 40)]
+    assert got(remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"))) == brute(rows)
+
+
 def test_a_shorter_length(documents, corpus):
     assert got(remove_repeats(documents, 41)) == brute(corpus, 41)
     with pytest.raises(ValueError):
