@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallyledger.llm.suffix_array import found_in, window_classes
 from tallyledger.llm.text import ready_workers, table
+from tallyledger.llm.words import finish
 
 LENGTH = 100
 _GRAM = 32
@@ -159,7 +160,8 @@ def _repeated_filter(rows: DataFrame, length: int, total: int) -> bytes:
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def packed(held: list[np.ndarray]) -> pa.RecordBatch:
-            values = np.sort(np.concatenate(held))
+            # Anchors are minima, so their top bits are mostly 0; mixed, they fill all buckets and the whole filter.
+            values = np.sort(finish(np.concatenate(held)))
             # Each value once or, if it was met again, twice: all that counting needs.
             kept = np.ones(len(values), bool)
             kept[2:] = values[2:] != values[:-2]
@@ -302,7 +304,7 @@ def repeated_runs(documents: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def passes(anchors: np.ndarray) -> np.ndarray:
         bits = np.frombuffer(filter_.value, np.uint8)
-        at = anchors >> np.uint64(64 - FILTER_BITS)
+        at = finish(anchors) >> np.uint64(64 - FILTER_BITS)
         return (bits[(at >> np.uint64(3)).astype(np.int64)] << (at & np.uint64(7)).astype(np.uint8) & 128) > 0
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -44,6 +44,15 @@ def test_runs_of_nul_bytes(spark):
     assert got(remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"))) == brute(rows)
 
 
+def test_filter_bits_of_anchors_are_spread(spark):
+    """Anchors are minima of many hashes; their bits must fill the filter evenly all the same."""
+    text = "".join(random.Random(8).choices("abcdefgh", k=60000))
+    rows = suffix_dedup._rows(spark.createDataFrame([(1, text), (2, text)], "doc_id bigint, text string"))
+    bits = np.frombuffer(suffix_dedup._repeated_filter(rows, LENGTH, 2 * len(text)), np.uint8)
+    quarters = np.bitwise_count(bits).reshape(4, -1).sum(1)
+    assert quarters.sum() > 1000 and quarters.min() > 0.7 * quarters.mean()
+
+
 def test_a_shorter_length(documents, corpus):
     assert got(remove_repeats(documents, 41)) == brute(corpus, 41)
     with pytest.raises(ValueError):
