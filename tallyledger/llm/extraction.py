@@ -199,6 +199,13 @@ def _menus(page: _Page, blocks: list[tuple[int, str, int]]) -> set[int]:
     return {k for k, linked in entries.items() if len(linked) >= 3 and all(linked)}
 
 
+def _up_to(page: _Page, element: int, last: int) -> Iterator[int]:
+    for k in page.above(element):
+        yield k
+        if k == last:
+            return
+
+
 def main_text(source: str) -> str:
     """The article's blocks in page order, joined by an empty line."""
     page = _Page(source)
@@ -224,22 +231,33 @@ def main_text(source: str) -> str:
     # An article or main element around the best container is the whole of it.
     whole = next((k for k in page.above(best) if page.tag[k] == "article"), None)
     whole = whole or next((k for k in page.above(best) if page.tag[k] == "main"), None)
+    if whole is None:
+        # Without one, an outer container that is worth as much holds more of the article.
+        best = max(worth, key=lambda k: (worth[k], -k))
     kept = {whole or best}
-    above = page.parent[whole or best]
-    if above >= 0:
-        least = max(10.0, worth[best] / 5)
-        said: dict[int, list[tuple[str, int]]] = {}
-        for element, text, linked in blocks:
-            for k in page.above(element):
-                if page.parent[k] == above:
-                    said.setdefault(k, []).append((text, linked))
-                    break
-        for k, texts in said.items():
-            long = sum(len(t) for t, _ in texts)
-            dense = sum(n for _, n in texts) / long
-            prose = page.tag[k] == "p" and (long > 80 and dense < 0.25 or dense == 0 and texts[-1][0].endswith("."))
-            if worth.get(k, 0) >= least or prose or page.tag[k] in _HEADINGS:
-                kept.add(k)
+    # Next to article or main only what scores high by itself; else link-poor text beside any container around the best one.
+    path = {whole, page.parent[whole]} if whole else set(page.above(best))
+    said: dict[int, list[tuple[int, str, int]]] = {}
+    for block in blocks:
+        below = None
+        for k in page.above(block[0]):
+            if k in path:
+                break
+            below = k
+        if below is not None and k in path and k not in kept:
+            said.setdefault(below, []).append(block)
+    for k, texts in said.items():
+        long = sum(len(t) for _, t, _ in texts)
+        dense = sum(n for _, _, n in texts) / long
+        prose = page.tag[k] == "p" and (long > 80 and dense < 0.25 or dense == 0 and texts[-1][1].endswith("."))
+        if whole:
+            good = worth.get(k, 0) >= max(10.0, worth[best] / 5)
+        else:
+            most = max(worth.get(e, 0) for element, _, _ in texts for e in _up_to(page, element, k))
+            told = any(page.tag[e] == "p" and len(t) > 80 and n < 0.25 * len(t) for e, t, n in texts)
+            good = dense < 0.25 and (most > 0 and most >= worth[best] / 5 or told)
+        if good or prose or page.tag[k] in _HEADINGS:
+            kept.add(k)
     return "\n\n".join(text for element, text, _ in blocks if any(k in kept for k in page.above(element)))
 
 

@@ -45,3 +45,16 @@ def test_table(spark):
     got = sorted((r.page_id or 0, r.text) for r in extract_pages(pages).collect())
     assert got[:3] == [(0, "x"), (1, ""), (1, LONG)] and len(got) == 4
     assert extract_pages(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("counts", [(2, 2), (4, 1), (2, 2, 2), (1, 3, 2)])
+@pytest.mark.parametrize("around", ["<div>{}</div>", "<div><div>{}</div></div>"])
+def test_sections_without_article_are_all_kept(counts, around):
+    """Short sections next to each other, and each in a container of its own; a list of links beside them goes."""
+    made = [[f"Section {s} paragraph {k} {'word ' * 26}".strip() for k in range(n)] for s, n in enumerate(counts)]
+    sections = ["<section>" + "".join(f"<p>{t}</p>" for t in texts) + "</section>" for texts in made]
+    want = "\n\n".join(t for texts in made for t in texts)
+    assert main_text(page(around.format("".join(sections)))) == want
+    assert main_text(page(around.format("".join(f"<div>{s}</div>" for s in sections)))) == want
+    links = "<div>" + "".join(f"<p><a href=x>Link {k}</a></p>" for k in range(9)) + "</div>"
+    assert main_text(page(around.format("".join(sections)) + links)) == want
