@@ -5,8 +5,8 @@ document further left. Defined results: null text is empty; a null doc_id comes
 a doc_id count as the same document, and at the same place neither is earlier, so repeated rows keep their text; texts shorter
 than `length` stay whole; an empty table gives no rows; extra columns are ignored.
 
-1. Anchors: from each window the least hash of its 32-byte strings. Equal windows have equal anchors. The hashes
-   that occur twice in the corpus are counted exactly by shuffle and set a filter of fixed size, which is broadcast; false
+1. Anchors: from each window the least hash of its 32-byte strings, strings frequent in some slice of the corpus after all
+   others. Equal windows have equal anchors. The hashes that occur twice in the corpus are counted exactly by shuffle and set a filter of fixed size, which is broadcast; false
    positives only cost time.
 2. Stretches of windows with one anchor that passes the filter go, as text, to the shard of their anchor's
    hash. Equal stretches of one task travel once, so a passage that a third of all documents share reaches its
@@ -34,6 +34,9 @@ LENGTH = 100
 _GRAM = 32
 # The filter's size in bits whatever the input: 32 MB.
 FILTER_BITS = 28
+# Strings of 32 bytes that occur so often in one slice are frequent; their filter's size in bits: 4 MB.
+FREQUENT = 4
+FREQUENT_BITS = 25
 # Bytes of text that numpy works on at once, that one suffix array covers at most, and that make one more shard.
 SLICE = 1 << 20
 ARRAY_BYTES = 1 << 21
@@ -66,10 +69,15 @@ def _sliding(values: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
     return pick(out[: len(out) - (width - covered)], out[width - covered :]) if covered < width else out
 
 
+def _bits_at(bits: bytes, hashes: np.ndarray, size: int) -> np.ndarray:
+    at = finish(hashes) >> np.uint64(64 - size)
+    return (np.frombuffer(bits, np.uint8)[(at >> np.uint64(3)).astype(np.int64)] << (at & np.uint64(7)).astype(np.uint8) & 128) > 0
+
+
 class _Slice:
     """Texts, or pieces of long ones, side by side: bytes, valid window starts, anchor of every window."""
 
-    def __init__(self, pieces: list[tuple[int, int, int, bytes]], length: int):
+    def __init__(self, pieces: list[tuple[int, int, int, bytes]], length: int, frequent: bytes | None = None):
         self.pieces, self.length = pieces, length
         self.data = np.frombuffer(b"".join(p[3] for p in pieces), np.uint8)
         sizes = np.array([len(p[3]) for p in pieces])
@@ -83,6 +91,10 @@ class _Slice:
         eight = np.ndarray(len(self.data) - 7, "<u8", self.data.tobytes(), 0, (1,)).astype(np.uint64)
         sixteen = _mix(eight[:-8], eight[8:])
         self.grams = _mix(sixteen[:-16], sixteen[16:])
+        if frequent is not None:
+            # Frequent strings come after all others, so that a common line is no anchor of the text around it.
+            late = _bits_at(frequent, self.grams, FREQUENT_BITS).astype(np.uint64)
+            self.grams = (self.grams >> np.uint64(1)) | (late << np.uint64(63))
         self.width = length - _GRAM + 1
         self.anchor = _sliding(self.grams, self.width, np.minimum)
 
@@ -97,6 +109,12 @@ class _Slice:
         held[inner] = self.valid
         return np.flatnonzero((most == self.grams) & _sliding(held, self.width, np.maximum))
 
+    def frequent(self) -> np.ndarray:
+        """The hashes of strings that occur FREQUENT times or more here, sorted."""
+        values = np.sort(self.grams)
+        often = values[FREQUENT - 1 :]
+        return np.unique(often[often == values[: len(often)]])
+
     def anchors(self) -> np.ndarray:
         """Hash of each place that is the anchor of some window: once per place."""
         return self.grams[self._anchor_places()]
@@ -124,7 +142,7 @@ class _Slice:
         return first, run, anchor, (met == 1) & (high - low <= 4)
 
 
-def _slices(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[_Slice]:
+def _slices(batches: Iterator[pa.RecordBatch], length: int, frequent: bytes | None = None) -> Iterator[_Slice]:
     """Texts of at least one window, long ones in pieces that share length - 1 bytes, so that no window is lost."""
     held, size = [], 0
     for batch in batches:
@@ -138,10 +156,10 @@ def _slices(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[_Slice]:
                 held.append((doc, key, at, piece))
                 size += len(piece)
                 if size >= SLICE:
-                    yield _Slice(held, length)
+                    yield _Slice(held, length, frequent)
                     held, size = [], 0
     if held:
-        yield _Slice(held, length)
+        yield _Slice(held, length, frequent)
 
 
 def _rows(documents: DataFrame) -> DataFrame:
@@ -153,8 +171,33 @@ def _rows(documents: DataFrame) -> DataFrame:
     )
 
 
-def _repeated_filter(rows: DataFrame, length: int, total: int) -> bytes:
-    """Bits of the anchors that occur twice or more in the corpus."""
+def _frequent_filter(rows: DataFrame, length: int) -> bytes:
+    """Bits of the 32-byte strings that are frequent in some slice, by 16 ranges."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = np.zeros(1 << FREQUENT_BITS, bool)
+        for part in _slices(batches, length):
+            mine[(finish(part.frequent()) >> np.uint64(64 - FREQUENT_BITS)).astype(np.int64)] = True
+        if mine.any():
+            parts = [np.packbits(p).tobytes() for p in mine.reshape(16, -1)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(range(16), pa.int32()), pa.array(parts, pa.binary())], ["bucket", "bits"]
+            )
+
+    def both(group: pa.Table) -> pa.Table:
+        bits = np.bitwise_or.reduce([np.frombuffer(b.as_buffer(), np.uint8) for b in group.column("bits")])
+        return pa.table({"bucket": group.column("bucket")[:1], "bits": pa.array([bits.tobytes()], pa.binary())})
+
+    found = rows.mapInArrow(find, "bucket int, bits binary").groupBy("bucket").applyInArrow(both, "bucket int, bits binary")
+    size = (1 << FREQUENT_BITS) // 8 // 16
+    out = bytearray(16 * size)
+    for row in found.collect():  # as large as the filter, whatever the input
+        out[row["bucket"] * size : (row["bucket"] + 1) * size] = row["bits"]
+    return bytes(out)
+
+
+def _repeated_filter(rows: DataFrame, length: int, total: int, frequent=None) -> bytes:
+    """Bits of the anchors that occur twice or more in the corpus; frequent: the broadcast filter of frequent strings."""
     bucket_bits = min(max(math.ceil(math.log2(max(total, 1) / 32 / GATHERED_ANCHORS + 1)), 4), 16)
     shift = np.uint64(64 - bucket_bits)
 
@@ -173,7 +216,7 @@ def _repeated_filter(rows: DataFrame, length: int, total: int) -> bytes:
             )
 
         held, size = [], 0
-        for part in _slices(batches, length):
+        for part in _slices(batches, length, frequent and frequent.value):
             held.append(part.anchors())
             size += len(held[-1])
             if size >= GATHERED_ANCHORS:
@@ -300,12 +343,11 @@ def repeated_runs(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     rows = _rows(documents)
     total = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(total // SHARD_BYTES, 1)
-    filter_ = spark.sparkContext.broadcast(_repeated_filter(rows, length, total))
+    frequent = spark.sparkContext.broadcast(_frequent_filter(rows, length))
+    filter_ = spark.sparkContext.broadcast(_repeated_filter(rows, length, total, frequent))
 
     def passes(anchors: np.ndarray) -> np.ndarray:
-        bits = np.frombuffer(filter_.value, np.uint8)
-        at = finish(anchors) >> np.uint64(64 - FILTER_BITS)
-        return (bits[(at >> np.uint64(3)).astype(np.int64)] << (at & np.uint64(7)).astype(np.uint8) & 128) > 0
+        return _bits_at(filter_.value, anchors, FILTER_BITS)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def packed(held) -> pa.RecordBatch:
@@ -316,7 +358,7 @@ def repeated_runs(documents: DataFrame, length: int = LENGTH) -> DataFrame:
             )
 
         held, size = [], 0
-        for part in _slices(batches, length):
+        for part in _slices(batches, length, frequent.value):
             first, run, anchor, alone = part.stretches(passes)
             if not len(first):
                 continue

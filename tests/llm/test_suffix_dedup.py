@@ -53,6 +53,20 @@ def test_filter_bits_of_anchors_are_spread(spark):
     assert quarters.sum() > 1000 and quarters.min() > 0.7 * quarters.mean()
 
 
+def test_a_common_line_gathers_no_text_around_it(spark):
+    """A line of 60 bytes in every document is not the anchor of the windows that also hold other text."""
+    rng = random.Random(9)
+    line = "".join(rng.choices("abcdefgh", k=60))
+    texts = ["".join(rng.choices("ijklmnop", k=150)) + line + "".join(rng.choices("ijklmnop", k=150)) for _ in range(300)]
+    rows = list(enumerate([*texts, f"z{texts[7]}"]))
+    documents = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    frequent = suffix_dedup._frequent_filter(suffix_dedup._rows(documents), LENGTH)
+    part = suffix_dedup._Slice([(i, 0, 0, t.encode()) for i, t in rows], LENGTH, frequent)
+    anchors = part.stretches(lambda a: np.ones(len(a), bool))[2]
+    assert np.unique(anchors, return_counts=True)[1].max() < 20
+    assert got(remove_repeats(documents)) == brute(rows)
+
+
 def test_a_shorter_length(documents, corpus):
     assert got(remove_repeats(documents, 41)) == brute(corpus, 41)
     with pytest.raises(ValueError):
