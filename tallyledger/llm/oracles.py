@@ -72,10 +72,31 @@ FROM e GROUP BY conv_id
 """
 
 
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+OP11 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '{_TERM}') AS w FROM documents),
+b AS (SELECT row_number() OVER () AS q, item_id, w FROM (
+          SELECT DISTINCT item_id, regexp_extract_all({_LOWER}, '{_TERM}') AS w FROM benchmark) WHERE len(w) > 0),
+s AS (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM d WHERE len(w) > 0),
+t AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) GROUP BY r, t),
+wanted AS (SELECT q, t, count(*) AS times FROM (SELECT q, unnest(w) AS t FROM b) GROUP BY q, t),
+f AS (SELECT w.t, CAST(floor(1000 * ln((2 * max(n_docs) + 2) / (2 * count(r) + 1))) AS BIGINT) AS weight
+      FROM (SELECT DISTINCT t FROM wanted) AS w LEFT JOIN t ON w.t = t.t, s GROUP BY w.t),
+m AS (SELECT r, doc_id, 100 - 75 + (75 * len(w) * n_docs) // n_terms AS m FROM d, s WHERE len(w) > 0),
+scored AS (SELECT q, doc_id, r, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+           FROM wanted JOIN f USING (t) JOIN t USING (t) JOIN m USING (r) GROUP BY q, doc_id, r),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank
+           FROM scored WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked JOIN b USING (q) WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_benchmark_decontamination": OP2,
         "op8_quality_rules": OP8,
         "op9_warc": OP9,
         "op10_chat_formatting": OP10,
+        "op11_lexical_search": OP11,
     }

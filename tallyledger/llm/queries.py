@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyledger.llm import bpe, byte_bpe, chat, decontamination, extraction, langid, lm_scoring, near_duplicates, oracles, quality, suffix_dedup, warc, whitening
+from tallyledger.llm import bpe, byte_bpe, chat, decontamination, extraction, langid, lm_scoring, near_duplicates, oracles, quality, search, suffix_dedup, warc, whitening
 
 _QUERIES = (
     lm_scoring.op1_lm_scoring,
@@ -19,6 +19,7 @@ _QUERIES = (
     quality.op8_quality_rules,
     warc.op9_warc,
     chat.op10_chat_formatting,
+    search.op11_lexical_search,
     whitening.op12_embedding_whitening,
     byte_bpe.op13_byte_bpe,
 )

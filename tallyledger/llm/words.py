@@ -20,13 +20,16 @@ def finish(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-@functools.lru_cache(maxsize=1)
-def _tables() -> tuple[np.ndarray, np.ndarray]:
+WHITE = bytes([32, 9, 10, 11, 12, 13])
+
+
+@functools.lru_cache(maxsize=4)
+def _tables(separators: bytes) -> tuple[np.ndarray, np.ndarray]:
     """A-Z lower-cased, and which bytes separate words."""
     lower = np.arange(256, dtype=np.uint8)
     lower[65:91] += 32
     space = np.zeros(256, bool)
-    space[[32, 9, 10, 11, 12, 13]] = True
+    space[list(separators)] = True
     return lower, space
 
 
@@ -36,12 +39,12 @@ def powers(n: int, base: np.uint64 = BASE) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word of the texts in order, A-Z lower-cased, words between ASCII white space; how many each text has.
+def word_hashes(texts: list[bytes], separators: bytes = WHITE) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word of the texts in order, A-Z lower-cased, words between the separating bytes; how many each text has.
 
     All texts are one array of bytes: a word's hash is a difference of running sums of a polynomial.
     """
-    lower, space = _tables()
+    lower, space = _tables(separators)
     sizes = np.array([len(t) for t in texts], np.int64)
     data = lower[np.frombuffer(b"".join(texts), np.uint8)]
     ends_at = np.cumsum(sizes)
