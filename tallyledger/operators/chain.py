@@ -135,7 +135,7 @@ def chain_classify(
     """
     variance = F.col("variance")
     per_period = [
-        exact_total(F.when(F.col("period") == label, variance)).alias(label) for label in labels
+        exact_total(variance, F.col("period") == label).alias(label) for label in labels
     ]
     totals = periods.groupBy(*KEY).agg(
         F.coalesce(F.min(non_blank(F.col("item_description"))), F.lit("")).alias("item_description"),

@@ -33,7 +33,7 @@ def period_start(moment: Column, freq: str) -> Column:
 def direction_totals(amount: Column, names: Sequence[str] = DIRECTIONS) -> list[Column]:
     """One conditional sum per direction: a pivot without a job to find its columns."""
     return [
-        exact_total(F.when(F.col("direction") == name, amount)).alias(name) for name in names
+        exact_total(amount, F.col("direction") == name).alias(name) for name in names
     ]
 
 
