@@ -19,6 +19,7 @@ MEDIAN_DEVIATION_SCALE = 1.4826
 MEAN_DEVIATION_SCALE = 1.2533
 MIN_MOVEMENTS = 5
 
+
 def negative_balance(balances: DataFrame) -> DataFrame:
     """Keys whose latest balance is below zero; of several rows on that date the lowest counts."""
     dated = balances.groupBy(*KEY, "balance_date").agg(F.min("quantity").alias("quantity"))
@@ -29,10 +30,11 @@ def negative_balance(balances: DataFrame) -> DataFrame:
 
 
 # ---- exact medians per key ---------------------------------------------------------------------
-# A frequency table (key, x, weight) stands for the rows: it is built by a plain count, so a key
-# with a third of all rows combines before the shuffle, and a median needs only the weights of its
-# distinct values. Those are ranked in slices of the value range, which spread over tasks, so a
-# key of any width takes the same path.
+# A frequency table (key, slice, x, weight) stands for the rows: it is built by a plain count, so a key with a third
+# of all rows combines before the shuffle, and a median needs only the weights of its distinct values. The values lie in
+# slices of their range, which spread over tasks. What meets on a key is one row per slice: sums, least and greatest
+# value. From these follow the slices that the median can lie in, bounds of every slice's distance from it, and so
+# the slices that the median of distances can lie in. Only their values come together, once, and give both.
 
 
 def _at_or_before(position: Column, reached: Column, weight: Column) -> Column:
@@ -52,68 +54,128 @@ def _slice_of(x: Column) -> Column:
     return F.when(x == 0, F.lit(0)).otherwise(F.signum(x) * wide).cast("bigint")
 
 
-def _medians(values: DataFrame) -> DataFrame:
-    """Median and total weight per key, as (key, median, total).
+def quantity_frequencies(movements: DataFrame) -> DataFrame:
+    """(key, x, weight, last_move): how often each quantity occurs, and when it did last."""
+    counted = movements.groupBy(*KEY, F.col("quantity").alias("x")).agg(
+        F.count(F.lit(1)).alias("weight"), F.max("movement_date").alias("last_move")
+    )
+    return shared(counted)
+
+
+def _sliced(movements: DataFrame) -> DataFrame:
+    """(key, slice, x, weight), the rows of a slice in one task.
 
-    Weights are first added up per slice of the value range; the slices that hold the middle
-    positions are found from those sums, and only their values are put in order.
+    The condition is on the weight, and the slice is never null: neither can move below the count, which so stays the same for
+    every reader.
+    """
+    known = F.col("item_code").isNotNull() & F.col("warehouse").isNotNull() & F.col("x").isNotNull()
+    counted = quantity_frequencies(movements).where(F.when(known, F.col("weight")) > 0)
+    place = F.coalesce(_slice_of(F.col("x")), F.lit(0)).alias("slice")
+    return counted.select(*KEY, place, "x", "weight").repartition(*KEY, "slice")
+
+
+# What a key's slices tell of the key: its rows, the weight that is nearer than any value looked at, the sums and weights
+# beyond the middle on both sides, and its extreme values.
+_OF_KEY = ("total", "nearer", "weight_above", "sum_above", "weight_below", "sum_below", "lowest", "highest")
+
+
+def _wanted_slices(sliced: DataFrame, at_least: int) -> DataFrame:
+    """(key, slice, before, middle, _OF_KEY): the slices that hold a median of the values or of their distances.
+
+    Keys with fewer than at_least rows are left out.
     """
-    sliced = values.withColumn("slice", _slice_of(F.col("x")))
     whole = Window.partitionBy(*KEY)
-    ordered = whole.orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)
+    running = lambda *order: whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     low, high = _middle(F.col("total"))
-    slices = (
-        sliced.groupBy(*KEY, "slice")
-        .agg(F.sum("weight").alias("slice_weight"))
-        .withColumn("total", F.sum("slice_weight").over(whole))
-        .withColumn("slice_reached", F.sum("slice_weight").over(ordered))
-        .where(
-            _at_or_before(low, F.col("slice_reached"), F.col("slice_weight"))
-            | _at_or_before(high, F.col("slice_reached"), F.col("slice_weight"))
-        )
-        .select(*KEY, "slice", "total", (F.col("slice_reached") - F.col("slice_weight")).alias("before"))
+    weight, reached = F.col("slice_weight"), F.col("reached")
+    summed = sliced.groupBy(*KEY, "slice").agg(
+        F.sum("weight").alias("slice_weight"),
+        F.sum(F.col("x") * F.col("weight")).alias("slice_sum"),
+        F.min("x").alias("least"),
+        F.max("x").alias("greatest"),
     )
-    within = Window.partitionBy(*KEY, "slice").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    reached, weight, x = F.col("reached"), F.col("weight"), F.col("x")
-    middles = [F.max(F.when(_at_or_before(place, reached, weight), x)) for place in (low, high)]
-    return (
-        sliced.join(slices, [*KEY, "slice"])
-        .withColumn("reached", F.col("before") + F.sum("weight").over(within))
-        .groupBy(*KEY, "total")
-        .agg(((middles[0] + middles[1]) / 2).alias("median"))
+    placed = (
+        summed.repartition(*KEY)
+        .withColumn("total", F.sum("slice_weight").over(whole))
+        .where(F.col("total") >= at_least)
+        .withColumn("reached", F.sum("slice_weight").over(running("slice")))
     )
 
+    def middle(name: str) -> Column:
+        ends = [F.max(F.when(_at_or_before(place, reached, weight), F.col(name))).over(whole) for place in (low, high)]
+        return (ends[0] + ends[1]) / 2
 
-def quantity_frequencies(movements: DataFrame) -> DataFrame:
-    """(key, x, weight, last_move): how often each quantity occurs, and when it did last."""
-    counted = movements.groupBy(*KEY, F.col("quantity").alias("x")).agg(
-        F.count(F.lit(1)).alias("weight"), F.max("movement_date").alias("last_move")
+    # The median lies between from and to; with that, every value of a slice at a distance between near and far.
+    around = placed.withColumns({"from": middle("least"), "to": middle("greatest")}).withColumns(
+        {
+            "near": F.greatest(F.lit(0.0), F.col("least") - F.col("to"), F.col("from") - F.col("greatest")),
+            "far": F.greatest(F.col("greatest") - F.col("from"), F.col("to") - F.col("least")),
+        }
     )
-    return shared(counted)
-
-
-def robust_values(movements: DataFrame) -> DataFrame:
-    """(key, x, weight, median, scale, movements) for every distinct quantity of every key."""
-    values = (
-        quantity_frequencies(movements)
-        .where(F.col("item_code").isNotNull() & F.col("warehouse").isNotNull() & F.col("x").isNotNull())
-        .select(*KEY, "x", "weight")
+    at_most = around.withColumn("within_near", F.sum("slice_weight").over(running("near", "slice"))).withColumn(
+        "within_far", F.sum("slice_weight").over(running("far", "slice"))
+    )
+    bounded = at_most.withColumns(
+        {
+            "first": F.min(F.when(F.col("within_near") > low, F.col("near"))).over(whole),
+            "last": F.min(F.when(F.col("within_far") > high, F.col("far"))).over(whole),
+        }
     )
-    centre = _medians(values).select(*KEY, F.col("median").alias("centre"), F.col("total").alias("movements"))
-    deviations = values.join(centre, list(KEY)).select(
-        *KEY, F.abs(F.col("x") - F.col("centre")).alias("x"), "weight", "centre", "movements"
+    is_middle = (F.col("least") <= F.col("to")) & (F.col("greatest") >= F.col("from"))
+    holds_middle = _at_or_before(low, reached, weight) | _at_or_before(high, reached, weight)
+    wanted = bounded.withColumn("middle", is_middle | holds_middle).withColumn(
+        "wanted", F.col("middle") | ((F.col("far") >= F.col("first")) & (F.col("near") <= F.col("last")))
     )
-    means = deviations.groupBy(*KEY, "centre", "movements").agg(
-        (F.sum(F.col("x") * F.col("weight")) / F.sum("weight")).alias("mean")
+    above, below = ~F.col("middle") & (F.col("least") > F.col("to")), ~F.col("middle") & (F.col("greatest") < F.col("from"))
+
+    def over_key(name: str, where: Column) -> Column:
+        return F.coalesce(F.sum(F.when(where, F.col(name))).over(whole), F.lit(0))
+
+    of_key = wanted.withColumns(
+        {
+            "nearer": over_key("slice_weight", ~F.col("wanted") & (F.col("far") < F.col("first"))),
+            "weight_above": over_key("slice_weight", above),
+            "sum_above": over_key("slice_sum", above),
+            "weight_below": over_key("slice_weight", below),
+            "sum_below": over_key("slice_sum", below),
+            "lowest": F.min("least").over(whole),
+            "highest": F.max("greatest").over(whole),
+        }
+    )
+    return of_key.where("wanted").select(*KEY, "slice", (reached - weight).alias("before"), "middle", *_OF_KEY)
+
+
+def robust_spread(movements: DataFrame, at_least: int = 1) -> DataFrame:
+    """(key, median, scale, count, lowest, highest) of every key with at_least movements, on raw quantities."""
+    sliced = _sliced(movements)
+    whole = Window.partitionBy(*KEY)
+    weight, reached = F.col("weight"), F.col("reached")
+    low, high = _middle(F.col("total"))
+    within = Window.partitionBy(*KEY, "slice").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    outwards = whole.orderBy("distance").rowsBetween(Window.unboundedPreceding, 0)
+
+    def middle(x: str) -> tuple[Column, Column]:
+        ends = [F.max(F.when(_at_or_before(place, reached, weight), F.col(x))) for place in (low, high)]
+        return ends[0], ends[1]
+
+    lower, upper = middle("x")
+    placed = (
+        sliced.join(_wanted_slices(sliced, at_least), [*KEY, "slice"])
+        .withColumn("reached", F.col("before") + F.sum("weight").over(within))
+        .repartition(*KEY)
+        .withColumn("median", (lower.over(whole) + upper.over(whole)) / 2)
+        .withColumn("distance", F.abs(F.col("x") - F.col("median")))
+        .withColumn("reached", F.col("nearer") + F.sum("weight").over(outwards))
     )
-    stats = means.join(_medians(deviations.select(*KEY, "x", "weight")), list(KEY))
-    return values.join(stats, list(KEY)).select(
-        *KEY,
-        "x",
-        "weight",
-        F.col("centre").alias("median"),
-        _scale(F.col("median"), F.col("mean")).alias("scale"),
-        "movements",
+    nearest, next_nearest = middle("distance")
+    beyond = F.max("sum_above") - F.max("weight_above") * F.col("median")
+    before = F.max("weight_below") * F.col("median") - F.max("sum_below")
+    inside = F.sum(F.when(F.col("middle"), F.col("distance") * weight))
+    return placed.groupBy(*KEY, "median").agg(
+        _scale((nearest + next_nearest) / 2, (inside + beyond + before) / F.max("total")).alias("scale"),
+        F.max("total").alias("count"),
+        F.max("lowest").alias("lowest"),
+        F.max("highest").alias("highest"),
     )
 
 
@@ -123,31 +185,23 @@ def _scale(mad: Column, mean: Column) -> Column:
 
 def robust_stats(movements: DataFrame) -> DataFrame:
     """Median, robust scale and number of movements per item and warehouse, on raw quantities."""
-    return (
-        robust_values(movements)
-        .groupBy(*KEY)
-        .agg(
-            F.max("median").alias("median"),
-            F.max("scale").alias("scale"),
-            F.max("movements").alias("count"),
-        )
-    )
+    return robust_spread(movements).select(*KEY, "median", "scale", "count")
 
 
 def outlier_movements(movements: DataFrame, rules: LedgerRules) -> DataFrame:
     """Movements far from what is typical for their item and warehouse.
 
-    Whether a movement is an outlier depends only on its key and quantity, so the verdict is made
-    on distinct quantities and joined back: the ledger itself is neither sorted nor gathered by key.
+    Only keys whose least or greatest quantity is far can have any, and usually they are few. The join is on the key alone,
+    with one row a key on the other side, so that Spark may split a key with many movements over tasks.
     """
-    far = F.abs(F.col("x") - F.col("median")) / F.col("scale") > rules.outlier_zscore
-    flagged = (
-        robust_values(movements)
-        .where((F.col("movements") >= MIN_MOVEMENTS) & (F.col("scale") > 0))
-        .where(far)
-        .select(*KEY, F.col("x").alias("quantity"), "median", "scale")
+    far = lambda x: F.abs(F.col(x) - F.col("median")) / F.col("scale") > rules.outlier_zscore
+    suspected = (
+        robust_spread(movements, MIN_MOVEMENTS)
+        .where(F.col("scale") > 0)
+        .where(far("lowest") | far("highest"))
+        .select(*KEY, "median", "scale")
     )
-    return movements.join(flagged, [*KEY, "quantity"])
+    return movements.join(suspected, list(KEY)).where(far("quantity"))
 
 
 def dormant_items(
