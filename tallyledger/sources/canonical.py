@@ -22,6 +22,7 @@ from ..functions.cells import (
     type_of,
 )
 from ..functions.vocabulary import SCOPES
+from .keys import raw_key_condition
 
 Moment = dt.date | dt.datetime | str | Column
 
@@ -87,15 +88,18 @@ def canonical_scan(
 ) -> DataFrame:
     """Filter, project and normalize a physical table.
 
-    The date window and the exclusions apply to raw columns so that they reach the scan. Item and
-    warehouse compare with the cleaned key. A dataset without a date ignores the window; its rows
-    are stamped `as_of`.
+    The date window and the exclusions apply to raw columns so that they reach the scan. Item and warehouse compare
+    with the cleaned key, behind a weaker condition on raw columns that reaches the scan as well. A dataset without a date
+    ignores the window; its rows are stamped `as_of`.
     """
     if warehouse and ds.columns["warehouse"] is None:
         raise ValueError(f"Dataset {ds.name} has no warehouse column to filter on")
     rows = without_excluded(table, ds)
     if ds.has_date:
         rows = in_window(rows, mapped(ds.columns[ds.date_column]), date_from, date_to)
+    for name, wanted in (("item_code", item_code), ("warehouse", warehouse)):
+        raw = raw_key_condition(table, ds.columns[name], wanted) if wanted else None
+        rows = rows if raw is None else rows.where(raw)
     tidy = tidy_columns(table, ds)
     rows = project(rows, ds)
     if ds.kind == "movement":

@@ -46,6 +46,13 @@ def test_date_window_and_columns_reach_the_scan(stored):
     assert "Product Desc" not in text.split("ReadSchema")[1] and shuffles(summaries.movement_net(scan, RULES)) == 1
 
 
+@needs_data
+def test_keys_reach_the_scan(spark):
+    pushed = lambda name: " ".join(re.findall(r"PushedFilters: \[(.*?)\]", plan(registry.queries()[name](spark, SF))))
+    assert "EqualTo(l_partkey,7)" in pushed("item_filter_composite") and "EqualTo(p_size," in pushed("item_filter_composite")
+    assert "StringContains(r_name,ASIA)" in pushed("warehouse_filter")
+
+
 @needs_data
 def test_numeric_keys_are_not_trimmed(stored):
     text = plan(canonical.canonical_scan(stored("fg"), tables.FG_LEDGER).select("item_code"))

@@ -456,6 +456,10 @@ def oracle_sql() -> dict[str, str]:
         "canonical_scan": _with(_STOCK, "SELECT item_code, item_description, warehouse, quantity, value, category FROM fg_lots"),
         "date_window": _with(_LEDGER, f"{canonical_mov} AND {windowed}"),
         "item_filter": _with(_LEDGER, f"SELECT {_CANONICAL}, dataset FROM mov WHERE item_code = 'RM7'"),
+        "item_filter_composite": _with(
+            _LEDGER,
+            f"SELECT {_CANONICAL}, dataset FROM mov WHERE item_code = (SELECT '7|' || p_size FROM part WHERE p_partkey = 7)",
+        ),
         "warehouse_filter": _with(_LEDGER, f"SELECT {_CANONICAL}, dataset FROM mov WHERE warehouse = 'ASIA'"),
         "exclude_where": _with(_STOCK, "SELECT item_code, item_description, warehouse, quantity, value, category FROM rm_lots"),
         "normalize_movements": _with(

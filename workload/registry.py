@@ -118,6 +118,13 @@ def item_filter(spark, sf_dir):
     return ledger(spark, sf_dir, item_code="RM7")
 
 
+@query
+def item_filter_composite(spark, sf_dir):
+    """A key of two numbers, which reaches the scan as conditions on both."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey = 7").select("p_size").first()
+    return ledger(spark, sf_dir, item_code=f"7|{part.p_size}")
+
+
 @query
 def warehouse_filter(spark, sf_dir):
     return ledger(spark, sf_dir, warehouse="ASIA")
