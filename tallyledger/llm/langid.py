@@ -117,12 +117,18 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Centroi
     found.sort(key=lambda r: (r["lang"], r["id"] or "", bytes(r["data"])))
     if not found:
         return CentroidModel([], np.zeros((0, DIMENSIONS), np.float32), np.zeros(0), np.ones(DIMENSIONS, np.float32))
-    logs = np.stack([np.frombuffer(r["data"], np.float16) for r in found]).astype(np.float32)
-    idf = (np.log((1 + len(logs)) / (1 + (logs > 0).sum(0))) + 1).astype(np.float32)
-    vectors = logs * idf
-    vectors /= np.maximum(np.sqrt((vectors * vectors).sum(1, keepdims=True)), 1e-9)
-    languages, centroids, least = [], [], []
     names = np.array([r["lang"] for r in found])
+    # One matrix, filled and scaled row by row: the driver holds no second one.
+    vectors, met = np.empty((len(found), DIMENSIONS), np.float32), np.zeros(DIMENSIONS, np.int64)
+    for k, row in enumerate(found):
+        vectors[k] = np.frombuffer(row["data"], np.float16)
+        met += vectors[k] > 0
+    del found
+    idf = (np.log((1 + len(vectors)) / (1 + met)) + 1).astype(np.float32)
+    for vector in vectors:
+        vector *= idf
+        vector /= np.maximum(np.sqrt((vector * vector).sum(keepdims=True)), 1e-9)
+    languages, centroids, least = [], [], []
     for language in sorted(set(names.tolist())):
         own = vectors[names == language]
         centres = _clustered(own, CENTROIDS)

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 from tallyledger.llm.suffix_array import found_in, window_classes
 from tallyledger.llm.text import ready_workers, table
 from tallyledger.llm.words import finish
+from tallyledger.sources.scratch import written_once
 
 LENGTH = 100
 _GRAM = 32
@@ -171,7 +172,7 @@ def _rows(documents: DataFrame) -> DataFrame:
     )
 
 
-def _frequent_filter(rows: DataFrame, length: int) -> bytes:
+def _frequent_filter(rows: DataFrame, length: int) -> bytearray:
     """Bits of the 32-byte strings that are frequent in some slice, by 16 ranges."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,10 +194,10 @@ def _frequent_filter(rows: DataFrame, length: int) -> bytes:
     out = bytearray(16 * size)
     for row in found.collect():  # as large as the filter, whatever the input
         out[row["bucket"] * size : (row["bucket"] + 1) * size] = row["bits"]
-    return bytes(out)
+    return out
 
 
-def _repeated_filter(rows: DataFrame, length: int, total: int, frequent=None) -> bytes:
+def _repeated_filter(rows: DataFrame, length: int, total: int, frequent=None) -> bytearray:
     """Bits of the anchors that occur twice or more in the corpus; frequent: the broadcast filter of frequent strings."""
     bucket_bits = min(max(math.ceil(math.log2(max(total, 1) / 32 / GATHERED_ANCHORS + 1)), 4), 16)
     shift = np.uint64(64 - bucket_bits)
@@ -238,7 +239,7 @@ def _repeated_filter(rows: DataFrame, length: int, total: int, frequent=None) ->
     bits = bytearray((1 << FILTER_BITS) // 8)
     for row in counted.collect():  # as large as the filter, whatever the input
         bits[row["bucket"] * size : (row["bucket"] + 1) * size] = row["bits"]
-    return bytes(bits)
+    return bits
 
 
 def _whole_repeats(rows: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -397,7 +398,10 @@ def repeated_runs(documents: DataFrame, length: int = LENGTH) -> DataFrame:
         return _unpacked(np.concatenate((_runs_of(rows[gone]), found)))
 
     sent = rows.mapInArrow(send, "shard bigint, stretches binary, texts binary")
-    return sent.groupBy("shard").applyInArrow(repeats, "doc bigint, key bigint, at bigint, run int")
+    found = written_once(sent.groupBy("shard").applyInArrow(repeats, "doc bigint, key bigint, at bigint, run int"))
+    frequent.destroy()
+    filter_.destroy()
+    return found
 
 
 def remove_repeats(documents: DataFrame, length: int = LENGTH, in_place: bool = False) -> DataFrame:
