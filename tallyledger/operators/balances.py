@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 from operator import or_
 
@@ -11,7 +12,7 @@ from ..functions.cells import non_blank
 from ..functions.numbers import exact_sum, exact_total, part_sums, total_of_parts
 from ..functions.vocabulary import KEY, STORES
 from ..sources.canonical import Moment, at
-
+from .asof import asof_join
 
 _STORE_COLUMNS = ("dataset", "label", "unit", "ledger")
 
@@ -79,14 +80,18 @@ def snapshot_asof(balances: DataFrame, as_of: Moment, ordered: bool = False) ->
 def baseline_asof(snapshots: DataFrame, requests: DataFrame) -> DataFrame:
     """For each request (dataset, as_of) the newest snapshot date on or before it, or null; give the table of captures.
 
-    The snapshots of a dataset shrink to one sorted array of dates (one entry per capture), so the
-    as-of join is an equality join on the dataset and a lookup in that array.
+    Any number of captures and of requests may meet on one dataset: both are merged by date (see asof_join).
     """
-    dates = snapshots.groupBy("dataset").agg(F.collect_set("snapshot_date").alias("dates"))
-    return requests.join(F.broadcast(dates), "dataset", "left").select(  # one row per dataset
-        *requests.columns,
-        F.array_max(F.filter("dates", lambda day: day <= F.col("as_of"))).alias("snapshot_date"),
-    )
+    dates = snapshots.select("dataset", "snapshot_date").distinct()
+    return asof_join(requests, dates, ["dataset"], "as_of", "snapshot_date", ["snapshot_date"], bucket="year")
+
+
+def balance_before(
+    movements: DataFrame, snapshots: DataFrame, on: Sequence[str] = KEY, columns: Sequence[str] = ("snapshot_date", "balance")
+) -> DataFrame:
+    """Every movement with the date and the quantity of its key's last snapshot on or before it, null if there is none."""
+    held = snapshots.groupBy(*on, F.col("snapshot_date").alias(columns[0])).agg(exact_total(F.col("quantity")).alias(columns[1]))
+    return asof_join(movements, held, on, "movement_date", columns[0], columns)
 
 
 def balance_points(history: DataFrame, live: DataFrame, end: Moment) -> DataFrame:

@@ -20,6 +20,8 @@ NAMES = (
     "snapshot_asof",
     "stock_balances_report",
     "baseline_asof_join",
+    "balance_before",
+    "item_filter_composite",
     "baseline_import",
     "reconcile_dated",
     "chain_classify",

@@ -507,6 +507,14 @@ def oracle_sql() -> dict[str, str]:
                 ASOF LEFT JOIN (SELECT DISTINCT dataset, snapshot_date FROM snaps) s
                   ON d.dataset = s.dataset AND d.as_of >= s.snapshot_date""",
         ),
+        "balance_before": _with(
+            _LEDGER, _SNAPSHOTS,
+            f"""SELECT m.item_code, m.warehouse, {_TIME.format('movement_date')} AS movement_date, movement_type, m.quantity, reference,
+                       {_DAY.format('snapshot_date')} AS snapshot_date, s.quantity AS balance
+                FROM (SELECT * FROM mov WHERE dataset = 'fg_movements') m
+                ASOF LEFT JOIN (SELECT item_code, warehouse, snapshot_date, sum(quantity) AS quantity FROM fg_snaps GROUP BY ALL) s
+                  ON m.item_code = s.item_code AND m.warehouse = s.warehouse AND m.movement_date >= s.snapshot_date""",
+        ),
         "baseline_import": _with(
             _EXPORT,
             """SELECT style || '|' || size AS item_code, CASE WHEN store = '' THEN '-' ELSE store END AS warehouse,

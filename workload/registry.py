@@ -205,6 +205,13 @@ def baseline_asof_join(spark, sf_dir):
     return balances.baseline_asof(tables.captures(spark, sf_dir), days)
 
 
+@query
+def balance_before(spark, sf_dir):
+    """Every finished-goods movement beside the balance last captured for its item and warehouse."""
+    moved = fg(spark, sf_dir).select("item_code", "warehouse", "movement_date", "movement_type", "quantity", "reference")
+    return balances.balance_before(moved, tables.snapshots(spark, sf_dir, "fg_movements"))
+
+
 @query
 def baseline_import(spark, sf_dir):
     return baseline.baseline_import(tables.export_rows(spark, sf_dir), tables.EXPORT, "2001-12-01")
