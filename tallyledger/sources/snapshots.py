@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from ..functions.cells import number_or_zero, strip, type_of
 from ..functions.numbers import exact_sum, exact_total
@@ -14,6 +16,10 @@ from .canonical import Moment, at
 
 _REQUIRED = ("item_code", "warehouse", "quantity")
 _TEXTS = ("item_code", "warehouse", "item_description", "category")
+_VERSION = "capture_version"
+_FIGURES = ("rows", "quantity", "value")
+_CAPTURES = f"dataset string, snapshot_date date, rows bigint, quantity double, value double, {_VERSION} string"
+_CAPTURE_COLUMNS = tuple(part.split()[0] for part in _CAPTURES.split(", "))
 
 
 def snapshot_write(
@@ -21,50 +27,62 @@ def snapshot_write(
 ) -> None:
     """Capture the current balance of every store under one date stamp.
 
-    The table is partitioned by dataset and snapshot_date and only the partitions of this capture
-    are replaced, so a rerun after a failure gives the same table. The stamp names the partition;
-    `balance_date` keeps the time the balance was read. A row per store goes to the table of captures beside it.
+    The balances are staged in a folder of their own, counted while they are written, and become visible with one row per
+    store in the table of captures beside the snapshot table: one small file that appears at once. A writer that dies
+    before leaves the old state, whatever it has written. A rerun gives the same table: of several captures of one store and
+    date the newest counts. The stamp names the date; `balance_date` keeps the time the balance was read.
     """
+    day = F.to_date(at(stamp))
     captured = [
-        snapshot_current(balance)
-        .withColumn("dataset", F.lit(name))
-        .withColumn("snapshot_date", F.to_date(at(stamp)))
+        snapshot_current(balance).withColumn("dataset", F.lit(name)).withColumn("snapshot_date", day)
         for name, balance in balances.items()
     ]
+    rows = reduce(lambda left, right: left.unionByName(right, allowMissingColumns=True), captured)
+    version = f"v{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    counted, counts = Observation(), []
+    for k, name in enumerate(balances):
+        own = F.col("dataset") == name
+        counts += [F.count_if(own).alias(f"rows_{k}"), exact_total(F.col("quantity"), own).alias(f"quantity_{k}")]
+        if "value" in rows.columns:
+            counts.append(exact_sum(F.col("value"), own).alias(f"value_{k}"))
     (
-        reduce(lambda left, right: left.unionByName(right, allowMissingColumns=True), captured)
-        .hint("rebalance")  # even file sizes, whatever the size of a store
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("dataset", "snapshot_date")
+        rows.hint("rebalance")  # even file sizes, whatever the size of a store
+        .observe(counted, *counts)
+        .write.partitionBy("dataset", "snapshot_date")
         .format(format)
-        .save(path)
-    )
-    spark = next(iter(balances.values())).sparkSession
-    written = spark.read.format(format).load(path)
-    captures_write(
-        written.where(F.col("dataset").isin(*balances) & (F.col("snapshot_date") == F.to_date(at(stamp)))), path
+        .save(f"{path.rstrip('/')}/{_VERSION}={version}")
     )
+    found = counted.get
+    noted = [(name, *(found.get(f"{what}_{k}") for what in _FIGURES), version) for k, name in enumerate(balances)]
+    _commit([row for row in noted if row[1]], day, path, rows.sparkSession)
+
+
+def _commit(noted: list[tuple], day: Column, path: str, spark: SparkSession) -> None:
+    """Make staged captures visible: a row per store, in one file."""
+    schema = _CAPTURES.replace(" snapshot_date date,", "")
+    rows = spark.createDataFrame(noted, schema).withColumn("snapshot_date", day)
+    rows.select(*_CAPTURE_COLUMNS).coalesce(1).write.mode("append").parquet(_captures_path(path))
 
 
 def captures_write(table: DataFrame, path: str) -> None:
-    """Note the captures in a table (one row each: rows, quantity, value) beside the snapshot table at a path.
+    """Note the captures of a snapshot table that was written by other means, in place of what was noted before.
 
     History, as-of dates, openings and points need no more than that, and so never read a balance.
     """
-    (
-        snapshot_write_summary(table)
-        .coalesce(1)  # a row per capture
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("dataset", "snapshot_date")
-        .parquet(_captures_path(path))
-    )
+    noted = snapshot_write_summary(table).withColumn(_VERSION, F.lit(None).cast("string"))
+    noted.select(*_CAPTURE_COLUMNS).coalesce(1).write.mode("overwrite").parquet(_captures_path(path))
+
+
+def _committed(spark: SparkSession, path: str) -> DataFrame:
+    """The captures that count: of one store and date the newest."""
+    noted = spark.read.schema(_CAPTURES).parquet(_captures_path(path))
+    newest = F.max_by(F.struct(*_FIGURES, _VERSION), F.coalesce(_VERSION, F.lit(""))).alias("newest")
+    return noted.groupBy("dataset", "snapshot_date").agg(newest).select("dataset", "snapshot_date", "newest.*")
 
 
 def snapshot_captures(spark: SparkSession, path: str) -> DataFrame:
     """dataset, snapshot_date, rows, quantity, value of every capture of the snapshot table at a path."""
-    return spark.read.parquet(_captures_path(path))
+    return _committed(spark, path).drop(_VERSION)
 
 
 def _captures_path(path: str) -> str:
@@ -74,13 +92,18 @@ def _captures_path(path: str) -> str:
 def snapshot_table(
     spark: SparkSession, path: str, dataset: str | None = None, up_to: Moment | None = None
 ) -> DataFrame:
-    """Stored snapshots; dataset and date bounds prune partitions."""
+    """Stored snapshots that were committed; dataset and date bounds prune partitions, and so do the captures that count.
+
+    A table written by other means, without versions, is read as it is.
+    """
     table = spark.read.parquet(path)
     if dataset is not None:
         table = table.where(F.col("dataset") == dataset)
     if up_to is not None:
         table = table.where(F.col("snapshot_date") <= F.to_date(at(up_to)))
-    return table
+    if _VERSION not in table.columns:
+        return table
+    return table.join(_committed(spark, path), ["dataset", "snapshot_date", _VERSION], "left_semi").drop(_VERSION)
 
 
 def snapshot_write_summary(table: DataFrame) -> DataFrame:

@@ -211,6 +211,36 @@ def test_captures_replace_their_own_partition_and_prune(spark, held, tmp_path):
     assert "PartitionFilters: [isnotnull(dataset" in early._jdf.queryExecution().executedPlan().toString()
 
 
+def test_a_capture_that_is_not_committed_is_not_seen(spark, held, tmp_path, monkeypatch):
+    path = str(tmp_path / "table")
+    store = lambda scale: {"rm_balance": held([(f"lot{k}", "dock", "2025-11-02", scale * (k + 1)) for k in range(3)])}
+
+    def seen():
+        table = snapshots.snapshot_table(spark, path)
+        noted = {(r.dataset, str(r.snapshot_date)): (r.rows, r.quantity) for r in snapshots.snapshot_captures(spark, path).collect()}
+        told = {(r.dataset, str(r.snapshot_date)): (r.rows, r.quantity) for r in snapshots.snapshot_write_summary(table).collect()}
+        assert noted == told and "capture_version" not in table.columns
+        return told
+
+    snapshots.snapshot_write(store(1), path, "2025-11-02")
+    old = {("rm_balance", "2025-11-02"): (3, 6)}
+    assert seen() == old
+
+    def fails(*_):
+        raise RuntimeError("the writer dies between the balances and their capture")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(snapshots, "_commit", fails)
+        for day in ("2025-11-02", "2025-11-03"):
+            with pytest.raises(RuntimeError, match="dies"):
+                snapshots.snapshot_write(store(100), path, day)
+    assert seen() == old
+    snapshots.snapshot_write(store(100), path, "2025-11-03")
+    assert seen() == old | {("rm_balance", "2025-11-03"): (3, 600)}
+    snapshots.snapshot_write(store(5), path, "2025-11-02")
+    assert seen() == {("rm_balance", "2025-11-02"): (3, 30), ("rm_balance", "2025-11-03"): (3, 600)}
+
+
 @pytest.fixture
 def dated_files(tmp_path):
     for stamp, count in (("20250105", 3), ("20250219", 8), ("20250401", 5)):
