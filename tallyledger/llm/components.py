@@ -24,7 +24,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """node, component (its least node) for every node of the edges (a, b): bigint, not null; loops are dropped.
 
     Each round is written to the shared folder, so a lost executor costs at most that round. Totals combine before the
-    shuffle; a hub's edges meet its least neighbour in a join that Spark splits.
+    shuffle; a hub's edges meet its least neighbour in one task. Rounds end when the number of edges and the sum of their
+    hashes stay the same.
     """
     edges = written_once(edges.where("a <> b").distinct())
     before = None
