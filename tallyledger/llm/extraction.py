@@ -1,8 +1,9 @@
 """Main text of web pages by tree scoring: paragraphs pass points to ancestors, the best container is kept.
 
 Defined results: null or empty html, or html without text, gives empty text; markup that is cut off or never
-closed is read as far as it goes; repeated rows are extracted row by row; an empty table gives no rows; extra
-columns are ignored.
+closed is read as far as it goes; a very long page is read whole, in time that grows with its length; repeated rows are
+extracted row by row; an empty table gives no rows; extra columns are ignored. Of containers that score alike the later
+one is best, or, without article and main, the outer one.
 """
 
 from __future__ import annotations
@@ -31,10 +32,13 @@ def _set(names: str) -> frozenset[str]:
 
 
 # Elements whose content is no text of the page.
-_OPAQUE = _set("script style noscript template textarea title svg math iframe object canvas audio video select head")
+_OPAQUE = _set(
+    "script style noscript template textarea title svg iframe object canvas audio video select head annotation"
+    " annotation-xml"
+)
 _VOID = _set("area base br col embed hr img input link meta param source track wbr")
 # Elements around the article, never part of it.
-_AROUND = _set("nav footer aside form button dialog menu fieldset label")
+_AROUND = _set("nav footer aside form button dialog menu fieldset")
 _BLOCKS = _set(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form"
     " h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul"
@@ -60,9 +64,32 @@ _UNLIKELY = _set(
     " subscription teaser toolbar widget copyright legal responses discussion"
 )
 _LIKELY = _set("article body content entry main post story text")
+# Beside such a part a name inside an article still says what surrounds it: ad-slot, share-bar; not social-history.
+_LAYOUT = _set(
+    "area bar block bottom box button buttons container count embed form group holder icon icons inline inner item items"
+    " left link links list module outer panel posts right row section site slot stories top unit widget wrap wrapper zone"
+) | _LIKELY
+# Inside an article these can name its own parts; an id is mostly an anchor of its topic.
+_OWN_CLASSES = _set("header masthead")
+_OWN_IDS = _OWN_CLASSES | _set(
+    "banner commentary copyright disclaimer discussion legal menu menus notice notices notification notifications promotion"
+    " rail recommended related reply respond responses skip social sponsor sponsors subscription"
+)
 _ROLES = _set("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar")
 _PARAGRAPHS = _HEADINGS | _set("p pre li blockquote td dd")
 _PARAGRAPH = 25  # fewer characters earn no points
+# A container with this share of its characters inside links is no part of the article.
+MOST_LINKED = 0.25
+_TELLING = _PARAGRAPHS - _HEADINGS
+# Parts of a page without article and main that belong to the text beside them, however short.
+_PARTS = _set("section ul ol dl table pre blockquote figure")
+
+
+def _surrounding(token: str, own: frozenset[str], in_article: bool) -> bool:
+    """Whether one class or id inside article or main is made up of what surrounds an article and of layout words only."""
+    parts = {x.lower() for x in _NAME_PART.findall(token)}
+    unlikely = _UNLIKELY - own
+    return bool(parts & unlikely) and parts <= unlikely | _LAYOUT and (in_article or not parts & _LIKELY)
 
 
 class _Page:
@@ -133,11 +160,12 @@ class _Page:
     def _surrounds(self, tag: str, attributes: str) -> bool:
         if tag in _AROUND:
             return True
-        if tag == "header":
-            return not any(self.tag[k] in ("article", "main") for k in self.stack)
+        holders = {self.tag[k] for k in self.stack} & {"article", "main"}
+        if tag in ("header", "label"):
+            return not holders
         if not attributes or tag in ("html", "body", "main"):
             return False
-        parts: set[str] = set()
+        unlikely, parts = False, set()
         for m in _ATTRIBUTE.finditer(attributes):
             name, value = (m[1] or m[5]).lower(), m[2] or m[3] or m[4] or ""
             if name == "hidden" or name == "aria-hidden" and value == "true":
@@ -146,8 +174,13 @@ class _Page:
                 return True
             if name == "role" and value.lower() in _ROLES:
                 return True
-            if name in ("class", "id"):
+            if name in ("class", "id") and holders:
+                own = _OWN_IDS if name == "id" else _OWN_CLASSES
+                unlikely |= any(_surrounding(token, own, "article" in holders) for token in value.split())
+            elif name in ("class", "id"):
                 parts.update(x.lower() for x in _NAME_PART.findall(value))
+        if holders:
+            return unlikely
         return bool(parts & _UNLIKELY) and (tag not in ("article",) or "comment" in parts) and not parts & _LIKELY
 
     def _close(self, tag: str) -> None:
@@ -206,6 +239,11 @@ def _up_to(page: _Page, element: int, last: int) -> Iterator[int]:
             return
 
 
+def _is_prose(text: str) -> bool:
+    """A paragraph that earns points, or a short one that ends like a sentence."""
+    return len(text) >= _PARAGRAPH or text.endswith((".", "!", "?", "…", ":"))
+
+
 def main_text(source: str) -> str:
     """The article's blocks in page order, joined by an empty line."""
     page = _Page(source)
@@ -228,15 +266,26 @@ def main_text(source: str) -> str:
             score[k] = score.get(k, 0) + points / (1, 2)[level] if level < 2 else score.get(k, 0) + points / (3 * level)
     worth = {k: s * (1 - links[k] / size[k]) for k, s in score.items()}
     best = max(worth, key=lambda k: (worth[k], k))
-    # An article or main element around the best container is the whole of it.
-    whole = next((k for k in page.above(best) if page.tag[k] == "article"), None)
-    whole = whole or next((k for k in page.above(best) if page.tag[k] == "main"), None)
-    if whole is None:
+    # The outermost article around the best container, or the main element around it, is the whole of it.
+    around = list(page.above(best))
+    whole = next((k for k in reversed(around) if page.tag[k] == "article"), None)
+    main = next((k for k in around if page.tag[k] == "main"), None)
+    if whole is not None:
+        path = around[around.index(whole) :]
+        path = set(path[: path.index(main) + 1] if main in path else path)
+        inside = main if main in path else 0
+        kept = {whole} | {
+            k
+            for k in size
+            if page.tag[k] == "article" and links[k] < MOST_LINKED * size[k] and inside in page.above(k)
+        }
+    elif main is not None:
+        whole, path, kept = main, {main, page.parent[main]}, {main}
+    else:
         # Without one, an outer container that is worth as much holds more of the article.
         best = max(worth, key=lambda k: (worth[k], -k))
-    kept = {whole or best}
-    # Next to article or main only what scores high by itself; else link-poor text beside any container around the best one.
-    path = {whole, page.parent[whole]} if whole else set(page.above(best))
+        path, kept = set(page.above(best)), {best}
+    # What stands beside any container around the best one is judged by its links.
     said: dict[int, list[tuple[int, str, int]]] = {}
     for block in blocks:
         below = None
@@ -246,17 +295,18 @@ def main_text(source: str) -> str:
             below = k
         if below is not None and k in path and k not in kept:
             said.setdefault(below, []).append(block)
+    titled = any(page.tag[e] == "h1" and kept & set(page.above(e)) for e, _, _ in blocks)
     for k, texts in said.items():
-        long = sum(len(t) for _, t, _ in texts)
-        dense = sum(n for _, _, n in texts) / long
-        prose = page.tag[k] == "p" and (long > 80 and dense < 0.25 or dense == 0 and texts[-1][1].endswith("."))
-        if whole:
-            good = worth.get(k, 0) >= max(10.0, worth[best] / 5)
-        else:
+        if page.tag[k] in _HEADINGS:
+            kept.add(k)
+            continue
+        if sum(n for _, _, n in texts) >= MOST_LINKED * sum(len(t) for _, t, _ in texts):
+            continue
+        told = any(page.tag[e] in _TELLING and n < MOST_LINKED * len(t) and _is_prose(t) for e, t, n in texts)
+        if whole is None:
             most = max(worth.get(e, 0) for element, _, _ in texts for e in _up_to(page, element, k))
-            told = any(page.tag[e] == "p" and len(t) > 80 and n < 0.25 * len(t) for e, t, n in texts)
-            good = dense < 0.25 and (most > 0 and most >= worth[best] / 5 or told)
-        if good or prose or page.tag[k] in _HEADINGS:
+            told = told or page.tag[k] in _PARTS or most > 0 and most >= worth[best] / 5
+        if told or not titled and any(page.tag[e] == "h1" for e, _, _ in texts):
             kept.add(k)
     return "\n\n".join(text for element, text, _ in blocks if any(k in kept for k in page.above(element)))
 

@@ -58,3 +58,71 @@ def test_sections_without_article_are_all_kept(counts, around):
     assert main_text(page(around.format("".join(f"<div>{s}</div>" for s in sections)))) == want
     links = "<div>" + "".join(f"<p><a href=x>Link {k}</a></p>" for k in range(9)) + "</div>"
     assert main_text(page(around.format("".join(sections)) + links)) == want
+
+
+LEDE = "The lede tells in some words what happened, and where, and to whom, before the article itself begins here."
+SHORT = "A section of one paragraph with fifty-one letters."
+
+
+@pytest.mark.parametrize(
+    ("body", "texts"),
+    [
+        (f"<h1>Head</h1><div><p>{LEDE}</p><p>{LEDE}</p></div><article><p>{LONG}</p><p>{LONG}</p></article>", ["Head", LEDE, LEDE, LONG, LONG]),
+        (f"<article><p>{SHORT}</p></article><article><p>{LONG}</p><p>{LONG}</p></article>", [SHORT, LONG, LONG]),
+        (f"<main><article><p>{SHORT}</p></article><article><p>{LONG}</p><p>{LONG}</p></article></main>", [SHORT, LONG, LONG]),
+        (f"<main><div><article><p>{SHORT}</p></article></div><div><article><p>{LONG}</p></article></div></main>", [SHORT, LONG]),
+        (f"<section><p>{LONG}</p><p>{LONG}</p></section><section><p>{SHORT}</p></section><section><ul><li>one</li><li>two</li></ul></section>", [LONG, LONG, SHORT, "one", "two"]),
+        (f'<article><p>{LONG}</p><section id="social-history"><p>{LEDE}</p></section><div class="legal-analysis"><p>{SHORT}</p></div></article>', [LONG, LEDE, SHORT]),
+        (f"<article><p>{LONG}</p><p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p><p><label>Label</label> text</p></article>", [LONG, "so x=1 holds", "Label text"]),
+        (f"<main><article><p>{LONG}</p><article><p>{SHORT}</p></article></article></main>", [LONG, SHORT]),
+        (f"<div><h1>A title in a box of its own</h1></div><article><p>{LONG}</p></article>", ["A title in a box of its own", LONG]),
+        (f'<article><p>{LONG}</p><div class="ad-slot"><p>{LEDE}</p></div><div class="share-bar">Share</div><section id="comments"><p>{LEDE}</p></section></article>', [LONG]),
+        (f'<article><p>{LONG}</p></article><div class="ad"><p>{LEDE}</p></div><section><article><h3><a href=x>Another story, linked</a></h3><p>In short.</p></article></section>', [LONG]),
+        (f'<main><div class="content-sidebar-wrap"><article><p>{LONG}</p></article></div></main><label>Search the site for words:</label>', [LONG]),
+    ],
+)
+def test_every_part_of_the_article_and_nothing_around_it(body, texts):
+    assert main_text(page(body)) == "\n\n".join(texts)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_generated_pages_by_blocks_in_and_out(seed):
+    """Pages put together from parts known to be in or out: every block that is in comes, in order, and no other."""
+    import random
+
+    rng = random.Random(seed)
+    said = iter(range(10**6))
+
+    def prose():
+        return f"Block {next(said)} says {'some words, ' * rng.randint(2, 30)}and ends."
+
+    def parts(kinds, depth=0):
+        made, wanted = [], []
+        for kind in kinds:
+            text = prose()
+            if kind == "p":
+                made.append(f"<p>{text}</p>")
+                wanted.append(text)
+            elif kind == "list":
+                made.append(f"<ul><li>{text}</li><li>short</li></ul>")
+                wanted += [text, "short"]
+            elif kind == "section" and depth < 2:
+                inner, inside = parts(rng.choices(["p", "list", "section", "out"], k=rng.randint(1, 3)), depth + 1)
+                made.append(f"<section><h2>{text}</h2>{inner}<p>End of it.</p></section>")
+                wanted += [text, *inside, "End of it."]
+            elif kind == "out":
+                made.append(rng.choice([
+                    f'<div class="ad-box"><p>{text}</p></div>', f"<aside><p>{text}</p></aside>", f"<form><p>{text}</p></form>",
+                    f'<div class="comments"><p>{text}</p></div>', f"<script>'{text}'</script>", f"<p hidden>{text}</p>",
+                    f'<ul class="x">{f"<li><a href=x>{text}</a></li>" * 3}</ul>', f"<!-- <p>{text}</p> -->",
+                ]))
+        return "".join(made), wanted
+
+    around = ["<nav><a href=x>Home</a></nav>", '<div class="sidebar"><p>Side text of some length, with a comma.</p></div>', "<footer><p>All rights are reserved by us.</p></footer>"]
+    body, wanted = "", []
+    for _ in range(rng.randint(1, 3)):
+        inner, inside = parts(["p", *rng.choices(["p", "list", "section", "out"], k=rng.randint(1, 6))])
+        body += f"<article>{inner}</article>"
+        wanted += inside
+    html = f"{around[0]}{around[1]}{rng.choice(['{}', '<main>{}</main>', '<div><div>{}</div></div>']).format(body)}{around[2]}"
+    assert main_text(page(html)) == "\n\n".join(wanted)
