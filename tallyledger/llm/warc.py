@@ -3,12 +3,15 @@
 An archive is a row (archive, data) of a table, so that any store Spark can write holds it; save_archives
 writes the same bytes as files. Defined results: null html is an empty payload; a null url is empty; payloads
 under 100 bytes are never revisits; of equal payloads the smallest page_id is the response (rows that share
-it all are); a null page_id comes last; an empty table gives no archives; extra columns are ignored.
+it all are, and share a record id); a null page_id comes last; an empty table gives no archives; a record of any size is
+read in time that grows with its length; extra columns are ignored. The target URI is the url with only those characters
+escaped that no URI may hold; a url that this changes is kept besides, in a field of its own, and read back from there.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import urllib.parse
 import zlib
 from collections.abc import Iterator
@@ -46,19 +49,28 @@ def mark_revisits(pages: DataFrame) -> DataFrame:
     )
 
 
+def _uri(url: str) -> str:
+    """The url with what no URI may hold escaped; escapes it has stay as they are."""
+    quoted = urllib.parse.quote(url, safe=":/?#[]@!$&'()*+,;=%")
+    return re.sub("%(?![0-9A-Fa-f]{2})", "%25", quoted)
+
+
 def _record(page: int | None, url: str, payload: bytes, digest: str, first: int | None) -> bytes:
     name = "" if page is None else page
+    uri = _uri(url)
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'response' if first is None else 'revisit'}",
         f"WARC-Record-ID: <urn:page:{name}>",
         "WARC-Date: 1970-01-01T00:00:00Z",
-        f"WARC-Target-URI: {urllib.parse.quote(url, safe=''':/?#[]@!$&'()*+,;=''')}",
+        f"WARC-Target-URI: {uri}",
         f"WARC-Payload-Digest: sha256:{digest}",
         f"WARC-Payload-Length: {len(payload)}",
         "Content-Type: application/http; msgtype=response",
     ]
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    if uri != url:
+        lines.append(f"Page-URL: {urllib.parse.quote(url, safe='')}")
     if first is not None:
         lines += [
             f"WARC-Refers-To: <urn:page:{first}>",
@@ -69,7 +81,7 @@ def _record(page: int | None, url: str, payload: bytes, digest: str, first: int
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def _head(data: bytes, at: int) -> tuple[dict[str, str], int] | None:
+def _head(data: bytes | bytearray, at: int) -> tuple[dict[str, str], int] | None:
     """Header fields (lower-case names) of the record at a place and where its block begins; None if not all there."""
     end = data.find(b"\r\n\r\n", at)
     if end < 0:
@@ -82,26 +94,29 @@ def _head(data: bytes, at: int) -> tuple[dict[str, str], int] | None:
 
 def records_of(stream: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Records of gzip data, whole-file or by member, inflated once and in steps: header fields and the record's bytes."""
-    inflate, held, at = zlib.decompressobj(_GZIP), b"", 0
+    inflate, held, at, need = zlib.decompressobj(_GZIP), bytearray(), 0, 0
     view = memoryview(stream)
     for k in range(0, len(view), _STEP):
         data = bytes(view[k : k + _STEP])
-        got = []
         while data:
-            got.append(inflate.decompress(data))
+            held += inflate.decompress(data)
             data = inflate.unused_data
             if inflate.eof and (data or k + _STEP < len(view)):
                 inflate = zlib.decompressobj(_GZIP)
-        held = held[at:] + b"".join(got)
-        at = 0
-        while (found := _head(held, at)) is not None:
+        # A record whose length is known is not looked at again before all of it is there.
+        while len(held) >= need and (found := _head(held, at)) is not None:
             fields, block = found
             end = block + int(fields["content-length"]) + 4
             if end > len(held):
+                need = end
                 break
-            yield fields, held[at:end]
-            at = end
-    if len(held) > at or not inflate.eof and len(view):
+            with memoryview(held) as all_held:
+                record = bytes(all_held[at:end])
+            yield fields, record
+            at = need = end
+        del held[:at]
+        at, need = 0, max(need - at, 0)
+    if held or not inflate.eof and len(view):
         raise ValueError("the archive ends inside a record")
 
 
@@ -177,7 +192,7 @@ def read_records(normalised: DataFrame) -> DataFrame:
             size = len(payload)
             if hashlib.sha256(payload).hexdigest() != digest:
                 raise ValueError(f"the payload of page {page} does not match its digest")
-        url = urllib.parse.unquote(fields["warc-target-uri"])
+        url = urllib.parse.unquote(fields["page-url"]) if "page-url" in fields else fields["warc-target-uri"]
         return int(page) if page else None, url, fields["warc-type"], payload, size, digest, first
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

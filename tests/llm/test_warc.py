@@ -86,5 +86,31 @@ def test_files(pages, tmp_path):
     assert len(os.listdir(tmp_path / "out")) == 2 * len(saved)
 
 
+@pytest.mark.parametrize("url", ["http://h/a%20b", "http://h/a b", "http://h/100%", "http://h/é?q=%C3%A9", "%2520", "a\tb"])
+def test_escapes_of_a_url_stay_and_every_url_comes_back(spark, url):
+    stored = normalise(write_archives(mark_revisits(spark.createDataFrame([(1, url, "x")], "page_id bigint, url string, html string"))))
+    row = stored.first()
+    head = gzip.decompress(bytes(row.data)).split(b"\r\n\r\n")[0].decode()
+    uri = next(x for x in head.split("\r\n") if x.startswith("WARC-Target-URI: ")).removeprefix("WARC-Target-URI: ")
+    assert uri.isascii() and " " not in uri and "%2520" not in uri.replace(url, "")
+    if url == "http://h/a%20b":
+        assert uri == url
+    assert read_records(stored).first().url == url
+
+
+def test_a_large_record_is_read_in_linear_time():
+    import time
+
+    body = os.urandom(1 << 20) * 48
+    large = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: %d\r\n\r\n" % len(body) + body + b"\r\n\r\n"
+    small = b"WARC/1.1\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n"
+    stream = zlib.compressobj(0, zlib.DEFLATED, 31)
+    data = stream.compress(small * 3 + large + small * 3) + stream.flush()
+    begin = time.process_time()
+    got = [record for _, record in records_of(data)]
+    assert time.process_time() - begin < 5
+    assert got == [*[small] * 3, large, *[small] * 3]
+
+
 def test_empty(pages):
     assert read_records(normalise(write_archives(mark_revisits(pages.limit(0))))).count() == 0
