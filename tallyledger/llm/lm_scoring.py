@@ -3,7 +3,8 @@
 Words are lower-cased (A-Z) between ASCII white space; every text ends with one end token. Word and bigram counts
 cover all training rows. Defined results: null text is empty, so only its end token is scored; a null doc_id trains
 or not by the hash of empty text; repeated rows count and are scored row by row; without training rows every count is 0 and
-both scores come from the smoothing alone; an empty table gives no rows; extra columns are ignored.
+both scores come from the smoothing alone; a text of any length is scored whole; an empty table gives no rows; extra columns are
+ignored. The probabilities of a context add up to at most 1 (false positives of the filter, of which there are few, aside).
 
 1. Tasks cut their documents into blocks: distinct word hashes and, per token, a place among them. The table of
    blocks is written once.
@@ -185,8 +186,8 @@ def _levels(counts: np.ndarray) -> np.ndarray:
 
 
 def expected_count(levels: np.ndarray) -> np.ndarray:
-    """The middle of the counts with so many levels: 0, 1, 2.5, 5.5, ..."""
-    return np.where(levels > 0, (3 * 2.0 ** (levels - 1) - 1) / 2, 0.0)
+    """The least of the counts with so many levels: 0, 1, 2, 4, ... More would give a context more than probability 1."""
+    return np.where(levels > 0, 2.0 ** (levels - 1), 0.0)
 
 
 def _segments(blocks: DataFrame, segment_bits: int) -> DataFrame:

@@ -34,7 +34,7 @@ def brute(rows):
             plain = (words[after] + 0.5) / (n + 0.5 * (v + 1))
             c = ends if before == "^" else words[before]
             level = pairs[before, after].bit_length()
-            seen = min((3 * 2 ** (level - 1) - 1) / 2 if level else 0, c, words[after])
+            seen = min(2 ** (level - 1) if level else 0, c, words[after])
             weight = 0.5 * c / (c + 4.0)
             base += math.log10(plain)
             score += math.log10(weight * seen / max(c, 1) + (1 - weight) * plain)
@@ -83,4 +83,27 @@ def test_no_training_rows(spark):
 
 def test_levels():
     assert _levels(np.array([1, 2, 3, 4, 7, 8])).tolist() == [1, 2, 2, 3, 3, 4]
-    assert expected_count(np.array([0, 1, 2, 3])).tolist() == [0, 1, 2.5, 5.5]
+    assert expected_count(np.array([0, 1, 2, 3])).tolist() == [0, 1, 2, 4]
+
+
+def test_probabilities_of_a_context_add_up_to_one_at_most(corpus):
+    """The quantised count never exceeds the count, so no context hands out more than it has."""
+    counts = np.arange(1, 5000)
+    assert (expected_count(_levels(counts)) <= counts).all()
+    tokens = [[*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER)), None] for _, t in corpus]
+    tokens.append([x for k in range(1000) for x in ("ctx", f"w{k // 3}")])
+    words = Counter(w for x in tokens for w in x)
+    n, v = sum(words.values()), len(words)
+    follow = {}
+    for x in tokens:
+        for before, after in zip(x, x[1:], strict=False):
+            follow.setdefault(before, Counter())[after] += 1
+    assert len(follow) > 300 and len(follow["ctx"]) == 334
+    for before, nexts in follow.items():
+        c = words[before]
+        weight = 0.5 * c / (c + 4.0)
+        levels = expected_count(_levels(np.array(list(nexts.values()))))
+        seen = sum(min(x, c, words[w]) for x, w in zip(levels, nexts, strict=True))
+        # All known words and one unknown have a smoothed share of 1 in all.
+        smoothed = (sum(words.values()) + 0.5 * v + 0.5) / (n + 0.5 * (v + 1))
+        assert weight * seen / c + (1 - weight) * smoothed <= 1 + 1e-12
