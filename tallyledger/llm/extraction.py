@@ -1,7 +1,7 @@
 """Main text of web pages by tree scoring: paragraphs pass points to ancestors, the best container is kept.
 
 Defined results: null or empty html, or html without text, gives empty text; markup that is cut off or never
-closed is read as far as it goes; a very long page is read whole, in time that grows with its length; repeated rows are
+closed is read as far as it goes; a very long page is read whole, in time that grows with its blocks and their depth; repeated rows are
 extracted row by row; an empty table gives no rows; extra columns are ignored. Of containers that score alike the later
 one is best, or, without article and main, the outer one.
 """
