@@ -1,8 +1,11 @@
 """Language identification: nearest of several TF-IDF centroids per language, with rejection by distance.
 
-Fitted on a bounded sample of labelled rows; predicts from the text alone. Defined results: null text, or text
+Fitted on a bounded sample of labelled rows: of each of the MOST_LANGUAGES languages with the most rows (equal numbers by
+name) at most SAMPLE_PER_LANGUAGE different rows. Predicts from the text alone. Defined results: null text, or text
 without a letter, is `und` with score 0 and rejected; without labelled rows everything is `und`; a null label is
-not learned; repeated rows are predicted row by row; an empty table gives no rows; extra columns are ignored.
+not learned; repeated rows are learned once and predicted row by row; texts of any length are read whole; of centroids
+equally near the first counts, by name of the language; an empty table gives no rows; extra columns are ignored, and a
+column to keep that has the name of a result gives way to it.
 """
 
 from __future__ import annotations
@@ -25,6 +28,10 @@ SAMPLE_PER_LANGUAGE = 400
 MOST_LANGUAGES = 400
 # A text is rejected if its cosine is below this share of the least that its language met in the sample.
 REJECT_SHARE = 0.5
+# A cluster holds this share of its language's sample at least, so that no stray text is a centroid of its own.
+LEAST_CLUSTER = 0.02
+RESULTS = ("lang_pred", "score", "rejected")
+_STARTS, _RENEWALS, _SALTS = 4, 8, 64
 _PIECE = 1 << 20
 
 
@@ -74,34 +81,75 @@ class CentroidModel:
         return self.languages[best], score, score < float(self.least[best])
 
 
-def _clustered(vectors: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
-    """Spherical k-means from the first vector and then, each time, the one farthest from all chosen."""
-    chosen = [0]
-    for _ in range(min(k, len(vectors)) - 1):
-        chosen.append(int((vectors @ vectors[chosen].T).max(1).argmin()))
-    centroids = vectors[chosen].copy()
+def _spread(vectors: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """Starts of k-means: each next one drawn by its distance from those chosen."""
+    chosen = [int(rng.integers(len(vectors)))]
+    near = vectors @ vectors[chosen[0]]
+    while len(chosen) < k:
+        far = np.maximum(1 - near.astype(np.float64), 0)
+        far[far < 1e-6] = 0
+        if not far.any():
+            break
+        chosen.append(int(rng.choice(len(vectors), p=far / far.sum())))
+        near = np.maximum(near, vectors @ vectors[chosen[-1]])
+    return vectors[chosen].copy()
+
+
+def _settled(vectors: np.ndarray, centroids: np.ndarray, rounds: int) -> np.ndarray:
+    """Rounds of spherical k-means; gives the sizes of the clusters."""
     for _ in range(rounds):
         nearest = (vectors @ centroids.T).argmax(1)
         for c in range(len(centroids)):
             if (nearest == c).any():
                 total = vectors[nearest == c].sum(0)
                 centroids[c] = total / (np.sqrt(total @ total) or 1.0)
-    return centroids
+    return np.bincount((vectors @ centroids.T).argmax(1), minlength=len(centroids))
+
+
+def _clustered(vectors: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
+    """The best of some starts of spherical k-means, without clusters below the least size.
+
+    A centroid with too few rows starts anew from a row of the largest cluster; one that ends so all the same is given up.
+    """
+    least = LEAST_CLUSTER * len(vectors)
+    rng, found = np.random.default_rng(len(vectors)), []
+    for _ in range(_STARTS):
+        centroids = _spread(vectors, min(k, len(vectors)), rng)
+        sizes = _settled(vectors, centroids, rounds)
+        for _ in range(_RENEWALS):
+            if (sizes >= least).all():
+                break
+            largest = np.flatnonzero((vectors @ centroids.T).argmax(1) == sizes.argmax())
+            for c in np.flatnonzero(sizes < least):
+                centroids[c] = vectors[rng.choice(largest)]
+            sizes = _settled(vectors, centroids, rounds)
+        while len(centroids) > 1 and (sizes < least).any():
+            centroids = np.delete(centroids, sizes.argmin(), 0)
+            sizes = _settled(vectors, centroids, rounds)
+        found.append((len(centroids), float((vectors @ centroids.T).max(1).sum()), centroids))
+    return max(found, key=lambda x: x[:2])[2]
 
 
 def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> CentroidModel:
     """A model from rows with doc_id, text and lang.
 
-    Per language the rows with the least hash of their id are taken, `per_language` of them at most; their features,
-    not their texts, reach the driver: 32 KB a row.
+    Per language the rows with the least hash of their id are taken, `per_language` of them at most, rows that repeat id and
+    text as one; their features, not their texts, reach the driver: 16 KB a row. Rows are ranked by parts of a language
+    first, so that no task ranks a whole one.
     """
     ready_workers(labelled.sparkSession)
-    rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.select("lang", "doc_id").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_language)
-    ids = ids.limit(per_language * MOST_LANGUAGES).select(F.col("lang").alias("_lang"), F.col("doc_id").alias("_id")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang"))
-    sample = rows.select("doc_id", "lang", "text").join(F.broadcast(ids), same, "left_semi")
+    rows = labelled.select("doc_id", "lang", "text").where("text IS NOT NULL AND lang IS NOT NULL")
+    rows = rows.withColumn("key", F.xxhash64("text"))
+    most = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    ids = rows.select("lang", "doc_id", "key").distinct().join(F.broadcast(most.select("lang")), "lang", "left_semi")
+    ids = ids.withColumn("salt", F.pmod(F.xxhash64("doc_id", "key"), F.lit(_SALTS)))
+    for part in (("lang", "salt"), ("lang",)):
+        order = Window.partitionBy(*part).orderBy(F.xxhash64("doc_id"), "doc_id", "key")
+        ids = ids.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).drop("n")
+    ids = ids.select(F.col("lang").alias("_lang"), F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang")) & (F.col("key") == F.col("_key"))
+    sample = rows.join(F.broadcast(ids), same, "left_semi")
+    sample = sample.groupBy("lang", "doc_id", "key").agg(F.any_value("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,6 +189,7 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Centroi
 def identify(documents: DataFrame, model: CentroidModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns with lang_pred, score and rejected. The broadcast model is 128 KB a language."""
     spark = documents.sparkSession
+    keep = tuple(c for c in keep if c.lower() not in RESULTS)
     ready_workers(spark)
     shared = spark.sparkContext.broadcast(model)
     kept = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in keep)
@@ -153,7 +202,7 @@ def identify(documents: DataFrame, model: CentroidModel, keep: tuple[str, ...] =
             kinds = ((0, pa.string()), (1, pa.float64()), (2, pa.bool_()))
             arrays = [pa.array([m[k] for m in made], kind) for k, kind in kinds]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in keep), *arrays], [*keep, "lang_pred", "score", "rejected"]
+                [*(batch.column(c) for c in keep), *arrays], [*keep, *RESULTS]
             )
 
     return columns.mapInArrow(run, f"{kept}, lang_pred string, score double, rejected boolean")

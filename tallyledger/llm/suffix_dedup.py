@@ -407,8 +407,13 @@ def repeated_runs(documents: DataFrame, length: int = LENGTH) -> DataFrame:
 def remove_repeats(documents: DataFrame, length: int = LENGTH, in_place: bool = False) -> DataFrame:
     """The documents' columns with n_bytes, n_removed, spans (removed: at, length; maximal) and kept (the bytes that stay).
 
-    in_place puts what stays into text instead of kept; of a character cut in two, nothing stays.
+    in_place puts what stays into text instead of kept; of a character cut in two, nothing stays. A column of the documents
+    that has the name of a result gives way to it.
     """
+    added = {"n_bytes": "bigint", "n_removed": "bigint", "spans": "array<struct<at: bigint, length: bigint>>"}
+    if not in_place:
+        added["kept"] = "binary"
+    documents = documents.drop(*[c for c in documents.columns if c.lower() in added])
     runs = repeated_runs(documents, length).groupBy("doc", "key")
     runs = runs.agg(F.collect_list(F.struct("at", "run")).alias("_dedup_runs"))
     runs = runs.select(F.col("doc").alias("_dedup_doc"), F.col("key").alias("_dedup_key"), "_dedup_runs")
@@ -417,9 +422,6 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, in_place: bool =
     joined = documents.join(runs, (doc == F.col("_dedup_doc")) & (F.xxhash64(text) == F.col("_dedup_key")), "left")
     columns = documents.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)
-    added = {"n_bytes": "bigint", "n_removed": "bigint", "spans": "array<struct<at: bigint, length: bigint>>"}
-    if not in_place:
-        added["kept"] = "binary"
     span = pa.list_(pa.struct([("at", pa.int64()), ("length", pa.int64())]))
 
     def one(raw: bytes, runs: list[dict] | None) -> tuple[list[dict], bytes]:

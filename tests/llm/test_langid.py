@@ -54,3 +54,32 @@ def test_nothing_to_learn(spark, labelled, no_documents):
     assert identify(no_documents, fit(labelled)).count() == 0
     unlabelled = spark.createDataFrame([(1, "the", None), (2, None, "en")], labelled.schema)
     assert fit(unlabelled).languages == []
+
+
+def test_no_cluster_is_a_stray_text(spark, labelled):
+    """Words that no other row has, under a learned label, do not get a centroid of their own."""
+    stray = spark.createDataFrame([(1000 + k, w, "en") for k, w in enumerate(("жщю", "цфы"))], labelled.schema)
+    learned = labelled.union(stray)
+    model, rows = fit(learned), learned.collect()
+    for language in PARTS:
+        own = [r.text for r in rows if r.lang == language]
+        cells = [k for k, name in enumerate(model.languages) if name == language]
+        vectors = np.stack([np.log1p(ngram_counts(t)) * model.idf for t in own])
+        vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+        sizes = np.bincount((vectors @ model.centroids[cells].T).argmax(1), minlength=len(cells))
+        assert len(cells) > 1 and (sizes >= 0.02 * len(own)).all()
+
+
+def test_rows_that_share_an_id_are_learned_within_the_bound(spark, labelled):
+    model = fit(labelled)
+    many = spark.range(3000).selectExpr("1L AS doc_id", "'the thing is on' AS text", "'en' AS lang")
+    again = fit(many.union(labelled.selectExpr("doc_id + 5 AS doc_id", "text", "lang")))
+    assert set(again.languages) == set(model.languages)
+    texts = spark.range(3000).selectExpr("1L AS doc_id", "concat('the ', repeat('er ', id)) AS text", "'en' AS lang")
+    assert set(fit(texts, per_language=20).languages) == {"en"}
+
+
+def test_kept_columns_with_names_of_results_give_way(spark, labelled):
+    clash = labelled.limit(3).selectExpr("doc_id", "text", "7 AS score", "'x' AS lang_pred", "1 AS Rejected")
+    got = identify(clash, fit(labelled), tuple(clash.columns))
+    assert got.columns == ["doc_id", "text", "lang_pred", "score", "rejected"] and got.first().score <= 1
