@@ -50,12 +50,14 @@ def explain_summary_numbers(summary: DataFrame) -> DataFrame:
 
 
 def _summary_numbers(per_key: DataFrame) -> DataFrame:
-    return per_key.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_distinct("item_code").alias("items"),
-        F.count_distinct("warehouse").alias("warehouses"),
-        *[exact_total(F.col(name)).alias(name) for name in _TOTALS],
-    )
+    """Totals from one reading of the keys; each part of the key is counted in a small aggregate of its own, as several
+    distinct counts at once would copy every row."""
+    totals = per_key.agg(F.count(F.lit(1)).alias("rows"), *[exact_total(F.col(name)).alias(name) for name in _TOTALS])
+    for name, key in (("items", "item_code"), ("warehouses", "warehouse")):
+        count = per_key.select(key).distinct().agg(F.count(key).alias(name))
+        totals = totals.unionByName(count, allowMissingColumns=True)
+    return totals.agg(*[F.max(name).alias(name) for name in ("rows", "items", "warehouses", *_TOTALS)])
+
 
 
 def top_movers(summary: DataFrame, top_n: int = 10) -> DataFrame:

@@ -131,7 +131,7 @@ def test_one_pass_serves_ranking_totals_and_sentences(stored):
     one_day = lambda d: stored("snaps").where(F.col("snapshot_date") == F.lit(d).cast("date"))
     rec = reconcile.reconcile(one_day("1998-01-01"), rows, one_day("1998-07-01"), RULES)
     assert scans(cube.category_day_cube(rows, RULES)) == 1
-    assert scans(narrative.explain_summary(summary)) == 1
+    assert scans(narrative.explain_summary(summary)) == 1 and "Expand" not in plan(narrative.explain_summary(summary))
     assert scans(narrative.explain_reconciliation(rec)) == 3  # two snapshots and the ledger
     assert scans(anomalies.anomalies(rows, None, RULES)) <= 3  # counts; their join back; the newest date
     assert scans(narrative.explain_anomalies(anomalies.anomalies(rows, None, RULES, "2001-12-01"))) <= 4
