@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 from functools import reduce
@@ -228,14 +229,21 @@ def _read_alike(spark: SparkSession, files: list[str], encoding: str, multiline:
             *[F.translate(F.col(f"`{name}`"), CP1252_AS_LATIN1, CP1252_MEANT).alias(name) for name in rows.columns],
         )
     own = [f"`{name}`" for name in rows.columns if name not in ("_metadata", "file_name", "snapshot_date")]
-    source = F.col("_metadata.file_path")
+    # One row per file, so that no row of a snapshot takes its path apart.
+    named = rows.join(F.broadcast(_file_names(spark, files)), F.col("_metadata.file_path") == F.col("_source"))
+    return normalize_snapshot(named.select(*own, F.col("_name").alias("file_name"), F.col("_date").alias("snapshot_date")))
+
+
+def _file_names(spark: SparkSession, files: list[str]) -> DataFrame:
+    """(_source, _name, _date) of each file path: the name of the file, or of the folder of part files it lies in, and its date."""
+    source = F.col("_source")
     name = F.regexp_extract(source, r"([^/]+\.csv)(?:/[^/]*)?$", 1)
-    named = rows.select(
-        *own,
-        F.when(name == "", F.regexp_extract(source, "[^/]+$", 0)).otherwise(name).alias("file_name"),
-        _stamp(F.regexp_extract(name, r"_([0-9]{8})[^_]*\.csv$", 1)).alias("snapshot_date"),
+    listed = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(files)), "array<string>")).alias("_source"))
+    return listed.select(
+        source,
+        F.when(name == "", F.regexp_extract(source, "[^/]+$", 0)).otherwise(name).alias("_name"),
+        _stamp(F.regexp_extract(name, r"_([0-9]{8})[^_]*\.csv$", 1)).alias("_date"),
     )
-    return normalize_snapshot(named)
 
 
 def normalize_snapshot(rows: DataFrame) -> DataFrame:

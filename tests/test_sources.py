@@ -300,3 +300,23 @@ def test_import_names_the_missing_column_and_unknown_sheets(spark):
         baseline.baseline_import(sheet, balance(STOCK), "2026-07-07")
     with pytest.raises(ValueError, match="no known sheets"):
         baseline.baseline_imports({"Sheet1": sheet}, {}, "2026-07-07")
+
+
+def test_a_path_is_taken_apart_once_per_file(spark, tmp_path):
+    """The rows of a snapshot look their file up; no pattern runs over paths beside them."""
+    for day, quantity in (("20260101", 1), ("20260201", 2)):
+        folder = tmp_path / f"fg_balance_{day}.csv"
+        folder.mkdir()
+        for part in range(2):
+            (folder / f"part-{part}.csv").write_text(f"item_code,warehouse,quantity\nA{part},W,{quantity}\n")
+    (tmp_path / "own.csv").write_text("item_code,warehouse,quantity\nB,W,3\n")
+    df = snapshots.snapshot_csv_load(spark, [f"{tmp_path}/fg_balance_20260101.csv", f"{tmp_path}/fg_balance_20260201.csv", f"{tmp_path}/own.csv"])
+    found = {(r.item_code, r.file_name, str(r.snapshot_date), r.quantity) for r in df.collect()}
+    assert found == {
+        (f"A{part}", f"fg_balance_{day}.csv", date, q)
+        for day, date, q in (("20260101", "2026-01-01", 1.0), ("20260201", "2026-02-01", 2.0))
+        for part in range(2)
+    } | {("B", "own.csv", "None", 3.0)}
+    lines = [x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "regexp_extract" in x]
+    assert not any("_metadata" in x or "file_path" in x for x in lines)
+    assert "BroadcastHashJoin" in df._jdf.queryExecution().executedPlan().toString()
