@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import LedgerRules
 from ..functions.numbers import plain_text
-from ..functions.reuse import shared
+from ..functions.reuse import dealt, shared
 from ..functions.vocabulary import KEY
 from ..sources.canonical import Moment, at
 
@@ -19,6 +19,9 @@ MEDIAN_DEVIATION_SCALE = 1.4826
 MEAN_DEVIATION_SCALE = 1.2533
 MIN_MOVEMENTS = 5
 
+# Distinct quantities that may meet on a key; keys with more are fewer than a row in _WIDE.
+_WIDE = 65_536
+
 
 def negative_balance(balances: DataFrame) -> DataFrame:
     """Keys whose latest balance is below zero; of several rows on that date the lowest counts."""
@@ -30,8 +33,11 @@ def negative_balance(balances: DataFrame) -> DataFrame:
 
 
 # ---- exact medians per key ---------------------------------------------------------------------
-# A frequency table (key, slice, x, weight) stands for the rows: it is built by a plain count, so a key with a third
-# of all rows combines before the shuffle, and a median needs only the weights of its distinct values. The values lie in
+# A frequency table (key, x, weight) stands for the rows: it is built by a plain count, so a key with a third
+# of all rows combines before the shuffle, and a median needs only the weights of its distinct values. Those of a key with
+# no more than _WIDE of them come together at once: sorted by value they give the median, sorted by distance the spread.
+#
+# A key with more is too much for one task. Its values lie in
 # slices of their range, which spread over tasks. What meets on a key is one row per slice: sums, least and greatest
 # value. From these follow the slices that the median can lie in, bounds of every slice's distance from it, and so
 # the slices that the median of distances can lie in. Only their values come together, once, and give both.
@@ -62,16 +68,27 @@ def quantity_frequencies(movements: DataFrame) -> DataFrame:
     return shared(counted)
 
 
-def _sliced(movements: DataFrame) -> DataFrame:
-    """(key, slice, x, weight), the rows of a slice in one task.
+def _per_key(movements: DataFrame) -> DataFrame:
+    """(key, values, last_move): how many different quantities a key has, and when it moved last."""
+    counted = quantity_frequencies(movements).groupBy(*KEY)
+    return shared(counted.agg(F.count("x").alias("values"), F.max("last_move").alias("last_move")))
+
+
+def _narrow_and_wide(movements: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, x, weight) of the keys with up to _WIDE quantities, and of those with more.
 
-    The condition is on the weight, and the slice is never null: neither can move below the count, which so stays the same for
-    every reader.
+    The condition is on the weight: it can not move below the count, which so stays the same for every reader.
     """
     known = F.col("item_code").isNotNull() & F.col("warehouse").isNotNull() & F.col("x").isNotNull()
-    counted = quantity_frequencies(movements).where(F.when(known, F.col("weight")) > 0)
+    counted = quantity_frequencies(movements).where(F.when(known, F.col("weight")) > 0).select(*KEY, "x", "weight")
+    wide = F.broadcast(_per_key(movements).where(F.col("values") > _WIDE).select(*KEY))  # a key per _WIDE rows at most
+    return counted.join(wide, list(KEY), "left_anti"), counted.join(wide, list(KEY), "left_semi")
+
+
+def _sliced(counted: DataFrame) -> DataFrame:
+    """(key, slice, x, weight), the rows of a slice in one task."""
     place = F.coalesce(_slice_of(F.col("x")), F.lit(0)).alias("slice")
-    return counted.select(*KEY, place, "x", "weight").repartition(*KEY, "slice")
+    return dealt(counted.select(*KEY, place, "x", "weight"), *KEY, "slice")
 
 
 # What a key's slices tell of the key: its rows, the weight that is nearer than any value looked at, the sums and weights
@@ -147,7 +164,44 @@ def _wanted_slices(sliced: DataFrame, at_least: int) -> DataFrame:
 
 def robust_spread(movements: DataFrame, at_least: int = 1) -> DataFrame:
     """(key, median, scale, count, lowest, highest) of every key with at_least movements, on raw quantities."""
-    sliced = _sliced(movements)
+    narrow, wide = _narrow_and_wide(movements)
+    return _narrow_spread(narrow, at_least).unionByName(_wide_spread(wide, at_least))
+
+
+def _narrow_spread(counted: DataFrame, at_least: int) -> DataFrame:
+    """The spread of keys whose quantities fit a task, in one exchange and two sorts."""
+    whole = Window.partitionBy(*KEY)
+    weight, reached = F.col("weight"), F.col("reached")
+    low, high = _middle(F.col("total"))
+
+    def ends(x: str) -> list[Column]:
+        return [F.max(F.when(_at_or_before(place, reached, weight), F.col(x))) for place in (low, high)]
+
+    def running(order: str) -> Column:
+        return F.sum("weight").over(whole.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+
+    lower, upper = ends("x")
+    placed = (
+        dealt(counted, *KEY)
+        .withColumn("reached", running("x"))
+        .withColumn("total", F.sum("weight").over(whole))  # in the order that is there already
+        .where(F.col("total") >= at_least)
+        .withColumn("median", (lower.over(whole) + upper.over(whole)) / 2)
+        .withColumn("distance", F.abs(F.col("x") - F.col("median")))
+        .withColumn("reached", running("distance"))
+    )
+    nearest, next_nearest = ends("distance")
+    return placed.groupBy(*KEY, "median").agg(
+        _scale((nearest + next_nearest) / 2, F.sum(F.col("distance") * weight) / F.max("total")).alias("scale"),
+        F.max("total").alias("count"),
+        F.min("x").alias("lowest"),
+        F.max("x").alias("highest"),
+    )
+
+
+def _wide_spread(counted: DataFrame, at_least: int) -> DataFrame:
+    """The spread of keys whose quantities spread over tasks."""
+    sliced = _sliced(counted)
     whole = Window.partitionBy(*KEY)
     weight, reached = F.col("weight"), F.col("reached")
     low, high = _middle(F.col("total"))
@@ -211,11 +265,10 @@ def dormant_items(
 
     `as_of` defaults to the date of the newest movement.
     """
-    moved = quantity_frequencies(movements)  # the exchange that the outliers use
+    moved = _per_key(movements)  # the exchange that the outliers use
     now = at(as_of) if as_of is not None else moved.select(F.max("last_move")).scalar()
     return (
-        moved.groupBy(*KEY)
-        .agg(F.max("last_move").alias("last_move"))
+        moved.select(*KEY, "last_move")
         .withColumn("as_of", now)
         .withColumn("idle_days", F.extract(F.lit("DAY"), F.col("as_of") - F.col("last_move")))
         .where(F.col("idle_days") > rules.dormant_days)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.cells import non_blank
 from ..functions.numbers import exact_sum, exact_total, part_sums, total_of_parts
+from ..functions.reuse import dealt
 from ..functions.vocabulary import KEY, STORES
 from ..sources.canonical import Moment, at
 from .asof import asof_join
@@ -70,7 +71,7 @@ def snapshot_asof(balances: DataFrame, as_of: Moment, ordered: bool = False) ->
     """
     combined = _combined(balances.where(F.col("balance_date") <= at(as_of)), F.col("balance_date"))
     # One exchange by key, of rows that are combined already, serves both steps.
-    dated = combined.repartition(*KEY).groupBy(*KEY, "balance_date").agg(*_totals(combined), *_picked_texts(combined))
+    dated = dealt(combined, *KEY).groupBy(*KEY, "balance_date").agg(*_totals(combined), *_picked_texts(combined))
     carried = [name for name in dated.columns if name not in KEY]
     latest = dated.groupBy(*KEY).agg(F.max_by(F.struct(*carried), "balance_date").alias("latest"))
     snapshot = _arranged(latest.select(*KEY, "latest.*"))
