@@ -63,13 +63,14 @@ def part_sums(name: str) -> list[Column]:
     return [F.sum(limb).alias(f"{name}_{k}") for k, limb in enumerate(_limbs(F.col(name)))]
 
 
-def sum_of_parts(name: str) -> Column:
-    """exact_sum of a column from the part sums of its groups."""
-    return _joined(*(F.sum(f"{name}_{k}") for k in range(PARTS)))
+def sum_of_parts(name: str, where: Column | None = None) -> Column:
+    """exact_sum of a column from the part sums of its groups, or of those that a condition selects."""
+    parts = [F.col(f"{name}_{k}") for k in range(PARTS)]
+    return _joined(*(F.sum(part if where is None else F.when(where, part)) for part in parts))
 
 
-def total_of_parts(name: str) -> Column:
-    return F.coalesce(sum_of_parts(name), F.lit(0.0))
+def total_of_parts(name: str, where: Column | None = None) -> Column:
+    return F.coalesce(sum_of_parts(name, where), F.lit(0.0))
 
 
 def plain_text(number: Column, digits: int) -> Column:

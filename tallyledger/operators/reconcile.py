@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..config import LedgerRules
 from ..functions.cells import non_blank
 from ..functions.numbers import part_sums, total_of_parts
+from ..functions.reuse import dealt
 from ..functions.vocabulary import KEY
 from ..sources.canonical import Moment, at, in_window
 from .balances import snapshot_asof
@@ -44,14 +45,20 @@ def balance_legs(legs: list[DataFrame], rules: LedgerRules, *extra: str) -> Data
     named = F.when(
         F.col("item_description").isNotNull(), F.struct("source", "item_description")
     )
-    totals = (
+    # A row has one amount, that of its leg: one set of part sums is enough.
+    of_leg = {name: F.col("source") == rank for name, rank in _RANKS.items()}
+    amount = F.coalesce(*[F.when(own, F.col(name)) for name, own in of_leg.items()])
+    combined = (
         reduce(DataFrame.unionByName, legs)
         .where(F.col("item_code").isNotNull() & F.col("warehouse").isNotNull())
+        .withColumn("amount", amount)
         .groupBy(*KEY, *extra, "source", "item_description")
-        .agg(*[part for name in _AMOUNTS for part in part_sums(name)])
-        .repartition("item_code")
+        .agg(*part_sums("amount"))
+    )
+    totals = (
+        dealt(combined, "item_code")
         .groupBy(*KEY, *extra)
-        .agg(*[total_of_parts(name).alias(name) for name in _AMOUNTS], F.min(named).alias("named"))
+        .agg(*[total_of_parts("amount", of_leg[name]).alias(name) for name in _AMOUNTS], F.min(named).alias("named"))
     )
     per_item = Window.partitionBy("item_code", *extra)
     expected = F.col("opening_qty") + F.col("net_movement")

@@ -154,3 +154,12 @@ def test_undated_chain_is_an_error(captures, moves, rules):
     snaps = snaps.withColumn("balance_date", F.when(F.col("snapshot_date") > "2026-06-01", F.col("balance_date")))
     with pytest.raises(Exception, match="no balance_date"):
         chain.reconcile_chain(moves([]), snaps, rules).collect()
+
+
+def test_legs_are_dealt_into_the_partitions_of_the_session_with_one_set_of_sums(moves, held, rules):
+    """A row of a leg brings one amount, and adaptive execution may not merge what is dealt out into a partition a core."""
+    df = reconcile.reconcile(held([("A", "W", "2026-06-01", 5)]), moves([("A", "W", "2026-06-02", "GRN", 2, "")]), held([("A", "W", "2026-07-01", 8)]), rules)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "amount_3" in plan and "opening_qty_0" not in plan
+    row = df.first()
+    assert (row.opening_qty, row.net_movement, row.closing_qty, row.variance) == (5.0, 2.0, 8.0, 1.0)
