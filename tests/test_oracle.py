@@ -67,3 +67,21 @@ def test_query_matches_its_oracle(spark, sql, name):
 
 def test_entry_runs(spark):
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_captures_collect_no_parts_and_count_parts_listed_twice(spark, tmp_path):
+    """Parts are dealt out to the joins of a capture, not broadcast; a part listed twice doubles what moved."""
+    from workload import tables
+
+    for name in TABLES:
+        rows = spark.read.parquet(f"{SF}/{name}.parquet")
+        (rows.union(rows) if name == "part" else rows).write.parquet(f"{tmp_path}/{name}.parquet")
+    moved = {}
+    for folder in (SF, str(tmp_path)):
+        held = tables._captures(spark, folder, "fg_movements")
+        plan = held._jdf.queryExecution().executedPlan().toString()
+        assert "ShuffledHashJoin" in plan and not any("Broadcast" in x and "p_partkey" in x for x in plan.splitlines())
+        plain = held.where("l_partkey % 11 != 0 AND l_partkey % 13 != 0 AND l_partkey % 17 != 0")
+        moved[folder] = {(r.item_code, r.warehouse, r.snapshot_date): r.quantity - 200.0 for r in plain.collect()}
+    assert len(moved[SF]) > 100
+    assert moved[str(tmp_path)] == {key: 2 * quantity for key, quantity in moved[SF].items()}

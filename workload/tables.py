@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyledger import Dataset, LedgerRules
+from tallyledger.functions.reuse import dealt
 from tallyledger.sources.scratch import checkpoint_folder
 from tallyledger.sources.snapshots import captures_write, snapshot_captures
 
@@ -173,18 +174,29 @@ def driver_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _lines(spark: SparkSession, sf_dir: str, first: int, last: int) -> DataFrame:
-    """Lines with their part and region. Joined table by table, so that each is judged by its own size;
-    nation and region are of fixed size."""
+def _placed(spark: SparkSession, sf_dir: str, first: int, last: int) -> DataFrame:
+    """Lines with their region. Joined table by table, so that each is judged by its own size; nation and region are of
+    fixed size."""
     line = driver_table(spark, sf_dir, "lineitem").where(F.col("l_linenumber").between(first, last))
     return (
-        line.join(driver_table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-        .join(driver_table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+        line.join(driver_table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
         .join(F.broadcast(driver_table(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
         .join(F.broadcast(driver_table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
     )
 
 
+def _with_parts(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with their part. Its file is many times smaller than its rows, by which Spark would collect and broadcast
+    parts with all their texts; dealt out by key they stay with the executors."""
+    part = driver_table(spark, sf_dir, "part").hint("shuffle_hash")
+    return rows.join(part, F.col("l_partkey") == F.col("p_partkey"))
+
+
+def _lines(spark: SparkSession, sf_dir: str, first: int, last: int) -> DataFrame:
+    """Lines with their part and region."""
+    return _with_parts(_placed(spark, sf_dir, first, last), spark, sf_dir)
+
+
 def _moved(lines: DataFrame, kind: str, outward: str, *rest: str) -> DataFrame:
     """Lines as movements; every 499th order was keyed with forty times the quantity."""
     sign = f"IF({outward}, -1.0D, 1.0D)"
@@ -276,7 +288,8 @@ def rm_stock_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def wip_job_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = driver_table(spark, sf_dir, "orders").where(F.col("o_orderstatus") != "F")
-    customers = driver_table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    # As parts: few bytes a row in the file, but a row per customer.
+    customers = driver_table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment").hint("shuffle_hash")
     return orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select(
         F.concat(F.lit("DO-"), F.col("o_orderkey").cast("string")).alias("Job No"),
         F.col("c_mktsegment").alias("Customer"),
@@ -293,27 +306,36 @@ def _captures(spark: SparkSession, sf_dir: str, ledger: str) -> DataFrame:
     Parts divisible by 11 drift steadily, by 13 once and back, by 17 partly back.
     """
     finished = ledger == "fg_movements"
-    lines = _lines(spark, sf_dir, 1, 4) if finished else _lines(spark, sf_dir, 5, 7)
+    placed = _placed(spark, sf_dir, *((1, 4) if finished else (5, 7)))
     item = "concat_ws('|', l_partkey, p_size)" if finished else "'RM' || l_partkey"
     category = "p_brand" if finished else "p_type"
+    # Added up per part and region before the parts' texts come in.
+    sums = (
+        _moved(placed, _FG_TYPE if finished else _RM_TYPE, _FG_OUTWARD if finished else _RM_OUTWARD, "l_partkey", "r_name")
+        .groupBy("l_partkey", "r_name")
+        .agg(
+            *[
+                F.expr(f"sum(IF(`Moved On` < TIMESTAMP_NTZ'{day} 00:00:00', Units, 0.0D)) AS moved_{i}")
+                for i, day in enumerate(SNAPSHOT_DATES)
+            ]
+        )
+    )
+    # A part may be listed several times; its movements then count as often.
+    columns = ("p_partkey", "p_size", "p_name", "p_retailprice", category)
+    listed = driver_table(spark, sf_dir, "part").groupBy(*columns).agg(F.count(F.lit(1)).alias("times"))
+    # The writer sorts what a task holds by capture: in the session's partitions that is little.
+    held = dealt(sums, "l_partkey").join(
+        dealt(listed, "p_partkey").hint("shuffle_hash"), F.col("l_partkey") == F.col("p_partkey")
+    )
     captures = ", ".join(
         f"struct(DATE'{day}' AS snapshot_date, TIMESTAMP_NTZ'{day} 00:00:00' AS balance_date, "
-        f"200.0D + moved_{i} + IF(l_partkey % 11 = 0, {-7.0 * i}D, 0.0D) "
+        f"200.0D + moved_{i} * times + IF(l_partkey % 11 = 0, {-7.0 * i}D, 0.0D) "
         f"+ IF(l_partkey % 13 = 0, {320.0 if i == 1 else 0.0}D, 0.0D) "
         f"+ IF(l_partkey % 17 = 0, {(100.0 if i >= 1 else 0.0) - (30.0 if i >= 2 else 0.0)}D, 0.0D) AS quantity)"
         for i, day in enumerate(SNAPSHOT_DATES)
     )
-    place = ("l_partkey", "p_size", "p_name", "p_retailprice", "r_name", category)
     return (
-        _moved(lines, _FG_TYPE if finished else _RM_TYPE, _FG_OUTWARD if finished else _RM_OUTWARD, *place)
-        .groupBy(*place)
-        .agg(
-            *[
-                F.expr(f"sum(IF(`Moved On` < TIMESTAMP_NTZ'{day} 00:00:00', Units, 0.0D)) AS moved_{i}")
-                for i, day in enumerate(SNAPSHOT_DATES)
-            ]
-        )
-        .selectExpr(
+        held.selectExpr(
             f"'{ledger.replace('movements', 'balance')}' AS dataset",
             f"{item} AS item_code",
             "p_name AS item_description",
