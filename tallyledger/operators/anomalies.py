@@ -12,6 +12,8 @@ from ..functions.reuse import dealt, shared
 from ..functions.vocabulary import KEY
 from ..sources.canonical import Moment, at
 
+# What findings need of balances: texts and values need not be added up for them.
+BALANCE_COLUMNS = (*KEY, "balance_date", "quantity")
 FINDING_COLUMNS = ("kind", "item_code", "warehouse", "detail", "value")
 
 # Scale of a normal distribution from its median, and from its mean, absolute deviation.
@@ -255,7 +257,9 @@ def outlier_movements(movements: DataFrame, rules: LedgerRules) -> DataFrame:
         .where(far("lowest") | far("highest"))
         .select(*KEY, "median", "scale")
     )
-    return movements.join(suspected, list(KEY)).where(far("quantity"))
+    # A row a key is hashed rather than that all movements are sorted. The condition tells nothing of the quantity alone: Spark
+    # would carry that down to the source, whose exchanges then were not those that the frequencies read.
+    return movements.join(suspected.hint("shuffle_hash"), list(KEY)).where(F.coalesce(far("quantity"), F.lit(False)))
 
 
 def dormant_items(

@@ -72,9 +72,9 @@ def snapshot_asof(balances: DataFrame, as_of: Moment, ordered: bool = False) ->
     combined = _combined(balances.where(F.col("balance_date") <= at(as_of)), F.col("balance_date"))
     # One exchange by key, of rows that are combined already, serves both steps.
     dated = dealt(combined, *KEY).groupBy(*KEY, "balance_date").agg(*_totals(combined), *_picked_texts(combined))
-    carried = [name for name in dated.columns if name not in KEY]
-    latest = dated.groupBy(*KEY).agg(F.max_by(F.struct(*carried), "balance_date").alias("latest"))
-    snapshot = _arranged(latest.select(*KEY, "latest.*"))
+    # Column by column, so that readers pay for those they use, and numbers alone need no sort.
+    picked = [F.max_by(name, "balance_date").alias(name) for name in dated.columns if name not in KEY]
+    snapshot = _arranged(dated.groupBy(*KEY).agg(*picked))
     return snapshot.orderBy(F.col("quantity").desc(), *KEY) if ordered else snapshot
 
 

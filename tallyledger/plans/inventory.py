@@ -196,11 +196,11 @@ class Inventory:
         held = None
         for name in SCOPES[scope]:
             store = self.datasets[BALANCE_OF[name]]
-            fetched = self.fetch(store.name, date_to=date_to, as_of=date_to, **only)
+            fetched = self.fetch(store.name, date_to=date_to, as_of=date_to, **only).select(*anomalies.BALANCE_COLUMNS)
             balance = (
                 balances.snapshot_asof(fetched, date_to) if store.has_date else balances.snapshot_current(fetched)
             )
-            held = balance if held is None else held.unionByName(balance, allowMissingColumns=True)
+            held = balance if held is None else held.unionByName(balance)
         found = anomalies.anomalies(rows, held, self.rules, as_of=date_to)
         return {"anomalies": found, "explanation": narrative.explain_anomalies(found)}
 

@@ -137,6 +137,17 @@ def test_one_pass_serves_ranking_totals_and_sentences(stored):
     assert scans(narrative.explain_anomalies(anomalies.anomalies(rows, None, RULES, "2001-12-01"))) <= 4
 
 
+@needs_data
+def test_anomalies_read_each_ledger_once_and_add_up_no_texts(spark):
+    df = registry.queries()["anomalies"](spark, SF)
+    df.collect()
+    text = plan(df)
+    ran = text[: text.find("== Initial Plan ==")]
+    assert len(re.findall(r"FileScan parquet \[l_orderkey", ran)) == 2  # frequencies and their join back read the same exchanges
+    assert "SortAggregate" not in ran and "ShuffledHashJoin [item_code" in ran
+    assert not re.search(r"FileScan parquet \[[^]]*(item_description|value)", ran)
+
+
 @needs_data
 def test_numbers_combine_before_any_sort(stored):
     snap, rows = stored("snaps"), stored("ledger")

@@ -491,7 +491,8 @@ def _findings(spark, sf_dir):
     dated = tables.dated_balances(spark, sf_dir, "fg_movements").unionByName(
         tables.dated_balances(spark, sf_dir, "rm_movements")
     )
-    return anomalies.anomalies(ledger(spark, sf_dir), balances.snapshot_asof(dated, READ_DAY), RULES, READ_DAY)
+    held = dated.select(*anomalies.BALANCE_COLUMNS)
+    return anomalies.anomalies(ledger(spark, sf_dir), balances.snapshot_asof(held, READ_DAY), RULES, READ_DAY)
 
 
 READ_DAY = "2001-12-01"
