@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import vocabulary as words
 from ..functions.cells import strip
 from ..functions.numbers import exact_total, grouped_text, signed_text
-from ..functions.reuse import shared
+from ..functions.reuse import dealt, shared
 from ..functions.vocabulary import KEY
 
 
@@ -41,7 +41,10 @@ _TOTALS = ("receipt", "issue", "adjustment", "net")
 
 
 def _per_key(summary: DataFrame) -> DataFrame:
-    return shared(summary.groupBy(*KEY).agg(*[exact_total(F.col(name)).alias(name) for name in _TOTALS]))
+    """Totals per key over all periods. Rows of the summary are dealt out as they are: added up where they come from, the sums
+    would lie in one task beside those that the summary itself is made of."""
+    rows = dealt(summary.select(*KEY, *_TOTALS), *KEY)
+    return shared(rows.groupBy(*KEY).agg(*[exact_total(F.col(name)).alias(name) for name in _TOTALS]))
 
 
 def explain_summary_numbers(summary: DataFrame) -> DataFrame:

@@ -31,6 +31,14 @@ def test_summary_tells_totals_and_the_largest_movers(spark):
     assert lines(narrative.explain_summary(df.limit(0))) == ["No movements found in the selected period."]
 
 
+def test_summary_rows_are_dealt_into_the_partitions_of_the_session(spark):
+    """Adaptive execution may not merge the totals per key into a partition a core, nor may they be added up beside the summary."""
+    df = spark.createDataFrame([("nut", "east", 40.0, -2.0, 5.0, 0.0, 43.0), ("nut", "east", 1.0, 0.0, 0.0, 0.0, 1.0)], SUMMARY)
+    plan = narrative.top_movers(df)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
+    assert [(r.item_code, r.net) for r in narrative.top_movers(df).collect()] == [("nut", 44.0)]
+
+
 def test_reconciliation_tells_what_does_not_add_up(spark):
     df = spark.createDataFrame(
         [("rod", "east", "Steel rod", 8.0, -3.5, 1.5, 4.5, -3.0, False), *[(f"even{k}", "east", "", 2.0, 0.0, 2.0, 2.0, 0.0, True) for k in range(3)]],
