@@ -70,10 +70,15 @@ def quantity_frequencies(movements: DataFrame) -> DataFrame:
     return shared(counted)
 
 
+def _values_per_key(movements: DataFrame) -> DataFrame:
+    """(key, values): how many different quantities a key has."""
+    return quantity_frequencies(movements).groupBy(*KEY).agg(F.count("x").alias("values"))
+
+
 def _per_key(movements: DataFrame) -> DataFrame:
-    """(key, values, last_move): how many different quantities a key has, and when it moved last."""
-    counted = quantity_frequencies(movements).groupBy(*KEY)
-    return shared(counted.agg(F.count("x").alias("values"), F.max("last_move").alias("last_move")))
+    """(key, movements, last_move): how often a key moved, and when it did last."""
+    counted = movements.groupBy(*KEY)
+    return shared(counted.agg(F.count(F.lit(1)).alias("movements"), F.max("movement_date").alias("last_move")))
 
 
 def _narrow_and_wide(movements: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -83,7 +88,7 @@ def _narrow_and_wide(movements: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     known = F.col("item_code").isNotNull() & F.col("warehouse").isNotNull() & F.col("x").isNotNull()
     counted = quantity_frequencies(movements).where(F.when(known, F.col("weight")) > 0).select(*KEY, "x", "weight")
-    wide = F.broadcast(_per_key(movements).where(F.col("values") > _WIDE).select(*KEY))  # a key per _WIDE rows at most
+    wide = F.broadcast(_values_per_key(movements).where(F.col("values") > _WIDE).select(*KEY))  # a key per _WIDE rows at most
     return counted.join(wide, list(KEY), "left_anti"), counted.join(wide, list(KEY), "left_semi")
 
 
@@ -244,22 +249,57 @@ def robust_stats(movements: DataFrame) -> DataFrame:
     return robust_spread(movements).select(*KEY, "median", "scale", "count")
 
 
+def _beside_spread(movements: DataFrame) -> DataFrame:
+    """Movements with the median and the scale of their key, all movements of a key in one task."""
+    whole = Window.partitionBy(*KEY)
+    # A movement without a quantity weighs nothing. A condition would be carried down to the source.
+    weight, reached, distance = F.col("_weight"), F.col("_reached"), F.col("_distance")
+    low, high = _middle(F.col("_total"))
+
+    def middle(x: str) -> Column:
+        ends = [F.max(F.when(_at_or_before(place, reached, weight), F.col(x))).over(whole) for place in (low, high)]
+        return (ends[0] + ends[1]) / 2
+
+    def running(order: str) -> Column:
+        return F.sum("_weight").over(whole.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+
+    placed = (
+        dealt(movements, *KEY)
+        .withColumn("_weight", F.when(F.col("quantity").isNotNull(), 1).otherwise(0))
+        .withColumn("_reached", running("quantity"))
+        .withColumn("_total", F.sum("_weight").over(whole))  # in the order that is there already
+        .where(F.col("_total") >= MIN_MOVEMENTS)
+        .withColumn("median", middle("quantity"))
+        .withColumn("_distance", F.abs(F.col("quantity") - F.col("median")))
+        .withColumn("_reached", running("_distance"))
+    )
+    mean = F.sum(distance * weight).over(whole) / F.col("_total")
+    return placed.withColumn("scale", _scale(middle("_distance"), mean)).select(*movements.columns, "median", "scale")
+
+
 def outlier_movements(movements: DataFrame, rules: LedgerRules) -> DataFrame:
     """Movements far from what is typical for their item and warehouse.
 
-    Only keys whose least or greatest quantity is far can have any, and usually they are few. The join is on the key alone,
-    with one row a key on the other side, so that Spark may split a key with many movements over tasks.
+    Movements of a key with no more than _WIDE of them meet at once, and what is far is told there. Keys with more are few: their
+    quantities are counted first, and movements join the typical one of their key. That join is on the key alone, with one row a key on
+    the other side, so that Spark may split a key with many movements over tasks.
     """
     far = lambda x: F.abs(F.col(x) - F.col("median")) / F.col("scale") > rules.outlier_zscore
+    named = movements.where(F.col("item_code").isNotNull() & F.col("warehouse").isNotNull())
+    crowded = F.broadcast(_per_key(movements).where(F.col("movements") > _WIDE).select(*KEY))  # a key per _WIDE rows at most
+    few, many = named.join(crowded, list(KEY), "left_anti"), named.join(crowded, list(KEY), "left_semi")
     suspected = (
-        robust_spread(movements, MIN_MOVEMENTS)
+        robust_spread(many, MIN_MOVEMENTS)
         .where(F.col("scale") > 0)
         .where(far("lowest") | far("highest"))
         .select(*KEY, "median", "scale")
     )
     # A row a key is hashed rather than that all movements are sorted. The condition tells nothing of the quantity alone: Spark
-    # would carry that down to the source, whose exchanges then were not those that the frequencies read.
-    return movements.join(suspected.hint("shuffle_hash"), list(KEY)).where(F.coalesce(far("quantity"), F.lit(False)))
+    # would carry that down to the source, whose exchanges then were not the same for few, many and their frequencies.
+    is_far = F.coalesce((F.col("scale") > 0) & far("quantity"), F.lit(False))
+    columns = (*KEY, *[name for name in movements.columns if name not in KEY], "median", "scale")
+    frames = (_beside_spread(few), many.join(suspected.hint("shuffle_hash"), list(KEY)))
+    return reduce(DataFrame.unionByName, [df.where(is_far).select(*columns) for df in frames])
 
 
 def dormant_items(
@@ -269,7 +309,7 @@ def dormant_items(
 
     `as_of` defaults to the date of the newest movement.
     """
-    moved = _per_key(movements)  # the exchange that the outliers use
+    moved = _per_key(movements)  # the exchange that tells crowded keys
     now = at(as_of) if as_of is not None else moved.select(F.max("last_move")).scalar()
     return (
         moved.select(*KEY, "last_move")

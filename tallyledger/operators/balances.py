@@ -69,9 +69,14 @@ def snapshot_asof(balances: DataFrame, as_of: Moment, ordered: bool = False) ->
     Lots first add up per key, date and texts, then per key and date, then each key keeps its latest date. All are
     aggregates that combine before their shuffle, so no key has to fit a window in one task.
     """
-    combined = _combined(balances.where(F.col("balance_date") <= at(as_of)), F.col("balance_date"))
-    # One exchange by key, of rows that are combined already, serves both steps.
-    dated = dealt(combined, *KEY).groupBy(*KEY, "balance_date").agg(*_totals(combined), *_picked_texts(combined))
+    before = balances.where(F.col("balance_date") <= at(as_of))
+    # One exchange by key, of rows that are combined already, serves both steps; without texts the first is done before it.
+    if {"item_description", "category"}.isdisjoint(before.columns):
+        totals = [exact_total(F.col(name)).alias(name) for name in ("quantity", "value") if name in before.columns]
+        dated = dealt(before.groupBy(*KEY, "balance_date").agg(*totals), *KEY)
+    else:
+        combined = _combined(before, F.col("balance_date"))
+        dated = dealt(combined, *KEY).groupBy(*KEY, "balance_date").agg(*_totals(combined), *_picked_texts(combined))
     # Column by column, so that readers pay for those they use, and numbers alone need no sort.
     picked = [F.max_by(name, "balance_date").alias(name) for name in dated.columns if name not in KEY]
     snapshot = _arranged(dated.groupBy(*KEY).agg(*picked))
