@@ -146,7 +146,9 @@ def top_findings(findings: DataFrame, top_n: int = 20) -> DataFrame:
 
 
 def explain_anomalies(findings: DataFrame, top_n: int = 20) -> DataFrame:
-    findings = shared(findings)
+    columns = [name for name in ("kind", *KEY, "item_description", "detail") if name in findings.columns]
+    # Dealt out once: both readers ask for all columns of that exchange, so that findings are not looked for twice.
+    findings = findings.select(*columns).repartition(*columns)
     first = top_findings(findings, top_n)
     item, detail = _item(first), F.col("detail")
     line = None
@@ -157,7 +159,7 @@ def explain_anomalies(findings: DataFrame, top_n: int = 20) -> DataFrame:
     rest = F.col("rows") - top_n
     # Either the sentence for no findings, or what is left beyond the first ones, or nothing.
     closing = (
-        findings.agg(F.count(F.lit(1)).alias("rows"))
+        shared(findings.agg(F.count(F.lit(1)).alias("rows"), F.max(F.hash(*columns)).alias("seen")))
         .select(
             F.lit(top_n + 1).alias("line_no"),
             F.when(F.col("rows") == 0, words.NO_ANOMALIES)

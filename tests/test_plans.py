@@ -148,6 +148,18 @@ def test_anomalies_read_each_ledger_once_and_add_up_no_texts(spark):
     assert not re.search(r"FileScan parquet \[[^]]*(item_description|value)", ran)
 
 
+@needs_data
+def test_findings_told_are_looked_for_once(stored):
+    found = anomalies.anomalies(stored("ledger"), None, RULES, "2001-12-01")
+    assert plan_that_ran(narrative.explain_anomalies(found)).count("- Window [") == plan_that_ran(found).count("- Window [") > 0
+
+
+def plan_that_ran(df):
+    df.collect()
+    text = plan(df)
+    return text[: text.find("== Initial Plan ==")]
+
+
 @needs_data
 def test_numbers_combine_before_any_sort(stored):
     snap, rows = stored("snaps"), stored("ledger")
